@@ -36,3 +36,378 @@ def q_consistency_overall(v: BenchViews):
 @register("top_inconsistent")
 def q_top_inconsistent(v: BenchViews):
     return cons.top_inconsistent(cons.score_consistency(v.metric))
+
+# ---------------------------------------------------------------- variability
+from benchscope.operators import comparisons as cmp  # noqa: E402
+from benchscope.operators import filters as flt  # noqa: E402
+from benchscope.operators import guards  # noqa: E402
+from benchscope.operators import joins  # noqa: E402
+from benchscope.operators import pareto  # noqa: E402
+from benchscope.operators import ranking  # noqa: E402
+from benchscope.operators import summaries as summ  # noqa: E402
+from benchscope.operators import variability as var  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+
+@register("time_variability")
+def q_time_variability(v: BenchViews):
+    return var.time_variability(v.method)
+
+
+@register("score_variability")
+def q_score_variability(v: BenchViews):
+    return var.score_variability(v.metric)
+
+
+@register("seed_cv")
+def q_seed_cv(v: BenchViews):
+    return var.seed_cv(v.metric)
+
+
+@register("seed_top_methods")
+def q_seed_top_methods(v: BenchViews):
+    """The report's seed box plots: first 4 combinations, top 8 methods."""
+    return var.seed_top_methods(v.metric, var.first_combinations(v.metric, 4), top_n=8)
+
+
+@register("seed_heatmap")
+def q_seed_heatmap(v: BenchViews):
+    """The report's heatmaps: 3 most common metrics, 12 methods x 8 datasets."""
+    return var.seed_heatmap(v.metric, var.most_common(v.metric, "metric", 3), top_methods=12, top_datasets=8)
+
+
+# ---------------------------------------------------------------- comparisons
+
+@register("avg_time_by_backend")
+def q_avg_time_by_backend(v: BenchViews):
+    return cmp.avg_time_by_backend(v.method)
+
+
+@register("avg_score_by_backend")
+def q_avg_score_by_backend(v: BenchViews):
+    return cmp.avg_score_by_backend(v.metric)
+
+
+@register("backend_time_pairs")
+def q_backend_time_pairs(v: BenchViews):
+    return cmp.backend_time_pairs(v.method)
+
+
+@register("backend_score_pairs")
+def q_backend_score_pairs(v: BenchViews):
+    return cmp.backend_score_pairs(v.metric)
+
+
+@register("backend_pairs")
+def q_backend_pairs(v: BenchViews):
+    return cmp.backend_pairs(v.metric)
+
+
+@register("compare_backends")
+def q_compare_backends(v: BenchViews):
+    return cmp.compare_backends(v.method, v.metric)
+
+
+# ---------------------------------------------------------------- joins
+
+@register("combined_runs")
+def q_combined_runs(v: BenchViews):
+    return joins.combined_runs(v.metric, v.method)
+
+
+@register("semi_join_datasets")
+def q_semi_join_datasets(v: BenchViews):
+    """Method runs of the 8 most frequent datasets."""
+    top = summ.top_by_count(v.method, ["dataset_generator", "dataset_name"], 8)
+    return joins.semi_join(v.method, top, ["dataset_generator", "dataset_name"])
+
+
+@register("key_set_check")
+def q_key_set_check(v: BenchViews):
+    return joins.key_set_check(v.method, v.metric)
+
+
+# ---------------------------------------------------------------- summaries
+
+@register("method_summary")
+def q_method_summary(v: BenchViews):
+    return summ.method_summary(v.method)
+
+
+@register("metric_summary")
+def q_metric_summary(v: BenchViews):
+    return summ.metric_summary(v.metric)
+
+
+@register("runtime_summary_method")
+def q_runtime_summary_method(v: BenchViews):
+    return summ.runtime_summary(v.method)
+
+
+@register("runtime_summary_metric")
+def q_runtime_summary_metric(v: BenchViews):
+    return summ.runtime_summary(v.metric)
+
+
+@register("peak_rss_range")
+def q_peak_rss_range(v: BenchViews):
+    return summ.peak_rss_range(v.method)
+
+
+@register("peak_rss_summary")
+def q_peak_rss_summary(v: BenchViews):
+    return summ.peak_rss_summary(v.method, 10)
+
+
+@register("peak_rss_heatmap")
+def q_peak_rss_heatmap(v: BenchViews):
+    return summ.peak_rss_heatmap(v.method)
+
+
+@register("runtime_memory_points")
+def q_runtime_memory_points(v: BenchViews):
+    return summ.runtime_memory_points(v.method)
+
+
+@register("largest_dataset")
+def q_largest_dataset(v: BenchViews):
+    return summ.largest_dataset(v.method)
+
+
+@register("quality_summary")
+def q_quality_summary(v: BenchViews):
+    return summ.quality_summary(v.metric)
+
+
+@register("quality_by_method")
+def q_quality_by_method(v: BenchViews):
+    return summ.quality_by_method(v.metric)
+
+
+@register("data_overview")
+def q_data_overview(v: BenchViews):
+    return summ.data_overview(v.method, v.metric)
+
+
+@register("time_overall")
+def q_time_overall(v: BenchViews):
+    return summ.time_overall(v.method)
+
+
+@register("score_by_metric")
+def q_score_by_metric(v: BenchViews):
+    return summ.score_by_metric(v.metric)
+
+
+@register("completeness")
+def q_completeness(v: BenchViews):
+    return summ.completeness(v.metric)
+
+
+@register("kpi_boxes")
+def q_kpi_boxes(v: BenchViews):
+    return summ.kpi_boxes(v.metric)
+
+
+@register("method_backend_scores")
+def q_method_backend_scores(v: BenchViews):
+    return summ.method_backend_scores(v.metric)
+
+
+@register("dataset_performance")
+def q_dataset_performance(v: BenchViews):
+    return summ.dataset_performance(joins.combined_runs(v.metric, v.method))
+
+
+@register("first_metric_heatmap")
+def q_first_metric_heatmap(v: BenchViews):
+    return summ.first_metric_heatmap(v.metric)
+
+
+@register("method_comparison")
+def q_method_comparison(v: BenchViews):
+    return summ.method_comparison(joins.combined_runs(v.metric, v.method))
+
+
+@register("radar")
+def q_radar(v: BenchViews):
+    return ranking.radar(summ.method_comparison(joins.combined_runs(v.metric, v.method)))
+
+
+@register("method_counts")
+def q_method_counts(v: BenchViews):
+    return summ.method_counts(v.method, "method")
+
+
+@register("metric_counts")
+def q_metric_counts(v: BenchViews):
+    return summ.method_counts(v.metric, "metric")
+
+
+@register("distinct_rows")
+def q_distinct_rows(v: BenchViews):
+    return summ.distinct_rows(v.metric, ["backend", "dataset_generator", "dataset_name", "method", "metric"])
+
+
+@register("unique_seeds")
+def q_unique_seeds(v: BenchViews):
+    return summ.distinct_rows(v.method.where(F.col("seed").isNotNull()), ["seed"])
+
+
+# ---------------------------------------------------------------- filters
+
+@register("project_columns")
+def q_project_columns(v: BenchViews):
+    return flt.project(v.metric, ["backend", "dataset_generator", "dataset_name", "method", "metric", "score"])
+
+
+@register("dataset_key")
+def q_dataset_key(v: BenchViews):
+    return flt.with_dataset_key(v.method).select("dataset").distinct()
+
+
+@register("rss_mb")
+def q_rss_mb(v: BenchViews):
+    return flt.with_rss_mb(v.method).select("source_dir", "dataset_generator", "dataset_name", "method",
+                                            "seed", "peak_rss_mb")
+
+
+@register("not_null_filter")
+def q_not_null_filter(v: BenchViews):
+    return flt.not_null(v.metric, ["seed", "score", "true_k"])
+
+
+@register("eq_filter")
+def q_eq_filter(v: BenchViews):
+    return flt.equals(v.metric, metric="ari", backend="r")
+
+
+@register("in_list_filter")
+def q_in_list_filter(v: BenchViews):
+    """Method runs of the 3 most frequent methods (``method %in% top``)."""
+    return flt.in_frame(v.method, summ.top_by_count(v.method, ["method"], 3), ["method"])
+
+
+@register("score_range_filter")
+def q_score_range_filter(v: BenchViews):
+    return flt.score_in_range(v.metric)
+
+
+@register("group_size_filter")
+def q_group_size_filter(v: BenchViews):
+    keys = ["dataset_generator", "dataset_name", "method", "metric", "backend"]
+    return flt.min_group_size(v.metric.where(F.col("seed").isNotNull()), keys, 3)
+
+
+@register("having_filter")
+def q_having_filter(v: BenchViews):
+    agg = v.metric.groupBy("metric", "method").agg(F.count(F.lit(1)).cast("bigint").alias("n_runs"))
+    return flt.having(agg, F.col("n_runs") >= 5)
+
+
+@register("dashboard_filter")
+def q_dashboard_filter(v: BenchViews):
+    runs = joins.combined_runs(v.metric, v.method)
+    return flt.filter_runs(runs, backend="n", dataset_generator="o", time_range=(1.0, 20.0))
+
+
+@register("has_seed_data")
+def q_has_seed_data(v: BenchViews):
+    return guards.seed_data_flag(v.method)
+
+
+@register("multi_backend_guard")
+def q_multi_backend_guard(v: BenchViews):
+    return guards.backend_guard(v.metric)
+
+
+@register("time_slider_bounds")
+def q_time_slider_bounds(v: BenchViews):
+    return flt.time_slider_bounds(joins.combined_runs(v.metric, v.method))
+
+
+@register("filter_choices")
+def q_filter_choices(v: BenchViews):
+    return flt.filter_choices(v.metric)
+
+
+@register("score_table")
+def q_score_table(v: BenchViews):
+    runs = joins.combined_runs(v.metric, v.method)
+    return flt.score_table(flt.filter_runs(runs, metric="ari"), page=1)
+
+
+# ---------------------------------------------------------------- pareto
+
+@register("pareto_frontier")
+def q_pareto_frontier(v: BenchViews):
+    return pareto.runtime_memory_frontier(summ.runtime_memory_points(v.method))
+
+
+@register("frontier_step")
+def q_frontier_step(v: BenchViews):
+    flagged = pareto.runtime_memory_frontier(summ.runtime_memory_points(v.method))
+    return pareto.frontier_points(flagged, "avg_runtime")
+
+
+@register("largest_dataset_frontier")
+def q_largest_dataset_frontier(v: BenchViews):
+    runs = summ.largest_dataset_runs(v.method)
+    return pareto.runtime_memory_frontier(summ.runtime_memory_points(runs))
+
+
+@register("pareto_memory_methods")
+def q_pareto_memory_methods(v: BenchViews):
+    return pareto.pareto_memory_methods(summ.runtime_memory_points(v.method))
+
+
+@register("fastest_frontier")
+def q_fastest_frontier(v: BenchViews):
+    return pareto.fastest_frontier(pareto.pareto_memory_methods(summ.runtime_memory_points(v.method)))
+
+
+@register("leanest_frontier")
+def q_leanest_frontier(v: BenchViews):
+    return pareto.leanest_frontier(pareto.pareto_memory_methods(summ.runtime_memory_points(v.method)))
+
+
+@register("balanced_frontier")
+def q_balanced_frontier(v: BenchViews):
+    return pareto.balanced_frontier(pareto.pareto_memory_methods(summ.runtime_memory_points(v.method)))
+
+
+@register("time_quality_points")
+def q_time_quality_points(v: BenchViews):
+    return pareto.time_quality_points(joins.combined_runs(v.metric, v.method))
+
+
+def _pareto_by_metric(v: BenchViews):
+    combined = joins.combined_runs(v.metric, v.method)
+    return pareto.pareto_by_metric(combined, var.most_common(combined, "metric", 4))
+
+
+@register("pareto_by_metric")
+def q_pareto_by_metric(v: BenchViews):
+    return _pareto_by_metric(v)
+
+
+@register("pareto_overall")
+def q_pareto_overall(v: BenchViews):
+    return pareto.pareto_overall(_pareto_by_metric(v))
+
+
+# ---------------------------------------------------------------- ranking
+
+@register("top_methods_by_metric")
+def q_top_methods_by_metric(v: BenchViews):
+    return ranking.top_methods_by_metric(v.metric)
+
+
+@register("method_rankings")
+def q_method_rankings(v: BenchViews):
+    return ranking.method_rankings(joins.combined_runs(v.metric, v.method))
+
+
+@register("first_per_key")
+def q_first_per_key(v: BenchViews):
+    return v.method

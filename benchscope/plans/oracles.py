@@ -64,8 +64,15 @@ raw_sidecars AS (
   UNION ALL
   SELECT dataset_path || '/clustbench.labels0.gz', CASE WHEN has_noise THEN '0' || chr(10) ELSE '' END || '1' || chr(10) || '2.0' || chr(10)
     || CASE WHEN true_k >= 3 THEN '3' || chr(10) ELSE '' END || CASE WHEN true_k >= 4 THEN '4' || chr(10) ELSE '' END FROM raw_paths),
-metric AS (SELECT * EXCLUDE (src_order, src_line, src_part, src_qty) FROM metric_runs),
-method AS (SELECT * FROM method_runs)"""
+metric AS (SELECT * EXCLUDE (src_order, src_line, src_part, src_qty, execution_time_seconds, peak_rss) FROM metric_runs),
+method AS (SELECT * FROM method_runs),
+combined AS (
+  SELECT m.*, d.execution_time_seconds FROM metric m LEFT JOIN method d
+    ON m.source_dir IS NOT DISTINCT FROM d.source_dir AND m.backend IS NOT DISTINCT FROM d.backend
+   AND m.run_timestamp IS NOT DISTINCT FROM d.run_timestamp
+   AND m.dataset_generator IS NOT DISTINCT FROM d.dataset_generator
+   AND m.dataset_name IS NOT DISTINCT FROM d.dataset_name AND m.method IS NOT DISTINCT FROM d.method
+   AND m.seed IS NOT DISTINCT FROM d.seed)"""
 
 DMM = "dataset_generator, dataset_name, method, metric"
 DM = "dataset_generator, dataset_name, method"
@@ -124,3 +131,302 @@ oracle("top_inconsistent", f"""
 WITH cons AS ({_CONSISTENCY})
 SELECT * FROM cons WHERE NOT is_consistent
 ORDER BY score_range DESC NULLS LAST, dataset_generator, dataset_name, method, metric LIMIT 10""")
+
+
+def _cv(sd: str, mean: str) -> str:
+    """R's sd / mean with zero-mean handling, rounded like the Spark side."""
+    return (f"round(CASE WHEN ({sd}) IS NULL OR ({mean}) IS NULL THEN NULL "
+            f"WHEN ({mean}) = 0 THEN CASE WHEN ({sd}) > 0 THEN CAST('inf' AS DOUBLE) ELSE NULL END "
+            f"ELSE ({sd}) / ({mean}) END, 6)")
+
+
+def _ns(a: str, b: str, cols: str) -> str:
+    """NULL-safe equality of two aliases over a comma list of columns."""
+    return " AND ".join(f"{a}.{c.strip()} IS NOT DISTINCT FROM {b}.{c.strip()}" for c in cols.split(","))
+
+
+_DS = "coalesce(dataset_generator, 'NA') || '_' || coalesce(dataset_name, 'NA')"
+_HUNDRED = "CAST(100 AS DOUBLE)"
+
+# ---------------------------------------------------------------- variability
+_T = "execution_time_seconds"
+oracle("time_variability", f"""
+SELECT {DM}, CAST(count(*) AS BIGINT) AS n_seeds, avg({_T}) AS mean_execution_time,
+  median({_T}) AS median_execution_time, round(stddev_samp({_T}), 6) AS sd_execution_time,
+  {_cv(f'stddev_samp({_T})', f'avg({_T})')} AS cv_execution_time,
+  min({_T}) AS min_execution_time, max({_T}) AS max_execution_time, max({_T}) - min({_T}) AS range_execution_time
+FROM method WHERE seed IS NOT NULL GROUP BY {DM}""")
+oracle("score_variability", f"""
+SELECT {DMM}, CAST(count(*) AS BIGINT) AS n_seeds, avg(score) AS mean_score, median(score) AS median_score,
+  round(stddev_samp(score), 6) AS sd_score, {_cv('stddev_samp(score)', 'abs(avg(score))')} AS cv_score,
+  min(score) AS min_score, max(score) AS max_score, max(score) - min(score) AS range_score
+FROM metric WHERE seed IS NOT NULL GROUP BY {DMM}""")
+_SEED_CV = lambda grp, src: f"""
+SELECT {grp}, CAST(count(*) AS BIGINT) AS n_seeds, avg(score) AS mean_score, round(stddev_samp(score), 6) AS sd_score,
+  {_cv('stddev_samp(score)', 'abs(avg(score))')} AS cv_score
+FROM {src} WHERE seed IS NOT NULL GROUP BY {grp} HAVING count(*) > 1"""
+oracle("seed_cv", _SEED_CV(DMM, "metric"))
+oracle("seed_top_methods", f"""
+WITH combos AS (SELECT DISTINCT dataset_generator, dataset_name, metric FROM metric
+                ORDER BY dataset_generator NULLS LAST, dataset_name NULLS LAST, metric NULLS LAST LIMIT 4),
+runs AS (SELECT m.* FROM metric m JOIN combos c USING (dataset_generator, dataset_name, metric) WHERE m.seed IS NOT NULL),
+stats AS (SELECT dataset_generator, dataset_name, metric, method, avg(score) AS method_mean_score,
+            row_number() OVER (PARTITION BY dataset_generator, dataset_name, metric
+                               ORDER BY avg(score) DESC NULLS LAST, method) AS method_rank
+          FROM runs GROUP BY dataset_generator, dataset_name, metric, method HAVING count(*) > 1)
+SELECT r.dataset_generator, r.dataset_name, r.metric, r.method, s.method_rank, s.method_mean_score, r.backend,
+       r.run_timestamp, r.seed, r.score
+FROM runs r JOIN stats s USING (dataset_generator, dataset_name, metric, method) WHERE s.method_rank <= 8""")
+oracle("seed_heatmap", f"""
+WITH mets AS (SELECT metric FROM metric GROUP BY metric ORDER BY count(*) DESC, metric NULLS LAST LIMIT 3),
+cvs AS ({_SEED_CV("metric, " + DM, "(SELECT * FROM metric WHERE metric IN (SELECT metric FROM mets))")}),
+mr AS (SELECT metric, method FROM (SELECT metric, method, row_number() OVER (PARTITION BY metric
+         ORDER BY avg(cv_score) DESC NULLS LAST, method) AS r FROM cvs GROUP BY metric, method) t WHERE r <= 12),
+dr AS (SELECT metric, dataset_generator, dataset_name FROM (SELECT metric, dataset_generator, dataset_name,
+         row_number() OVER (PARTITION BY metric ORDER BY avg(cv_score) DESC NULLS LAST, dataset_generator, dataset_name) AS r
+       FROM cvs GROUP BY metric, dataset_generator, dataset_name) t WHERE r <= 8)
+SELECT c.*, {_DS} AS dataset FROM cvs c
+WHERE EXISTS (SELECT 1 FROM mr WHERE mr.metric = c.metric AND mr.method = c.method)
+  AND EXISTS (SELECT 1 FROM dr WHERE dr.metric = c.metric AND dr.dataset_generator = c.dataset_generator
+              AND dr.dataset_name = c.dataset_name)""")
+
+# ---------------------------------------------------------------- comparisons
+oracle("avg_time_by_backend", f"SELECT backend, {DM}, avg({_T}) AS avg_execution_time FROM method GROUP BY backend, {DM}")
+oracle("avg_score_by_backend", f"SELECT backend, {DMM}, avg(score) AS avg_score FROM metric GROUP BY backend, {DMM}")
+_TP = f"""
+WITH a AS (SELECT backend, {DM}, avg({_T}) AS v FROM method GROUP BY backend, {DM})
+SELECT a.backend AS backend1, b.backend AS backend2, a.dataset_generator, a.dataset_name, a.method,
+       a.v AS avg_execution_time_b1, b.v AS avg_execution_time_b2
+FROM a JOIN a AS b ON a.backend < b.backend AND {_ns('a', 'b', DM)}"""
+_SP = f"""
+WITH a AS (SELECT backend, {DMM}, avg(score) AS v FROM metric GROUP BY backend, {DMM})
+SELECT a.backend AS backend1, b.backend AS backend2, a.dataset_generator, a.dataset_name, a.method, a.metric,
+       a.v AS avg_score_b1, b.v AS avg_score_b2
+FROM a JOIN a AS b ON a.backend < b.backend AND {_ns('a', 'b', DMM)}"""
+oracle("backend_time_pairs", _TP)
+oracle("backend_score_pairs", _SP)
+oracle("backend_pairs", """
+WITH lv AS (SELECT DISTINCT backend FROM metric WHERE backend IS NOT NULL)
+SELECT a.backend AS backend1, b.backend AS backend2 FROM lv a JOIN lv b ON a.backend < b.backend""")
+oracle("compare_backends", f"""
+SELECT 'execution_time' AS kind, backend1, backend2, dataset_generator, dataset_name, method,
+       CAST(NULL AS VARCHAR) AS metric, avg_execution_time_b1 AS value_b1, avg_execution_time_b2 AS value_b2
+FROM ({_TP}) t
+UNION ALL
+SELECT 'score', backend1, backend2, dataset_generator, dataset_name, method, metric, avg_score_b1, avg_score_b2
+FROM ({_SP}) s""")
+
+# ---------------------------------------------------------------- joins
+oracle("combined_runs", "SELECT * FROM combined")
+_TOPDS = lambda n: f"""(SELECT dataset_generator, dataset_name FROM method GROUP BY dataset_generator, dataset_name
+  ORDER BY count(*) DESC, dataset_generator NULLS LAST, dataset_name NULLS LAST LIMIT {n})"""
+_TOPM = lambda src, n: f"""(SELECT method FROM {src} GROUP BY method ORDER BY count(*) DESC, method NULLS LAST LIMIT {n})"""
+oracle("semi_join_datasets", f"""
+SELECT m.* FROM method m WHERE EXISTS (SELECT 1 FROM {_TOPDS(8)} t
+  WHERE t.dataset_generator IS NOT DISTINCT FROM m.dataset_generator AND t.dataset_name IS NOT DISTINCT FROM m.dataset_name)""")
+_KEY = "source_dir, backend, run_timestamp, dataset_generator, dataset_name, method, seed"
+oracle("key_set_check", f"""
+SELECT {_KEY}, 'method_only' AS side FROM (SELECT DISTINCT {_KEY} FROM method) a
+ WHERE NOT EXISTS (SELECT 1 FROM metric b WHERE {_ns('a', 'b', _KEY)})
+UNION ALL
+SELECT {_KEY}, 'metric_only' FROM (SELECT DISTINCT {_KEY} FROM metric) a
+ WHERE NOT EXISTS (SELECT 1 FROM method b WHERE {_ns('a', 'b', _KEY)})""")
+
+# ---------------------------------------------------------------- summaries
+oracle("method_summary", f"""
+SELECT backend, CAST(count(*) AS BIGINT) AS total_runs,
+  CAST(count(DISTINCT {{'g': dataset_generator, 'n': dataset_name}}) AS BIGINT) AS datasets,
+  CAST(count(DISTINCT method) + max(CAST(method IS NULL AS INTEGER)) AS BIGINT) AS methods,
+  avg({_T}) AS avg_execution_time, avg(runtime) AS avg_runtime,
+  median({_T}) AS med_execution_time, median(runtime) AS med_runtime
+FROM method GROUP BY backend""")
+oracle("metric_summary", """
+SELECT backend, metric, CAST(count(*) AS BIGINT) AS total_evaluations, avg(score) AS avg_score,
+  min(score) AS min_score, max(score) AS max_score, median(score) AS med_score
+FROM metric GROUP BY backend, metric""")
+_RT = lambda src: f"""
+SELECT backend, CAST(count(*) AS BIGINT) AS count, avg(runtime) AS mean_runtime, round(stddev_samp(runtime), 6) AS sd_runtime,
+  min(runtime) AS min_runtime, max(runtime) AS max_runtime, median(runtime) AS median_runtime
+FROM {src} WHERE runtime IS NOT NULL GROUP BY backend"""
+oracle("runtime_summary_method", _RT("method"))
+oracle("runtime_summary_metric", _RT("metric"))
+oracle("peak_rss_range", """
+SELECT CAST(count(peak_rss) AS BIGINT) AS n_with_peak_rss, min(peak_rss) AS min_peak_rss, max(peak_rss) AS max_peak_rss FROM method""")
+_RSSDATA = f"""
+rssd AS (SELECT m.*, {_DS} AS dataset, peak_rss / 1024 AS peak_rss_mb FROM method m
+  WHERE peak_rss IS NOT NULL
+    AND EXISTS (SELECT 1 FROM {_TOPDS(8)} t WHERE t.dataset_generator IS NOT DISTINCT FROM m.dataset_generator
+                AND t.dataset_name IS NOT DISTINCT FROM m.dataset_name)
+    AND EXISTS (SELECT 1 FROM {_TOPM('method', 8)} t WHERE t.method IS NOT DISTINCT FROM m.method))"""
+oracle("peak_rss_summary", f"""
+WITH {_RSSDATA}
+SELECT dataset, method, CAST(count(*) AS BIGINT) AS count, avg(peak_rss_mb) AS mean_rss_mb,
+  max(peak_rss_mb) AS max_rss_mb, median(peak_rss_mb) AS median_rss_mb
+FROM rssd GROUP BY dataset, method ORDER BY mean_rss_mb DESC NULLS LAST, dataset, method LIMIT 10""")
+oracle("peak_rss_heatmap", f"""
+WITH {_RSSDATA}
+SELECT dataset, method, avg(peak_rss_mb) AS mean_rss_mb FROM rssd GROUP BY dataset, method""")
+_RMP = f"""
+SELECT method, dataset_generator, dataset_name, avg(runtime) AS avg_runtime, avg(peak_rss / 1024) AS avg_peak_rss_mb
+FROM {{src}} WHERE runtime IS NOT NULL AND peak_rss IS NOT NULL GROUP BY method, dataset_generator, dataset_name"""
+oracle("runtime_memory_points", _RMP.format(src="method"))
+_LARGEST = """
+SELECT dataset_generator, dataset_name, CAST(count(*) AS BIGINT) AS n_runs, avg(runtime) AS avg_runtime,
+  avg(peak_rss) AS avg_memory
+FROM method WHERE runtime IS NOT NULL AND peak_rss IS NOT NULL GROUP BY dataset_generator, dataset_name
+ORDER BY avg_memory DESC NULLS LAST, dataset_generator, dataset_name LIMIT 1"""
+oracle("largest_dataset", _LARGEST)
+_CT = lambda c: f"CAST(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT)"
+oracle("quality_summary", f"""
+SELECT CAST(count(*) AS BIGINT) AS total_records,
+  {_CT('empty_file')} AS empty_files, round({_HUNDRED} * {_CT('empty_file')} / count(*), 2) AS pct_empty_files,
+  {_CT('duplicate_k_anomaly')} AS duplicate_k_anomalies,
+  round({_HUNDRED} * {_CT('duplicate_k_anomaly')} / count(*), 2) AS pct_duplicate_k_anomalies,
+  {_CT('missing_true_k_score')} AS missing_true_k_scores,
+  round({_HUNDRED} * {_CT('missing_true_k_score')} / count(*), 2) AS pct_missing_true_k_scores
+FROM metric""")
+oracle("quality_by_method", f"""
+SELECT * FROM (SELECT backend, method, CAST(count(*) AS BIGINT) AS total, {_CT('empty_file')} AS empty_files,
+  {_CT('duplicate_k_anomaly')} AS duplicate_k, {_CT('missing_true_k_score')} AS missing_true_k
+  FROM metric GROUP BY backend, method) t
+WHERE empty_files > 0 OR duplicate_k > 0 OR missing_true_k > 0""")
+oracle("data_overview", """
+SELECT * FROM (SELECT CAST(count(*) AS BIGINT) AS method_runs, CAST(count(DISTINCT backend) AS BIGINT) AS backends,
+  CAST(count(DISTINCT dataset_generator) AS BIGINT) AS dataset_generators,
+  CAST(count(DISTINCT dataset_name) AS BIGINT) AS dataset_names, CAST(count(DISTINCT method) AS BIGINT) AS methods,
+  CAST(count(DISTINCT seed) AS BIGINT) AS unique_seeds, CAST(count(DISTINCT run_timestamp) AS BIGINT) AS run_timestamps,
+  CAST(count(DISTINCT {'g': dataset_generator, 'n': dataset_name}) AS BIGINT) AS unique_datasets FROM method) a,
+ (SELECT CAST(count(*) AS BIGINT) AS metric_evaluations, CAST(count(DISTINCT metric) AS BIGINT) AS metrics FROM metric) b""")
+oracle("time_overall", f"""
+SELECT avg({_T}) AS mean_time, min({_T}) AS min_time, max({_T}) AS max_time, median({_T}) AS median_time FROM method""")
+oracle("score_by_metric", "SELECT metric, avg(score) AS mean_score, median(score) AS median_score FROM metric GROUP BY metric")
+oracle("completeness", f"""
+SELECT round({_HUNDRED} * (1 - {_CT('empty_file')} / count(*)), 1) AS completeness_pct FROM metric""")
+oracle("kpi_boxes", """
+SELECT CAST(count(DISTINCT backend) AS BIGINT) AS backends,
+  CAST(count(DISTINCT {'g': dataset_generator, 'n': dataset_name}) AS BIGINT) AS datasets,
+  CAST(count(DISTINCT method) AS BIGINT) AS methods, CAST(count(DISTINCT metric) AS BIGINT) AS metrics,
+  avg(score) AS average_score FROM metric""")
+oracle("method_backend_scores", "SELECT backend, method, avg(score) AS avg_score FROM metric GROUP BY backend, method")
+oracle("dataset_performance", f"""
+SELECT {DM}, avg(score) AS avg_score, avg({_T}) AS avg_time FROM combined GROUP BY {DM}""")
+oracle("first_metric_heatmap", """
+SELECT dataset_name, method, avg(score) AS avg_score FROM metric
+WHERE metric = (SELECT min(metric) FROM metric) GROUP BY dataset_name, method""")
+_MC = f"""
+SELECT method, backend, avg(score) AS avg_score, round(stddev_samp(score), 6) AS std_dev, min(score) AS min_score,
+  max(score) AS max_score, avg({_T}) AS avg_time FROM combined GROUP BY method, backend"""
+oracle("method_comparison", _MC)
+oracle("radar", f"""
+WITH mc AS ({_MC}),
+per AS (SELECT method, avg(avg_score) AS score,
+          CASE WHEN avg(avg_time) IS NULL THEN NULL WHEN avg(avg_time) = 0 THEN CAST('inf' AS DOUBLE)
+               ELSE 1 / avg(avg_time) END AS speed FROM mc GROUP BY method),
+b AS (SELECT min(score) AS ls, max(score) AS hs, min(speed) AS lp, max(speed) AS hp FROM per)
+SELECT method, round(score, 6) AS score, round(speed, 6) AS speed,
+  round(CASE WHEN score IS NULL THEN NULL WHEN hs = ls THEN 0.5 ELSE (score - ls) / (hs - ls) END, 6) AS score_scaled,
+  round(CASE WHEN speed IS NULL THEN NULL WHEN hp = lp THEN 0.5 ELSE (speed - lp) / (hp - lp) END, 6) AS speed_scaled
+FROM per, b""")
+oracle("method_counts", "SELECT method, CAST(count(*) AS BIGINT) AS n FROM method GROUP BY method")
+oracle("metric_counts", "SELECT metric, CAST(count(*) AS BIGINT) AS n FROM metric GROUP BY metric")
+oracle("distinct_rows", f"SELECT DISTINCT backend, {DMM} FROM metric")
+oracle("unique_seeds", "SELECT DISTINCT seed FROM method WHERE seed IS NOT NULL")
+
+# ---------------------------------------------------------------- filters
+oracle("project_columns", f"SELECT backend, {DMM}, score FROM metric")
+oracle("dataset_key", f"SELECT DISTINCT {_DS} AS dataset FROM method")
+oracle("rss_mb", "SELECT source_dir, dataset_generator, dataset_name, method, seed, peak_rss / 1024 AS peak_rss_mb FROM method")
+oracle("not_null_filter", "SELECT * FROM metric WHERE seed IS NOT NULL AND score IS NOT NULL AND true_k IS NOT NULL")
+oracle("eq_filter", "SELECT * FROM metric WHERE metric = 'ari' AND backend = 'r'")
+oracle("in_list_filter", f"SELECT * FROM method WHERE method IN {_TOPM('method', 3)}")
+oracle("score_range_filter", "SELECT * FROM metric WHERE score BETWEEN -1 AND 1")
+oracle("group_size_filter", """
+SELECT m.* FROM metric m JOIN (SELECT dataset_generator, dataset_name, method, metric, backend FROM metric
+  WHERE seed IS NOT NULL GROUP BY ALL HAVING count(*) >= 3) g
+  ON m.dataset_generator IS NOT DISTINCT FROM g.dataset_generator AND m.dataset_name IS NOT DISTINCT FROM g.dataset_name
+ AND m.method IS NOT DISTINCT FROM g.method AND m.metric IS NOT DISTINCT FROM g.metric
+ AND m.backend IS NOT DISTINCT FROM g.backend
+WHERE m.seed IS NOT NULL""")
+oracle("having_filter", "SELECT metric, method, CAST(count(*) AS BIGINT) AS n_runs FROM metric GROUP BY metric, method HAVING count(*) >= 5")
+oracle("dashboard_filter", f"""
+SELECT * FROM combined WHERE backend = 'n' AND dataset_generator = 'o' AND {_T} BETWEEN 1.0 AND 20.0""")
+oracle("has_seed_data", """
+SELECT CAST(count(DISTINCT seed) AS BIGINT) AS n_seeds, coalesce(min(seed) < max(seed), false) AS has_seed_data FROM method""")
+oracle("multi_backend_guard", """
+SELECT CAST(count(DISTINCT backend) AS BIGINT) AS n_backends, coalesce(min(backend) < max(backend), false) AS multi_backend
+FROM metric""")
+oracle("time_slider_bounds", f"SELECT CAST(0 AS DOUBLE) AS min_time, max({_T}) AS max_time FROM combined")
+oracle("filter_choices", """
+SELECT DISTINCT 'backend' AS "column", backend AS level FROM metric WHERE backend IS NOT NULL
+UNION ALL SELECT DISTINCT 'method', method FROM metric WHERE method IS NOT NULL
+UNION ALL SELECT DISTINCT 'dataset_generator', dataset_generator FROM metric WHERE dataset_generator IS NOT NULL
+UNION ALL SELECT DISTINCT 'metric', metric FROM metric WHERE metric IS NOT NULL""")
+oracle("score_table", f"""
+SELECT backend, dataset_generator, dataset_name, method, metric, score, {_T} FROM combined WHERE metric = 'ari'
+ORDER BY score DESC NULLS LAST, backend NULLS LAST, dataset_generator NULLS LAST, dataset_name NULLS LAST,
+  method NULLS LAST, metric NULLS LAST, {_T} NULLS LAST
+LIMIT 10 OFFSET 10""")
+
+# ---------------------------------------------------------------- pareto
+_DOM = lambda x, y, extra="": f"""NOT EXISTS (SELECT 1 FROM pts q WHERE {extra} q.{x} <= p.{x} AND q.{y} {{cmp}} p.{y}
+  AND (q.{x} <> p.{x} OR q.{y} <> p.{y}))"""
+_RM_FRONT = f"""
+WITH pts AS ({_RMP.format(src="{src}")})
+SELECT p.*, {_DOM('avg_runtime', 'avg_peak_rss_mb').format(cmp='<=')} AS is_pareto FROM pts p"""
+oracle("pareto_frontier", _RM_FRONT.format(src="method"))
+oracle("frontier_step", f"SELECT * FROM ({_RM_FRONT.format(src='method')}) f WHERE is_pareto")
+oracle("largest_dataset_frontier", _RM_FRONT.format(
+    src=f"(SELECT m.* FROM method m JOIN ({_LARGEST}) l USING (dataset_generator, dataset_name)) lm"))
+_PMM = f"""
+SELECT method, CAST(count(*) AS BIGINT) AS datasets_on_frontier, round(avg(avg_runtime), 6) AS avg_runtime_sec,
+  round(avg(avg_peak_rss_mb), 6) AS avg_memory_mb, min(avg_runtime) AS min_runtime_sec, max(avg_runtime) AS max_runtime_sec,
+  min(avg_peak_rss_mb) AS min_memory_mb, max(avg_peak_rss_mb) AS max_memory_mb
+FROM ({_RM_FRONT.format(src='method')}) f WHERE is_pareto GROUP BY method"""
+oracle("pareto_memory_methods", _PMM)
+oracle("fastest_frontier", f"SELECT * EXCLUDE (r) FROM (SELECT *, rank() OVER (ORDER BY avg_runtime_sec NULLS LAST) AS r FROM ({_PMM}) s) t WHERE r <= 3")
+oracle("leanest_frontier", f"SELECT * EXCLUDE (r) FROM (SELECT *, rank() OVER (ORDER BY avg_memory_mb NULLS LAST) AS r FROM ({_PMM}) s) t WHERE r <= 3")
+oracle("balanced_frontier", f"""
+WITH s AS ({_PMM}),
+st AS (SELECT avg(avg_runtime_sec) AS mr, stddev_samp(avg_runtime_sec) AS sr, avg(avg_memory_mb) AS mm,
+              stddev_samp(avg_memory_mb) AS sm FROM s)
+SELECT s.*, round(CASE WHEN avg_memory_mb = 0 THEN NULL ELSE avg_runtime_sec / avg_memory_mb END, 6) AS efficiency_ratio,
+  round((avg_runtime_sec - mr) / sr + (avg_memory_mb - mm) / sm, 4) AS balanced_score
+FROM s, st ORDER BY balanced_score NULLS LAST, method LIMIT 3""")
+_TQP = f"""
+SELECT metric, method, dataset_generator, dataset_name, avg({_T}) AS avg_time, avg(score) AS avg_score
+FROM {{src}} WHERE {_T} IS NOT NULL AND score IS NOT NULL GROUP BY metric, method, dataset_generator, dataset_name"""
+oracle("time_quality_points", _TQP.format(src="combined"))
+_PBM_CTES = f"""
+mets AS (SELECT metric FROM combined GROUP BY metric ORDER BY count(*) DESC, metric NULLS LAST LIMIT 4),
+pts AS ({_TQP.format(src="(SELECT * FROM combined WHERE metric IN (SELECT metric FROM mets)) c")}),
+fr AS (SELECT p.* FROM pts p WHERE {_DOM('avg_time', 'avg_score', 'q.metric IS NOT DISTINCT FROM p.metric AND').format(cmp='>=')}),
+bym AS (SELECT metric, method, CAST(count(*) AS BIGINT) AS datasets_on_frontier, round(avg(avg_time), 6) AS avg_execution_time,
+  round(avg(avg_score), 6) AS avg_quality_score FROM fr GROUP BY metric, method)"""
+oracle("pareto_by_metric", f"WITH {_PBM_CTES} SELECT * FROM bym")
+oracle("pareto_overall", f"""
+WITH {_PBM_CTES}
+SELECT method, CAST(count(*) AS BIGINT) AS metrics_on_frontier,
+  CAST(sum(datasets_on_frontier) AS BIGINT) AS total_datasets_on_frontier,
+  round(avg(avg_execution_time), 6) AS avg_execution_time, round(avg(avg_quality_score), 6) AS avg_quality_score
+FROM bym GROUP BY method""")
+
+# ---------------------------------------------------------------- ranking
+oracle("top_methods_by_metric", """
+SELECT metric, method, avg_score, n_runs FROM (
+  SELECT metric, method, avg(score) AS avg_score, CAST(count(*) AS BIGINT) AS n_runs,
+    rank() OVER (PARTITION BY metric ORDER BY avg(score) DESC NULLS LAST) AS r
+  FROM metric GROUP BY metric, method HAVING count(*) >= 5) t WHERE r <= 10""")
+oracle("method_rankings", f"""
+WITH means AS (SELECT method, dataset_name, avg(score) AS avg_score, avg({_T}) AS avg_time FROM combined
+               GROUP BY method, dataset_name),
+r AS (SELECT method,
+  CASE WHEN avg_score IS NULL THEN NULL ELSE
+    rank() OVER (PARTITION BY dataset_name ORDER BY avg_score DESC NULLS LAST)
+    + (count(*) OVER (PARTITION BY dataset_name, avg_score) - 1) / 2.0 END AS score_rank,
+  CASE WHEN avg_time IS NULL THEN NULL ELSE
+    rank() OVER (PARTITION BY dataset_name ORDER BY avg_time ASC NULLS LAST)
+    + (count(*) OVER (PARTITION BY dataset_name, avg_time) - 1) / 2.0 END AS time_rank
+  FROM means)
+SELECT method, round(avg(score_rank), 6) AS avg_score_rank, round(avg(time_rank), 6) AS avg_time_rank,
+  round(avg((score_rank + time_rank) / 2), 6) AS avg_overall_rank FROM r GROUP BY method""")
+oracle("first_per_key", "SELECT * FROM method")

@@ -150,8 +150,10 @@ class BenchViews:
 
     @property
     def metric(self) -> DataFrame:
-        """Metric table without the helper ``src_*`` columns."""
-        return self.metric_runs.drop(*_ORDER_COLS)
+        """The metric table: ``metric_runs`` without the helper ``src_*``
+        columns and without the method-level execution time and memory, which
+        the real metric table does not carry (they come from a join, E7)."""
+        return self.metric_runs.drop(*_ORDER_COLS, "execution_time_seconds", "peak_rss")
 
     @property
     def method(self) -> DataFrame:
