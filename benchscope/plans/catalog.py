@@ -411,3 +411,161 @@ def q_method_rankings(v: BenchViews):
 @register("first_per_key")
 def q_first_per_key(v: BenchViews):
     return v.method
+
+
+# ---------------------------------------------------------------- ingest
+from benchscope.functions import paths as P  # noqa: E402
+from benchscope.operators import ingest as ing  # noqa: E402
+from benchscope.plans.views import ingest_inputs  # noqa: E402
+
+
+def _files(v: BenchViews):
+    i = ingest_inputs(v)
+    return ing.resolve_files(i.scores, i.sidecars, i.label_lines)
+
+
+def _tables(v: BenchViews):
+    i = ingest_inputs(v)
+    return ing.ingest(i.scores, i.sidecars, i.label_lines)
+
+
+@register("run_dir_discovery")
+def q_run_dir_discovery(v: BenchViews):
+    i = ingest_inputs(v)
+    fp = ing.file_paths(i.scores.drop("content"))
+    return fp.select("path", "root", "run_dir", "source_dir", "backend", "run_timestamp")
+
+
+@register("parse_scores")
+def q_parse_scores(v: BenchViews):
+    return ing.score_entries(ing.parse_scores(ingest_inputs(v).scores))
+
+
+@register("labels_true_k")
+def q_labels_true_k(v: BenchViews):
+    return ing.labels_true_k(ingest_inputs(v).label_lines)
+
+
+@register("method_perf_json")
+def q_method_perf_json(v: BenchViews):
+    return _files(v).select("path", "runtime", "threads", "disk_read", "disk_write", "avg_load", "peak_rss")
+
+
+@register("metric_perf_json")
+def q_metric_perf_json(v: BenchViews):
+    return _files(v).select("path", F.col("metric_runtime").alias("runtime"))
+
+
+@register("method_exec_time")
+def q_method_exec_time(v: BenchViews):
+    return _files(v).select("path", "execution_time_seconds")
+
+
+@register("parameters_sidecar")
+def q_parameters_sidecar(v: BenchViews):
+    ps = ing.parse_sidecars(ingest_inputs(v).sidecars).where(F.col("name") == ing.PARAMS_FILE)
+    return ps.select("dir", F.col("p.valid").alias("valid"), F.col("p.method").alias("method"),
+                     F.col("p.has_seed").alias("has_seed"), F.col("p.seed").alias("seed"))
+
+
+@register("ingest_errors")
+def q_ingest_errors(v: BenchViews):
+    return _tables(v).errors
+
+
+@register("ingest_report")
+def q_ingest_report(v: BenchViews):
+    return ing.ingest_report(_tables(v).metric)
+
+
+@register("extract_backend_timestamp")
+def q_extract_backend_timestamp(v: BenchViews):
+    return _files(v).select("source_dir", "backend", "run_timestamp").distinct()
+
+
+@register("extract_dataset_info")
+def q_extract_dataset_info(v: BenchViews):
+    return _files(v).select("path", "dataset_generator", "dataset_name")
+
+
+@register("extract_method_info")
+def q_extract_method_info(v: BenchViews):
+    return _files(v).select("path", "method", "seed")
+
+
+@register("normalize_method_name")
+def q_normalize_method_name(v: BenchViews):
+    ps = ing.parse_sidecars(ingest_inputs(v).sidecars).where(F.col("name") == ing.PARAMS_FILE)
+    raw = ps.select(F.col("p.method").alias("raw_method")).distinct()
+    return raw.select("raw_method", P.normalize_method(F.col("raw_method")).alias("method"))
+
+
+@register("extract_metric_info")
+def q_extract_metric_info(v: BenchViews):
+    return _files(v).select("path", "metric")
+
+
+@register("nearest_ancestor")
+def q_nearest_ancestor(v: BenchViews):
+    return _files(v).select("path", "method_dir", "dataset_dir")
+
+
+@register("source_dir")
+def q_source_dir(v: BenchViews):
+    return _files(v).select("path", "source_dir")
+
+
+@register("k_column_order")
+def q_k_column_order(v: BenchViews):
+    return ing.k_column_order(_tables(v).metric)
+
+
+@register("coerce_seed")
+def q_coerce_seed(v: BenchViews):
+    return _files(v).select("path", "seed")
+
+
+@register("duplicate_k_anomaly")
+def q_duplicate_k_anomaly(v: BenchViews):
+    return ing.parse_scores(ingest_inputs(v).scores).select("path", "duplicate_k_anomaly")
+
+
+@register("k_scores")
+def q_k_scores(v: BenchViews):
+    parsed = ing.parse_scores(ingest_inputs(v).scores)
+    return parsed.select("path", F.explode("k_scores").alias("key", "value"))
+
+
+@register("score_at_true_k")
+def q_score_at_true_k(v: BenchViews):
+    return _files(v).select("path", "true_k", "score")
+
+
+@register("missing_true_k_score")
+def q_missing_true_k_score(v: BenchViews):
+    return _files(v).select("path", "missing_true_k_score")
+
+
+@register("empty_file")
+def q_empty_file(v: BenchViews):
+    return ing.parse_scores(ingest_inputs(v).scores).select("path", "empty_file")
+
+
+@register("build_metric_rows")
+def q_build_metric_rows(v: BenchViews):
+    return _tables(v).metric.drop("k_scores")
+
+
+@register("build_method_rows")
+def q_build_method_rows(v: BenchViews):
+    return _tables(v).method
+
+
+@register("metric_wide")
+def q_metric_wide(v: BenchViews):
+    return ing.metric_wide(_tables(v).metric.drop("path"))
+
+
+@register("metric_long")
+def q_metric_long(v: BenchViews):
+    return ing.metric_long(_tables(v).metric)

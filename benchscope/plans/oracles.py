@@ -430,3 +430,180 @@ r AS (SELECT method,
 SELECT method, round(avg(score_rank), 6) AS avg_score_rank, round(avg(time_rank), 6) AS avg_time_rank,
   round(avg((score_rank + time_rank) / 2), 6) AS avg_overall_rank FROM r GROUP BY method""")
 oracle("first_per_key", "SELECT * FROM method")
+
+# ---------------------------------------------------------------- ingest
+# The oracles below parse the raw file texts with DuckDB string, list, regex
+# and JSON functions, independently of the Spark plans.
+
+def _anc(col: str, k: int) -> str:
+    """D(k) of a path in SQL."""
+    return f"regexp_replace({col}, '(/[^/]*){{{k}}}$', '')"
+
+
+def _base(expr: str) -> str:
+    return f"regexp_extract({expr}, '[^/]*$')"
+
+
+def _norm(expr: str) -> str:
+    return f"CASE WHEN starts_with({expr}, 'linkage-') THEN {expr} ELSE replace({expr}, '-', '_') END"
+
+
+_WS = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+_METHOD_LEVELS = []
+for _k in range(1, 6):
+    _d = _anc("s.path", _k)
+    _b = _base(_d)
+    _pb = _base(_anc("s.path", _k + 1))
+    _METHOD_LEVELS.append(f"""
+    WHEN p{_k}.method IS NOT NULL AND p{_k}.method <> '' AND (NOT p{_k}.has_seed OR p{_k}.seed IS NOT NULL)
+      THEN {{'method': {_norm(f'p{_k}.method')}, 'seed': CASE WHEN p{_k}.has_seed THEN p{_k}.seed END}}
+    WHEN regexp_matches({_b}, 'method-(.+?)_seed-([0-9]+)')
+      THEN {{'method': {_norm(f"regexp_extract({_b}, 'method-(.+?)_seed-([0-9]+)', 1)")},
+             'seed': TRY_CAST(regexp_extract({_b}, 'method-(.+?)_seed-([0-9]+)', 2) AS BIGINT)}}
+    WHEN starts_with({_b}, 'method-') THEN {{'method': {_norm(f'substr({_b}, 8)')}, 'seed': CAST(NULL AS BIGINT)}}
+    WHEN starts_with({_b}, 'linkage-') AND {_pb} IN ('agglomerative', 'fastcluster', 'sklearn')
+      THEN CASE WHEN regexp_matches({_b}, 'linkage-(.+?)_seed-([0-9]+)')
+        THEN {{'method': {_pb} || '_linkage-' || regexp_extract({_b}, 'linkage-(.+?)_seed-([0-9]+)', 1),
+               'seed': TRY_CAST(regexp_extract({_b}, 'linkage-(.+?)_seed-([0-9]+)', 2) AS BIGINT)}}
+        ELSE {{'method': {_pb} || '_' || {_b}, 'seed': CAST(NULL AS BIGINT)}} END""")
+_METHOD_CASE = "CASE" + "".join(_METHOD_LEVELS) + "\n    ELSE {'method': '', 'seed': CAST(NULL AS BIGINT)} END"
+_METHOD_JOINS = "\n".join(f"  LEFT JOIN pj p{k} ON p{k}.dir = {_anc('s.path', k)}" for k in range(1, 6))
+
+_ING = f"""
+sf AS (SELECT path, content, regexp_extract(path, '^(/bench/[^/]+)', 1) AS root FROM raw_scores),
+sfb AS (SELECT path, content, root, regexp_replace(content, '\\r?\\n$', '') AS body FROM sf),
+sfl AS (SELECT path, root, content, string_split(body, chr(10)) AS lines FROM sfb),
+sfc AS (SELECT path, root,
+          ({_WS.format(x='content')} = '' OR len(lines) < 2) AS empty_file,
+          CASE WHEN coalesce(lines[1], '') = '' THEN [] ELSE string_split(lines[1], ',') END AS hdr,
+          CASE WHEN coalesce(lines[2], '') = '' THEN [] ELSE string_split(lines[2], ',') END AS dat
+        FROM sfl),
+pl AS (SELECT path, position, trim(hdr[position], '"') AS label, dat[position] AS raw_value,
+          TRY_CAST(dat[position] AS DOUBLE) AS value
+       FROM (SELECT path, hdr, dat, unnest(generate_series(1, CASE WHEN empty_file THEN 0
+               ELSE least(len(hdr), len(dat)) END)) AS position FROM sfc) t),
+plk AS (SELECT *, coalesce(CASE WHEN starts_with(label, 'k=') THEN TRY_CAST(split_part(label, '=', 2) AS BIGINT) END,
+          999999) AS k,
+          first_value(value) OVER (PARTITION BY path, label ORDER BY position) AS first_val,
+          min(position) OVER (PARTITION BY path, label) AS first_pos,
+          max(position) OVER (PARTITION BY path, label) AS last_pos FROM pl),
+km AS (SELECT path, label AS key, value, k FROM plk WHERE position = last_pos),
+ff AS (SELECT c.path, c.empty_file,
+          coalesce(bool_or(p.position > p.first_pos AND p.value IS NOT NULL AND p.first_val IS NOT NULL
+                           AND abs(p.value - p.first_val) > 0.001), false) AS duplicate_k_anomaly
+       FROM sfc c LEFT JOIN plk p ON p.path = c.path GROUP BY c.path, c.empty_file),
+lf AS (SELECT path, content FROM raw_sidecars WHERE regexp_matches(path, '/clustbench\\.labels[^/]*\\.gz$')),
+lv AS (SELECT path, TRY_CAST(trim(line) AS DOUBLE) AS x FROM
+         (SELECT path, unnest(string_split(content, chr(10))) AS line FROM lf) t WHERE trim(line) <> ''),
+lper AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dataset_dir, path AS labels_path,
+           CAST(count(DISTINCT CASE WHEN trunc(x) <> 0 THEN CAST(trunc(x) AS BIGINT) END) AS BIGINT) AS true_k,
+           bool_or(trunc(x) = 0) AS has_noise,
+           bool_and(x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x)) AS valid
+         FROM lv GROUP BY path),
+lt AS (SELECT dataset_dir, labels_path, true_k, has_noise FROM
+         (SELECT *, row_number() OVER (PARTITION BY dataset_dir ORDER BY labels_path) AS rn FROM lper
+          WHERE valid AND true_k > 0) t WHERE rn = 1),
+pj AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, json_valid(content) AS valid,
+          json_extract_string(content, '$.method') AS method,
+          json_extract(content, '$.seed') IS NOT NULL AS has_seed,
+          CAST(trunc(TRY_CAST(json_extract_string(content, '$.seed') AS DOUBLE)) AS BIGINT) AS seed
+       FROM raw_sidecars WHERE path LIKE '%/parameters.json'),
+perf AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, content FROM raw_sidecars WHERE path LIKE '%/perf.json'),
+tim AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, string_split(content, chr(10)) AS tl
+        FROM raw_sidecars WHERE path LIKE '%/clustbench_performance.txt'),
+fp AS (SELECT s.path, s.root,
+          CASE WHEN regexp_matches({_base('s.root')}, '^out[_-]') THEN s.root
+               WHEN regexp_matches(split_part(substr(s.path, length(s.root) + 2), '/', 1), '^out[_-]')
+                    AND strpos(substr(s.path, length(s.root) + 2), '/') > 0
+               THEN s.root || '/' || split_part(substr(s.path, length(s.root) + 2), '/', 1) END AS run_dir,
+          nullif(regexp_extract(s.path, 'dataset_generator-(\\w+)_dataset_name-(\\w+)', 1), '') AS pg,
+          nullif(regexp_extract(s.path, 'dataset_generator-(\\w+)_dataset_name-(\\w+)', 2), '') AS pn,
+          nullif(regexp_extract(s.path, 'metric-(\\w+)', 1), '') AS pm,
+          nullif(regexp_extract(s.path, '^(.*/[^/]*method-[^/]*)/', 1), '') AS method_dir,
+          nullif(regexp_extract(s.path, '^(.*/[^/]*dataset_generator-[^/]*dataset_name-[^/]*|.*/[^/]*dataset_name-[^/]*dataset_generator-[^/]*)/', 1), '') AS dataset_dir,
+          {_METHOD_CASE} AS mi
+        FROM sfc s
+{_METHOD_JOINS}),
+fp2 AS (SELECT *, {_base('run_dir')} AS source_dir,
+          nullif(regexp_extract({_base('run_dir')}, '^out[_-]([^_-]+)[_-]([0-9]+)', 1), '') AS backend,
+          nullif(regexp_extract({_base('run_dir')}, '^out[_-]([^_-]+)[_-]([0-9]+)', 2), '') AS run_timestamp
+        FROM fp),
+fl AS (SELECT f.path, f.run_dir, f.source_dir, f.backend, f.run_timestamp,
+          coalesce(f.pg, '') AS dataset_generator, coalesce(f.pn, '') AS dataset_name,
+          lt.true_k, lt.has_noise, f.mi.method AS method, f.mi.seed AS seed, coalesce(f.pm, '') AS metric,
+          TRY_CAST(t.tl[2] IS NOT NULL AND trim(t.tl[2]) <> '' AND list_position(string_split(trim(t.tl[1]), chr(9)), 's') > 0
+                   AND list_position(string_split(trim(t.tl[1]), chr(9)), 's') <= len(string_split(trim(t.tl[2]), chr(9)))
+                   AS BOOLEAN) AS has_time,
+          CASE WHEN coalesce(trim(t.tl[2]), '') <> '' THEN
+            TRY_CAST(string_split(trim(t.tl[2]), chr(9))[list_position(string_split(trim(t.tl[1]), chr(9)), 's')] AS DOUBLE)
+          END AS execution_time_seconds,
+          TRY_CAST(json_extract_string(mp.content, '$.total_time_secs') AS DOUBLE) AS runtime,
+          TRY_CAST(json_extract_string(mp.content, '$.max_threads') AS BIGINT) AS threads,
+          TRY_CAST(json_extract_string(mp.content, '$.total_disk_read_bytes') AS BIGINT) AS disk_read,
+          TRY_CAST(json_extract_string(mp.content, '$.total_disk_write_bytes') AS BIGINT) AS disk_write,
+          TRY_CAST(json_extract_string(mp.content, '$.avg_cpu_usage') AS DOUBLE) AS avg_load,
+          TRY_CAST(json_extract_string(mp.content, '$.peak_mem_rss_kb') AS BIGINT) AS peak_rss,
+          TRY_CAST(json_extract_string(xp.content, '$.total_time_secs') AS DOUBLE) AS metric_runtime,
+          ff.empty_file, ff.duplicate_k_anomaly,
+          km.value AS score, km.key IS NOT NULL AS has_key, f.method_dir, f.dataset_dir, lt.labels_path
+        FROM fp2 f
+        JOIN ff ON ff.path = f.path
+        LEFT JOIN lt ON lt.dataset_dir = f.dataset_dir
+        LEFT JOIN tim t ON t.dir = {_anc('f.path', 4)}
+        LEFT JOIN perf mp ON mp.dir = coalesce(f.method_dir, {_anc('f.path', 4)})
+        LEFT JOIN perf xp ON xp.dir = {_anc('f.path', 1)}
+        LEFT JOIN km ON km.path = f.path AND km.key = 'k=' || CAST(lt.true_k AS VARCHAR)),
+flx AS (SELECT * REPLACE (CASE WHEN true_k IS NOT NULL AND has_key THEN score END AS score),
+          (true_k IS NOT NULL AND NOT has_key AND NOT empty_file) AS missing_true_k_score FROM fl),
+metric_t AS (SELECT source_dir, backend, run_timestamp, dataset_generator, dataset_name, true_k, has_noise, method,
+               seed, metric, score, metric_runtime AS runtime, duplicate_k_anomaly, empty_file, missing_true_k_score,
+               path FROM flx WHERE run_dir IS NOT NULL),
+method_t AS (SELECT source_dir, backend, run_timestamp, dataset_generator, dataset_name, true_k, has_noise, method,
+               seed, execution_time_seconds, runtime, threads, disk_read, disk_write, avg_load, peak_rss FROM
+             (SELECT *, row_number() OVER (PARTITION BY source_dir, backend, run_timestamp, dataset_generator,
+                dataset_name, method, seed ORDER BY path) AS rn FROM flx WHERE run_dir IS NOT NULL) t WHERE rn = 1)"""
+
+
+def _ing(select: str) -> str:
+    return f"WITH {_ING}\n{select}"
+
+
+oracle("run_dir_discovery", _ing("SELECT path, root, run_dir, source_dir, backend, run_timestamp FROM fp2"))
+oracle("parse_scores", _ing("SELECT path, position, label, raw_value, value, k FROM plk"))
+oracle("labels_true_k", _ing("SELECT dataset_dir, labels_path, true_k, has_noise FROM lt"))
+oracle("method_perf_json", _ing("SELECT path, runtime, threads, disk_read, disk_write, avg_load, peak_rss FROM flx"))
+oracle("metric_perf_json", _ing("SELECT path, metric_runtime AS runtime FROM flx"))
+oracle("method_exec_time", _ing("SELECT path, execution_time_seconds FROM flx"))
+oracle("parameters_sidecar", _ing("SELECT dir, valid, method, has_seed, seed FROM pj"))
+oracle("ingest_errors", _ing("""
+SELECT path, 'non_numeric_score' AS kind, label || '=' || raw_value AS detail FROM pl WHERE value IS NULL
+UNION ALL SELECT path, 'invalid_json', CAST(NULL AS VARCHAR) FROM raw_sidecars
+  WHERE path LIKE '%.json' AND NOT coalesce(json_valid(content) AND starts_with(ltrim(content), '{'), false)
+UNION ALL SELECT labels_path, 'invalid_labels', CAST(NULL AS VARCHAR) FROM lper WHERE NOT valid
+UNION ALL SELECT path, 'outside_run_dir', CAST(NULL AS VARCHAR) FROM fp2 WHERE run_dir IS NULL"""))
+oracle("ingest_report", _ing("""
+SELECT CAST(count(*) AS BIGINT) AS records, CAST(count_if(empty_file) AS BIGINT) AS empty_files,
+  CAST(count_if(missing_true_k_score) AS BIGINT) AS missing_true_k_scores,
+  CAST(count_if(duplicate_k_anomaly) AS BIGINT) AS duplicate_k_anomalies FROM metric_t"""))
+oracle("extract_backend_timestamp", _ing("SELECT DISTINCT source_dir, backend, run_timestamp FROM flx"))
+oracle("extract_dataset_info", _ing("SELECT path, dataset_generator, dataset_name FROM flx"))
+oracle("extract_method_info", _ing("SELECT path, method, seed FROM flx"))
+oracle("normalize_method_name", _ing(f"SELECT DISTINCT method AS raw_method, {_norm('method')} AS method FROM pj"))
+oracle("extract_metric_info", _ing("SELECT path, metric FROM flx"))
+oracle("nearest_ancestor", _ing("SELECT path, method_dir, dataset_dir FROM flx"))
+oracle("source_dir", _ing("SELECT path, source_dir FROM flx"))
+oracle("k_column_order", _ing("SELECT DISTINCT km.key, km.k FROM km JOIN metric_t m ON m.path = km.path"))
+oracle("coerce_seed", _ing("SELECT path, seed FROM flx"))
+oracle("duplicate_k_anomaly", _ing("SELECT path, duplicate_k_anomaly FROM ff"))
+oracle("k_scores", _ing("SELECT path, key, value FROM km"))
+oracle("score_at_true_k", _ing("SELECT path, true_k, score FROM flx"))
+oracle("missing_true_k_score", _ing("SELECT path, missing_true_k_score FROM flx"))
+oracle("empty_file", _ing("SELECT path, empty_file FROM ff"))
+oracle("build_metric_rows", _ing("SELECT * FROM metric_t"))
+oracle("build_method_rows", _ing("SELECT * FROM method_t"))
+oracle("metric_wide", _ing("""
+SELECT m.* EXCLUDE (path), w."k=2", w."k=3" FROM metric_t m LEFT JOIN
+  (SELECT path, max(CASE WHEN key = 'k=2' THEN value END) AS "k=2", max(CASE WHEN key = 'k=3' THEN value END) AS "k=3"
+   FROM km GROUP BY path) w ON w.path = m.path"""))
+oracle("metric_long", _ing("SELECT km.path, km.key, km.k, km.value AS score FROM km JOIN metric_t m ON m.path = km.path"))

@@ -167,3 +167,23 @@ def bench_views(spark: SparkSession, sf_dir: str) -> BenchViews:
     return BenchViews(metric_runs=metric_runs, method_runs=_method_runs(metric_runs),
                       raw_paths=raw_paths, raw_scores=_raw_scores(raw_paths),
                       raw_sidecars=_raw_sidecars(raw_paths))
+
+
+@dataclass(frozen=True)
+class IngestInputs:
+    scores: DataFrame       # path, root, content
+    sidecars: DataFrame     # path, content
+    label_lines: DataFrame  # path, line
+
+
+def ingest_inputs(v: BenchViews) -> IngestInputs:
+    """The raw views in the shape ``benchscope.operators.ingest`` reads.
+
+    Every synthetic run tree lives under its own ``/bench/<id>`` root.
+    """
+    from benchscope.operators.ingest import LABELS_FILE_RE, label_lines_from_text
+    scores = v.raw_scores.select("path", F.regexp_extract("path", r"^(/bench/[^/]+)", 1).alias("root"), "content")
+    name = F.try_element_at(F.split("path", "/"), F.lit(-1))
+    is_labels = name.rlike(LABELS_FILE_RE)
+    return IngestInputs(scores=scores, sidecars=v.raw_sidecars.where(~is_labels),
+                        label_lines=label_lines_from_text(v.raw_sidecars.where(is_labels)))
