@@ -569,3 +569,76 @@ def q_metric_wide(v: BenchViews):
 @register("metric_long")
 def q_metric_long(v: BenchViews):
     return ing.metric_long(_tables(v).metric)
+
+
+# ---------------------------------------------------------------- linear models
+from benchscope.operators import linear_model as lm  # noqa: E402
+
+
+def _models(v: BenchViews):
+    glm = lm.glm_input(v.metric)
+    return glm, lm.fit_models(glm)
+
+
+@register("glm_input")
+def q_glm_input(v: BenchViews):
+    return lm.glm_input(v.metric)
+
+
+@register("glm_input_counts")
+def q_glm_input_counts(v: BenchViews):
+    return lm.glm_input_counts(lm.glm_input(v.metric))
+
+
+@register("lm_models")
+def q_lm_models(v: BenchViews):
+    glm, ms = _models(v)
+    return lm.model_aic(glm.sparkSession, ms)
+
+
+@register("model_aic")
+def q_model_aic(v: BenchViews):
+    glm, ms = _models(v)
+    return lm.model_aic(glm.sparkSession, ms).select("model", "name", "aic", "is_best")
+
+
+@register("anova")
+def q_anova(v: BenchViews):
+    glm, ms = _models(v)
+    return lm.anova(glm.sparkSession, ms)
+
+
+@register("coefficients")
+def q_coefficients(v: BenchViews):
+    glm, ms = _models(v)
+    return lm.coefficients(glm.sparkSession, ms)
+
+
+@register("model_fit")
+def q_model_fit(v: BenchViews):
+    glm, ms = _models(v)
+    return lm.model_aic(glm.sparkSession, ms).where("is_best").select("model", "r_squared", "adj_r_squared")
+
+
+@register("seed_contribution")
+def q_seed_contribution(v: BenchViews):
+    glm, ms = _models(v)
+    return lm.seed_contribution(glm.sparkSession, ms)
+
+
+@register("residual_diagnostics")
+def q_residual_diagnostics(v: BenchViews):
+    glm, ms = _models(v)
+    return lm.residual_diagnostics(glm, ms)
+
+
+@register("coef_effects")
+def q_coef_effects(v: BenchViews):
+    glm, ms = _models(v)
+    return lm.coef_effects(glm.sparkSession, ms)
+
+
+@register("factor_importance")
+def q_factor_importance(v: BenchViews):
+    glm, ms = _models(v)
+    return lm.factor_importance(glm.sparkSession, ms)

@@ -607,3 +607,18 @@ SELECT m.* EXCLUDE (path), w."k=2", w."k=3" FROM metric_t m LEFT JOIN
   (SELECT path, max(CASE WHEN key = 'k=2' THEN value END) AS "k=2", max(CASE WHEN key = 'k=3' THEN value END) AS "k=3"
    FROM km GROUP BY path) w ON w.path = m.path"""))
 oracle("metric_long", _ing("SELECT km.path, km.key, km.k, km.value AS score FROM km JOIN metric_t m ON m.path = km.path"))
+
+# ---------------------------------------------------------------- linear model input
+_GLM = f"""
+WITH base AS (SELECT *, {_DS} AS dataset, seed AS seed_factor FROM metric
+              WHERE seed IS NOT NULL AND score IS NOT NULL AND true_k IS NOT NULL AND score BETWEEN -1 AND 1),
+glm AS (SELECT * FROM base b WHERE EXISTS (SELECT 1 FROM (SELECT dataset, method, metric, backend FROM base
+          GROUP BY ALL HAVING count(*) >= 3) g WHERE g.dataset IS NOT DISTINCT FROM b.dataset
+          AND g.method IS NOT DISTINCT FROM b.method AND g.metric IS NOT DISTINCT FROM b.metric
+          AND g.backend IS NOT DISTINCT FROM b.backend))"""
+oracle("glm_input", _GLM + "\nSELECT * FROM glm")
+oracle("glm_input_counts", _GLM + """
+SELECT CAST(count(*) AS BIGINT) AS observations, CAST(count(DISTINCT dataset) AS BIGINT) AS n_dataset,
+  CAST(count(DISTINCT method) AS BIGINT) AS n_method, CAST(count(DISTINCT metric) AS BIGINT) AS n_metric,
+  CAST(count(DISTINCT backend) AS BIGINT) AS n_backend, CAST(count(DISTINCT seed_factor) AS BIGINT) AS n_seed_factor
+FROM glm""")
