@@ -642,3 +642,140 @@ def q_coef_effects(v: BenchViews):
 def q_factor_importance(v: BenchViews):
     glm, ms = _models(v)
     return lm.factor_importance(glm.sparkSession, ms)
+
+
+# ---------------------------------------------------------------- chart data
+from benchscope.operators import chartdata as chart  # noqa: E402
+
+
+@register("hist_log_runtime")
+def q_hist_log_runtime(v: BenchViews):
+    return chart.hist_log_runtime(v.method)
+
+
+@register("hist_runtime")
+def q_hist_runtime(v: BenchViews):
+    return chart.hist_runtime(v.method, v.metric)
+
+
+@register("hist_rss")
+def q_hist_rss(v: BenchViews):
+    return chart.hist_rss(summ.peak_rss_data(v.method))
+
+
+@register("hist_score")
+def q_hist_score(v: BenchViews):
+    return chart.hist_score(v.metric)
+
+
+@register("box_time_top_methods")
+def q_box_time_top_methods(v: BenchViews):
+    return chart.box_time_top_methods(v.method, summ.top_by_count(v.method, ["method"], 10))
+
+
+@register("box_score_backend")
+def q_box_score_backend(v: BenchViews):
+    return chart.box_by_backend(v.metric, "score")
+
+
+@register("box_time_backend")
+def q_box_time_backend(v: BenchViews):
+    return chart.box_by_backend(joins.combined_runs(v.metric, v.method), "execution_time_seconds")
+
+
+@register("box_seed")
+def q_box_seed(v: BenchViews):
+    return chart.box_seed(var.seed_top_methods(v.metric, var.first_combinations(v.metric, 4), top_n=8))
+
+
+@register("scatter_time_score")
+def q_scatter_time_score(v: BenchViews):
+    combined = joins.combined_runs(v.metric, v.method)
+    return chart.scatter_time_score(combined, var.most_common(combined, "metric", 4))
+
+
+@register("bar_error")
+def q_bar_error(v: BenchViews):
+    return chart.bar_error(summ.method_comparison(joins.combined_runs(v.metric, v.method)))
+
+
+# ---------------------------------------------------------------- sorts, limits, sets, misc
+
+@register("sort_desc")
+def q_sort_desc(v: BenchViews):
+    return var.score_variability(v.metric)
+
+
+@register("limit_n")
+def q_limit_n(v: BenchViews):
+    return var.time_variability(v.method).limit(10)
+
+
+@register("level_order")
+def q_level_order(v: BenchViews):
+    """``reorder(method, avg_score)``: per metric, the top methods with their
+    level position (ascending mean score, as the bar chart orders them)."""
+    from pyspark.sql import Window
+    top = ranking.top_methods_by_metric(v.metric)
+    w = Window.partitionBy("metric").orderBy(F.col("avg_score").asc(), F.col("method"))
+    return top.withColumn("level", F.row_number().over(w).cast("bigint"))
+
+
+@register("union_summaries")
+def q_union_summaries(v: BenchViews):
+    m = summ.runtime_summary(v.method).withColumn("level", F.lit("method"))
+    x = summ.runtime_summary(v.metric).withColumn("level", F.lit("metric"))
+    return m.unionByName(x)
+
+
+@register("group_count_window")
+def q_group_count_window(v: BenchViews):
+    keys = ["dataset_generator", "dataset_name", "method", "metric", "backend"]
+    counts = v.metric.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("group_n"))
+    from benchscope.functions.columns import null_safe_join
+    return null_safe_join(v.metric, counts, keys, "left")
+
+
+@register("quality_any_filter")
+def q_quality_any_filter(v: BenchViews):
+    from benchscope.functions.columns import count_true
+    agg = v.metric.groupBy("backend", "metric").agg(
+        count_true("empty_file").alias("empty_files"), count_true("duplicate_k_anomaly").alias("duplicate_k"),
+        count_true("missing_true_k_score").alias("missing_true_k"))
+    return flt.having(agg, (F.col("empty_files") > 0) | (F.col("duplicate_k") > 0) | (F.col("missing_true_k") > 0))
+
+
+@register("frontier_filter")
+def q_frontier_filter(v: BenchViews):
+    combined = joins.combined_runs(v.metric, v.method)
+    pts = pareto.time_quality_points(combined)
+    flagged = pareto.pareto_frontier(pts, "avg_time", "avg_score", partition_cols=["metric"])
+    return pareto.frontier_points(flagged, "avg_time", ["metric"]).drop("is_pareto")
+
+
+@register("top_k_with_ties")
+def q_top_k_with_ties(v: BenchViews):
+    """``slice_min(avg_time, n = 3)`` per metric over method means."""
+    pts = pareto.time_quality_points(joins.combined_runs(v.metric, v.method))
+    per = pts.groupBy("metric", "method").agg(F.round(F.avg("avg_time"), 6).alias("avg_time"))
+    return ranking.top_k_with_ties(per, ["metric"], "avg_time", 3, descending=False)
+
+
+@register("minmax_rescale")
+def q_minmax_rescale(v: BenchViews):
+    return ranking.rescale(summ.method_backend_scores(v.metric), ["avg_score"]).withColumn(
+        "avg_score_scaled", F.round("avg_score_scaled", 6))
+
+
+@register("factor_type_case")
+def q_factor_type_case(v: BenchViews):
+    glm, ms = _models(v)
+    c = lm.coefficients(glm.sparkSession, ms, None, None)
+    return c.select("factor", lm.factor_type(F.col("factor")).alias("factor_type"))
+
+
+@register("significance_flag")
+def q_significance_flag(v: BenchViews):
+    glm, ms = _models(v)
+    c = lm.coefficients(glm.sparkSession, ms, None, None)
+    return c.select("factor", "p_value", (F.col("p_value") < lm.SIGNIFICANCE).alias("significant"))

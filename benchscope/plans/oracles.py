@@ -622,3 +622,108 @@ SELECT CAST(count(*) AS BIGINT) AS observations, CAST(count(DISTINCT dataset) AS
   CAST(count(DISTINCT method) AS BIGINT) AS n_method, CAST(count(DISTINCT metric) AS BIGINT) AS n_metric,
   CAST(count(DISTINCT backend) AS BIGINT) AS n_backend, CAST(count(DISTINCT seed_factor) AS BIGINT) AS n_seed_factor
 FROM glm""")
+
+# ---------------------------------------------------------------- chart data
+
+
+def _hist(src: str, x: str, groups: str, bins: int, panels: str = "") -> str:
+    """Equal-width bins over each panel's [min, max]; last bin closed."""
+    gsel = f"{groups}, " if groups else ""
+    on = " AND ".join(f"d.{c.strip()} IS NOT DISTINCT FROM b.{c.strip()}" for c in panels.split(",")) if panels else "true"
+    pgrp = f"GROUP BY {panels}" if panels else ""
+    psel = f"{panels}, " if panels else ""
+    dcols = ", ".join(f"d.{c.strip()}" for c in groups.split(",")) + ", " if groups else ""
+    return f"""
+WITH d AS (SELECT {gsel}CAST({x} AS DOUBLE) AS x FROM {src}),
+d2 AS (SELECT * FROM d WHERE x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x)),
+b AS (SELECT {psel}min(x) AS lo, max(x) AS hi FROM d2 {pgrp}),
+j AS (SELECT {dcols}CASE WHEN hi = lo THEN 0 ELSE least(floor((x - lo) / (hi - lo) * {bins}), {bins - 1}) END AS bin,
+        lo, (hi - lo) / {bins} AS w FROM d2 d JOIN b ON {on})
+SELECT {gsel}CAST(bin AS INTEGER) AS bin, round(lo + bin * w, 6) AS bin_lo, round(lo + (bin + 1) * w, 6) AS bin_hi,
+  CAST(count(*) AS BIGINT) AS count
+FROM j GROUP BY {gsel}bin, lo, w"""
+
+
+def _box(src: str, x: str, groups: str) -> str:
+    gsel = ", ".join(c.strip() for c in groups.split(","))
+    on = " AND ".join(f"d.{c.strip()} IS NOT DISTINCT FROM q.{c.strip()}" for c in groups.split(","))
+    dsel = ", ".join(f"d.{c.strip()}" for c in groups.split(","))
+    return f"""
+WITH d0 AS (SELECT {gsel}, CAST({x} AS DOUBLE) AS x FROM {src}),
+d AS (SELECT * FROM d0 WHERE x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x)),
+q AS (SELECT {gsel}, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS med, quantile_cont(x, 0.75) AS q3
+      FROM d GROUP BY {gsel})
+SELECT {dsel}, CAST(count(*) AS BIGINT) AS n,
+  round(min(CASE WHEN x >= q.q1 - 1.5 * (q.q3 - q.q1) THEN x END), 6) AS whisker_low,
+  round(any_value(q.q1), 6) AS q1, round(any_value(q.med), 6) AS median, round(any_value(q.q3), 6) AS q3,
+  round(max(CASE WHEN x <= q.q3 + 1.5 * (q.q3 - q.q1) THEN x END), 6) AS whisker_high,
+  CAST(count_if(x < q.q1 - 1.5 * (q.q3 - q.q1) OR x > q.q3 + 1.5 * (q.q3 - q.q1)) AS BIGINT) AS n_outliers
+FROM d JOIN q ON {on} GROUP BY {dsel}"""
+
+
+def _pos_log10(c: str) -> str:
+    return f"CASE WHEN {c} > 0 THEN log10({c}) END"
+
+
+oracle("hist_log_runtime", _hist("method", _pos_log10("runtime"), "backend", 50))
+oracle("hist_runtime", _hist("(SELECT 'method' AS level, backend, runtime FROM method WHERE runtime IS NOT NULL "
+                             "UNION ALL SELECT 'metric', backend, runtime FROM metric WHERE runtime IS NOT NULL) u",
+                             "runtime", "level, backend", 30, "level"))
+oracle("hist_rss", "WITH " + _RSSDATA.strip() + ",\n" + _hist("rssd", _pos_log10("peak_rss_mb"),
+                                                           "dataset, method, backend", 20, "dataset, method")
+       .strip()[5:])
+oracle("hist_score", _hist("metric", "score", "metric", 30, "metric"))
+oracle("box_time_top_methods", _box(f"(SELECT * FROM method WHERE method IN {_TOPM('method', 10)}) m",
+                                    _pos_log10(_T), "method"))
+oracle("box_score_backend", _box("metric", "score", "backend"))
+oracle("box_time_backend", _box("combined", _T, "backend"))
+_SEED_ROWS = """
+(WITH combos AS (SELECT DISTINCT dataset_generator, dataset_name, metric FROM metric
+                ORDER BY dataset_generator NULLS LAST, dataset_name NULLS LAST, metric NULLS LAST LIMIT 4),
+runs AS (SELECT m.* FROM metric m JOIN combos c USING (dataset_generator, dataset_name, metric) WHERE m.seed IS NOT NULL),
+stats AS (SELECT dataset_generator, dataset_name, metric, method,
+            row_number() OVER (PARTITION BY dataset_generator, dataset_name, metric
+                               ORDER BY avg(score) DESC NULLS LAST, method) AS method_rank
+          FROM runs GROUP BY dataset_generator, dataset_name, metric, method HAVING count(*) > 1)
+SELECT r.*, s.method_rank FROM runs r JOIN stats s USING (dataset_generator, dataset_name, metric, method)
+WHERE s.method_rank <= 8) sr"""
+oracle("box_seed", _box(_SEED_ROWS, "score", "dataset_generator, dataset_name, metric, method, method_rank"))
+oracle("scatter_time_score", f"""
+SELECT metric, method, backend, dataset_generator, dataset_name, {_T}, score FROM combined
+WHERE metric IN (SELECT metric FROM combined GROUP BY metric ORDER BY count(*) DESC, metric NULLS LAST LIMIT 4)
+  AND {_T} IS NOT NULL AND score IS NOT NULL""")
+oracle("bar_error", f"""
+SELECT method, backend, avg_score, std_dev, round(avg_score - std_dev, 6) AS ymin, round(avg_score + std_dev, 6) AS ymax
+FROM ({_MC}) mc""")
+
+# ---------------------------------------------------------------- sorts, limits, sets, misc
+oracle("sort_desc", ORACLES["score_variability"])
+oracle("limit_n", ORACLES["time_variability"] + f"\nORDER BY cv_execution_time DESC NULLS LAST, {DM} LIMIT 10")
+oracle("level_order", f"""
+SELECT *, row_number() OVER (PARTITION BY metric ORDER BY avg_score, method) AS level FROM ({ORACLES['top_methods_by_metric']}) t""")
+oracle("union_summaries", f"""
+SELECT *, 'method' AS level FROM ({_RT('method')}) a UNION ALL SELECT *, 'metric' FROM ({_RT('metric')}) b""")
+oracle("group_count_window", """
+SELECT m.*, g.group_n FROM metric m LEFT JOIN (SELECT dataset_generator, dataset_name, method, metric, backend,
+  CAST(count(*) AS BIGINT) AS group_n FROM metric GROUP BY ALL) g
+  ON m.dataset_generator IS NOT DISTINCT FROM g.dataset_generator AND m.dataset_name IS NOT DISTINCT FROM g.dataset_name
+ AND m.method IS NOT DISTINCT FROM g.method AND m.metric IS NOT DISTINCT FROM g.metric
+ AND m.backend IS NOT DISTINCT FROM g.backend""")
+oracle("quality_any_filter", f"""
+SELECT * FROM (SELECT backend, metric, {_CT('empty_file')} AS empty_files, {_CT('duplicate_k_anomaly')} AS duplicate_k,
+  {_CT('missing_true_k_score')} AS missing_true_k FROM metric GROUP BY backend, metric) t
+WHERE empty_files > 0 OR duplicate_k > 0 OR missing_true_k > 0""")
+oracle("frontier_filter", f"""
+WITH pts AS ({_TQP.format(src="combined")})
+SELECT p.* FROM pts p WHERE {_DOM('avg_time', 'avg_score', 'q.metric IS NOT DISTINCT FROM p.metric AND').format(cmp='>=')}""")
+oracle("top_k_with_ties", f"""
+WITH pts AS ({_TQP.format(src="combined")}),
+per AS (SELECT metric, method, round(avg(avg_time), 6) AS avg_time FROM pts GROUP BY metric, method)
+SELECT metric, method, avg_time FROM (SELECT *, rank() OVER (PARTITION BY metric ORDER BY avg_time NULLS LAST) AS r
+  FROM per) t WHERE r <= 3""")
+oracle("minmax_rescale", """
+WITH s AS (SELECT backend, method, avg(score) AS avg_score FROM metric GROUP BY backend, method),
+b AS (SELECT min(avg_score) AS lo, max(avg_score) AS hi FROM s)
+SELECT backend, method, avg_score,
+  round(CASE WHEN avg_score IS NULL THEN NULL WHEN hi = lo THEN 0.5 ELSE (avg_score - lo) / (hi - lo) END, 6) AS avg_score_scaled
+FROM s, b""")
