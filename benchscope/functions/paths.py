@@ -55,7 +55,8 @@ def basename(path: Column) -> Column:
 
 def ancestor_name(split: Column, k: int) -> Column:
     """Name of ``D(k)`` from a precomputed ``parts(path)`` ('' at or above ``/``)."""
-    return F.coalesce(F.try_element_at(split, F.size(split) - F.lit(k)), F.lit(""))
+    idx = F.size(split) - F.lit(k)
+    return F.when(idx >= 1, F.coalesce(F.try_element_at(split, idx), F.lit(""))).otherwise(F.lit(""))
 
 
 def depth(path: Column) -> Column:
