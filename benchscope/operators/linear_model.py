@@ -404,6 +404,11 @@ def _qnorm(p: Column) -> Column:
     return F.when(p < plow, low).when(p > 1 - plow, high).otherwise(mid)
 
 
+def _ordered_sum(items: Column) -> Column:
+    """Sum of ``items[].x`` in ``items[].i`` order (deterministic)."""
+    return F.aggregate(F.array_sort(items), F.lit(0.0), lambda acc, e: acc + e["x"])
+
+
 def residual_diagnostics(glm: DataFrame, ms: ModelSet, model: int | None = None) -> DataFrame:
     """M8: per row fitted value, residual, leverage, standardized residual and
     normal QQ quantile (the data behind ``plot(lm)``), computed on the cluster.
@@ -423,9 +428,13 @@ def residual_diagnostics(glm: DataFrame, ms: ModelSet, model: int | None = None)
     cells = glm.select(*FACTORS).distinct()
     act = cells.select(*FACTORS, F.filter(_active(d), lambda x: x.isin(*sorted(in_model))).alias("a"))
     one = act.select(*FACTORS, F.explode("a").alias("i"))
-    fitted = one.join(F.broadcast(beta), "i", "left").groupBy(*FACTORS).agg(F.sum(F.coalesce("b", F.lit(0.0))).alias("fitted"))
+    # sums over at most 7 (49) terms, added in a fixed order so that recomputation is bit-identical
+    fitted = one.join(F.broadcast(beta), "i", "left").groupBy(*FACTORS).agg(
+        _ordered_sum(F.collect_list(F.struct("i", F.coalesce("b", F.lit(0.0)).alias("x")))).alias("fitted"))
     pairs = one.join(act.select(*FACTORS, F.explode("a").alias("j")), FACTORS, "inner")
-    lev = pairs.join(inv, ["i", "j"], "left").groupBy(*FACTORS).agg(F.sum(F.coalesce("v", F.lit(0.0))).alias("leverage"))
+    lev = pairs.join(inv, ["i", "j"], "left").groupBy(*FACTORS).agg(
+        _ordered_sum(F.collect_list(F.struct((F.col("i") * d.p + F.col("j")).alias("i"),
+                                             F.coalesce("v", F.lit(0.0)).alias("x")))).alias("leverage"))
     cellv = fitted.join(lev, FACTORS, "inner")
     rows = glm.select(*FACTORS, "score").join(cellv, FACTORS, "inner")
     sigma = math.sqrt(f.sigma2) if f.sigma2 == f.sigma2 else float("nan")

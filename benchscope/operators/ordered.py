@@ -26,6 +26,27 @@ from pyspark.sql import functions as F
 _AGGS = {"max": F.max, "sum": F.sum, "min": F.min}
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once so that every consumer sees identical values.
+
+    Operators that join rows back on a computed double (a mean, a fitted
+    value) need both sides of that join to hold bit-identical values.  A
+    recomputed floating-point sum is not guaranteed to be: the order in
+    which a reduce task fetches shuffle blocks varies between runs.  The
+    frame is therefore checkpointed to the session's reliable checkpoint
+    directory (``spark.checkpoint.dir``), which also cuts its lineage; only
+    when no directory is configured it falls back to a persisted copy.
+    Callers apply this to aggregated point sets, never to raw tables.
+    """
+    from benchscope.session import checkpoint_dir_or_none
+    if checkpoint_dir_or_none(df.sparkSession):
+        return df.checkpoint(eager=True)
+    from pyspark import StorageLevel
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
+
+
 def _slices(df: DataFrame) -> int:
     conf = df.sparkSession.conf
     return max(1, int(conf.get("spark.sql.shuffle.partitions", "200")))
@@ -58,8 +79,11 @@ def exclusive_prefix(df: DataFrame, part_cols: Sequence[str], order_cols: Sequen
     """
     part_cols, order_cols = list(part_cols), list(order_cols)
     agg = _AGGS[how]
-    ranged = (df.repartitionByRange(_slices(df), *[F.col(c).asc_nulls_first() for c in part_cols + order_cols])
-              .withColumn("_slice", F.spark_partition_id()))
+    # The slice id is the range partition a row landed in.  It is frozen once
+    # (checkpoint) because two consumers read it: a recomputed range exchange
+    # (or a differently coalesced AQE read of it) need not number slices alike.
+    ranged = stable(df.repartitionByRange(_slices(df), *[F.col(c).asc_nulls_first() for c in part_cols + order_cols])
+                    .withColumn("_slice", F.spark_partition_id()))
     w = Window.partitionBy(*part_cols, "_slice").orderBy(*order_cols)
     local = ranged.select(
         "*",
@@ -87,6 +111,7 @@ def average_rank(df: DataFrame, part_cols: Sequence[str], value: str, out: str,
     rank = (#values strictly before) + (#ties + 1) / 2, from value counts.
     """
     part_cols = list(part_cols)
+    df = stable(df)
     v = F.col(value)
     counts = (df.where(v.isNotNull())
               .groupBy(*part_cols, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benchscope.functions.columns import r6, ratio
-from benchscope.operators.ordered import _join_on, exclusive_prefix
+from benchscope.operators.ordered import _join_on, exclusive_prefix, stable
 from benchscope.schema import DM
 
 
@@ -30,7 +30,8 @@ def pareto_frontier(df: DataFrame, x: str, y: str, minimize_x: bool = True, maxi
     clean = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ox = F.col(x) if minimize_x else -F.col(x)
     oy = F.col(y) if maximize_y else -F.col(y)
-    pts = clean.withColumn("_x", ox).withColumn("_y", oy)
+    # the points are joined back on their own computed coordinates: materialise them once
+    pts = stable(clean.withColumn("_x", ox).withColumn("_y", oy))
     best = pts.groupBy(*parts, "_x").agg(F.max("_y").alias("_m"))
     best = exclusive_prefix(best, parts, ["_x"], "_m", how="max", out="_b")
     flagged = _join_on(pts, best, parts + ["_x"], "inner")

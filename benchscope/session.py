@@ -53,3 +53,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def checkpoint_dir_or_none(spark: SparkSession) -> str | None:
+    """The reliable checkpoint directory named by the session, if any.
+
+    Reads ``spark.checkpoint.dir`` and hands it to the SparkContext when the
+    context has none yet; never invents a directory (library code path).
+    """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        sc.setCheckpointDir(configured)
+        return sc.getCheckpointDir() or configured
+    return None

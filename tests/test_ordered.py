@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from benchscope.operators.ordered import average_rank, exact_quantiles, exclusive_prefix
+from benchscope.schema import clean_nan
 
 
 def _frame(rng, n=400):
@@ -43,7 +44,7 @@ def test_average_rank_matches_pandas(spark, descending):
     rng = np.random.default_rng(3)
     pdf = _frame(rng)
     pdf["id"] = np.arange(len(pdf))
-    got = average_rank(spark.createDataFrame(pdf), ["g"], "x", "r", descending=descending).toPandas().sort_values("id")
+    got = average_rank(clean_nan(spark.createDataFrame(pdf)), ["g"], "x", "r", descending=descending).toPandas().sort_values("id")
     exp = pdf.groupby("g")["x"].rank(method="average", ascending=not descending, na_option="keep")
     np.testing.assert_allclose(got["r"].to_numpy(dtype=float), exp.sort_index().to_numpy(dtype=float), equal_nan=True)
 
@@ -52,7 +53,7 @@ def test_exact_quantiles_type7(spark):
     rng = np.random.default_rng(4)
     pdf = _frame(rng, 600)
     probs = [0.0, 0.25, 0.5, 0.75, 1.0, 0.1]
-    got = exact_quantiles(spark.createDataFrame(pdf), ["g"], {"x": "x"}, probs).toPandas()
+    got = exact_quantiles(clean_nan(spark.createDataFrame(pdf)), ["g"], {"x": "x"}, probs).toPandas()
     for (g, p), q in got.set_index(["g", "p"])["q"].items():
         vals = pdf.loc[pdf.g == g, "x"].dropna().to_numpy()
         assert q == pytest.approx(np.quantile(vals, p, method="linear"), rel=1e-12, abs=1e-12)

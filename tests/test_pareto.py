@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from benchscope.operators.pareto import pareto_frontier
+from benchscope.schema import clean_nan
 
 
 def brute(pdf, x, y, minimize_x, maximize_y):
@@ -40,6 +41,6 @@ def test_frontier_matches_definition(spark, minimize_x, maximize_y):
 
 def test_frontier_drops_nulls_and_keeps_equal_points(spark):
     pdf = pd.DataFrame({"x": [1.0, 1.0, 2.0, None, 0.5], "y": [3.0, 3.0, 4.0, 9.0, None]})
-    got = pareto_frontier(spark.createDataFrame(pdf), "x", "y").toPandas().sort_values(["x", "y"])
+    got = pareto_frontier(clean_nan(spark.createDataFrame(pdf)), "x", "y").toPandas().sort_values(["x", "y"])
     assert len(got) == 3
     assert got["is_pareto"].tolist() == [True, True, True]
