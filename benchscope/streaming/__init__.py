@@ -1,0 +1,6 @@
+"""Streaming.
+
+The analysed workload has no streaming operator: run trees are ingested as a
+batch (one recursive scan per file kind) and the analyses read static tables.
+This package is intentionally empty; see README.md ("Not built / re-aimed").
+"""
