@@ -57,50 +57,56 @@ def parse_scores(scores: DataFrame) -> DataFrame:
     header and first-data-row cells, numeric value or NULL),
     ``duplicate_k_anomaly`` and ``k_scores`` (label -> value, last occurrence
     wins; non-numeric cells map to NULL).
+
+    The duplicate check and the last-wins map come from one left fold over the
+    (label, value) pairs whose lambdas touch only their own arguments, so the
+    text is split once per file (no outer column is re-evaluated per element).
     """
     content = F.coalesce(F.col("content"), F.lit(""))
     body = F.regexp_replace(content, r"\r?\n\z", "")          # csv ignores one final newline
-    lines = F.split(body, _NL)
-    header_line = F.try_element_at(lines, F.lit(1))
-    data_line = F.try_element_at(lines, F.lit(2))                          # NULL when there is no data row
-    blank = P.py_strip(content) == ""
-    empty = blank | data_line.isNull()
-    cells = lambda line: F.when((line.isNull()) | (line == ""), F.array().cast("array<string>")).otherwise(
-        F.split(line, ","))
-    hdr, dat = cells(header_line), cells(data_line)
-    n = F.least(F.size(hdr), F.size(dat))
-    out = scores.select(
+    lines = F.split(body, _NL, 3)                              # header, first data row, rest
+    staged = scores.select("*", lines.alias("_lines"), (P.py_strip(content) == "").alias("_blank"))
+    header_line = F.try_element_at(F.col("_lines"), F.lit(1))
+    data_line = F.try_element_at(F.col("_lines"), F.lit(2))   # NULL when there is no data row
+    empty = F.col("_blank") | data_line.isNull()
+    none = F.array().cast("array<string>")
+    cells = lambda line: F.when(line.isNull() | (line == ""), none).otherwise(F.split(line, ","))
+    staged = staged.select("*", empty.alias("empty_file"), cells(header_line).alias("_hdr"),
+                           cells(data_line).alias("_dat"))
+    n = F.greatest(F.least(F.size("_hdr"), F.size("_dat")), F.lit(0))
+    staged = staged.select(
         "*",
-        empty.alias("empty_file"),
-        F.when(empty, F.array().cast("array<string>"))
-         .otherwise(F.transform(F.slice(hdr, 1, F.greatest(n, F.lit(0))), P.strip_quotes)).alias("labels"),
-        F.when(empty, F.array().cast("array<string>"))
-         .otherwise(F.slice(dat, 1, F.greatest(n, F.lit(0)))).alias("raw_values"),
-    )
-    out = out.withColumn("values", F.transform("raw_values", P.py_float))
-    dup = F.exists(
-        F.sequence(F.lit(1), F.greatest(F.size("labels"), F.lit(1))),
-        lambda i: F.coalesce(_dup_at(i), F.lit(False)))
-    keep_last = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.size("labels"), F.lit(1))),
-        lambda i: (i <= F.size("labels")) & ~F.exists(
-            F.sequence(i + 1, F.greatest(F.size("labels"), i + 1)),
-            lambda j: (j <= F.size("labels")) & (j > i)
-            & (F.try_element_at("labels", j) == F.try_element_at("labels", i))))
-    kmap = F.map_from_entries(F.transform(keep_last, lambda i: F.struct(
-        F.try_element_at("labels", i).alias("key"), F.try_element_at("values", i).alias("value"))))
-    return out.withColumn("duplicate_k_anomaly", F.when(F.size("labels") > 0, dup).otherwise(F.lit(False))) \
-              .withColumn("k_scores", kmap.cast("map<string,double>"))
-
-
-def _dup_at(i: Column) -> Column:
-    """Position ``i`` repeats an earlier label whose first value was numeric
-    and differs from this numeric value by more than the tolerance."""
-    first = F.array_position(F.col("labels"), F.try_element_at("labels", i))
-    v, f = F.try_element_at("values", i), F.try_element_at("values", first.cast("int"))
-    return ((i <= F.size("labels")) & (first < i) & v.isNotNull() & f.isNotNull()
-            & ~F.isnan(v) & ~F.isnan(f) & ~F.isnan(v - f)
-            & (F.abs(v - f) > F.lit(DUPLICATE_K_TOLERANCE)))
+        F.when(F.col("empty_file"), none).otherwise(F.transform(F.slice("_hdr", 1, n), P.strip_quotes)).alias("labels"),
+        F.when(F.col("empty_file"), none).otherwise(F.slice("_dat", 1, n)).alias("raw_values"))
+    staged = staged.withColumn("values", F.transform("raw_values", P.py_float))
+    init = F.struct(none.alias("keys"), F.array().cast("array<double>").alias("first"),
+                    F.array().cast("array<double>").alias("last"), F.lit(False).alias("dup"))
+
+    def step(acc, e):
+        pos = F.array_position(acc["keys"], e["labels"]).cast("int")
+        first = F.try_element_at(acc["first"], F.greatest(pos, F.lit(1)))
+        v = e["values"]
+        differs = (v.isNotNull() & first.isNotNull() & ~F.isnan(v) & ~F.isnan(first)
+                   & ~F.isnan(v - first) & (F.abs(v - first) > F.lit(DUPLICATE_K_TOLERANCE)))
+        return F.when(pos > 0, F.struct(
+            acc["keys"].alias("keys"), acc["first"].alias("first"),
+            F.transform(acc["last"], lambda x, j: F.when(j + 1 == pos, v).otherwise(x)).alias("last"),
+            (acc["dup"] | F.coalesce(differs, F.lit(False))).alias("dup"))
+        ).otherwise(F.struct(
+            F.concat(acc["keys"], F.array(e["labels"])).alias("keys"),
+            F.concat(acc["first"], F.array(v)).alias("first"),
+            F.concat(acc["last"], F.array(v)).alias("last"),
+            acc["dup"].alias("dup")))
+
+    # files whose labels are all distinct (the normal case) skip the fold
+    distinct = F.size(F.array_distinct("labels")) == F.size("labels")
+    staged = staged.withColumn("_fold", F.when(~distinct, F.aggregate(F.arrays_zip("labels", "values"), init, step)))
+    return staged.select(
+        *scores.columns, "empty_file", "labels", "raw_values", "values",
+        F.coalesce(F.col("_fold.dup"), F.lit(False)).alias("duplicate_k_anomaly"),
+        F.when(F.col("_fold").isNull(), F.map_from_arrays(F.col("labels"), F.col("values")))
+         .otherwise(F.map_from_arrays(F.col("_fold.keys"), F.col("_fold.last")))
+         .cast("map<string,double>").alias("k_scores"))
 
 
 def score_entries(parsed: DataFrame) -> DataFrame:
@@ -146,41 +152,49 @@ def _file_name(path: Column) -> Column:
     return F.try_element_at(F.split(path, "/"), F.lit(-1))
 
 
-_PARAM_SCHEMA = ("struct<method:string, seed:string, dataset_generator:string, dataset_name:string, "
-                 "metric:string>")
+_JSON_SCHEMA = ("struct<method:string, seed:string, dataset_generator:string, dataset_name:string, metric:string, "
+                + ", ".join(f"{k}:{t}" for k, (_n, t) in PERF_FIELDS.items()) + ">")
 _SEED_NUM_SCHEMA = "struct<seed:double>"
 
 
 def parse_sidecars(sidecars: DataFrame) -> DataFrame:
     """Parse every sidecar once: (dir, name, p) with ``p`` a struct of
-    all fields any lookup needs (JSON fields typed; the timing file's ``s``)."""
+    all fields any lookup needs (JSON fields typed; the timing file's ``s``).
+
+    Each text is parsed once into a column, and fields are read in the next
+    projection (reading them off the parser call directly would make the
+    optimizer split it into one parse per field)."""
     c = F.col("content")
-    keys = F.json_object_keys(c)
+    name = _file_name(F.col("path"))
+    is_json = name.endswith(".json")
+    is_timing = name == TIMING_FILE
+    staged = sidecars.select(
+        _file_dir(F.col("path")).alias("dir"), name.alias("name"), F.col("path").alias("sidecar_path"),
+        F.when(is_json, F.json_object_keys(c)).alias("_keys"),
+        F.when(is_json, F.from_json(c, _JSON_SCHEMA)).alias("_j"),
+        F.when(name == PARAMS_FILE, F.from_json(c, _SEED_NUM_SCHEMA)).alias("_sn"),
+        F.when(is_timing, F.split(c, _NL, 3)).alias("_tl"))
+    keys, j = F.col("_keys"), F.col("_j")
     valid_json = keys.isNotNull()
-    params = F.from_json(c, _PARAM_SCHEMA)
-    seed_num = F.from_json(c, _SEED_NUM_SCHEMA)["seed"]
-    perf_schema = "struct<" + ", ".join(f"{k}:{t}" for k, (_n, t) in PERF_FIELDS.items()) + ">"
-    perf = F.from_json(c, perf_schema)
     # timing file: header line, first data line, tab separated, column "s"
-    lines = F.split(c, _NL)
-    header = F.split(P.py_strip(F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))), "\t")
-    data_line = P.py_strip(F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")))
-    data = F.split(data_line, "\t")
-    idx = F.array_position(header, TIMING_COLUMN)
-    cell = F.when((data_line != "") & (idx > 0) & (idx <= F.size(data)), F.try_element_at(data, idx.cast("int")))
+    header = F.split(P.py_strip(F.coalesce(F.try_element_at(F.col("_tl"), F.lit(1)), F.lit(""))), "\t")
+    data_line = P.py_strip(F.coalesce(F.try_element_at(F.col("_tl"), F.lit(2)), F.lit("")))
+    staged = staged.select("*", header.alias("_th"), data_line.alias("_td"))
+    data = F.split(F.col("_td"), "\t")
+    idx = F.array_position(F.col("_th"), TIMING_COLUMN)
+    cell = F.when((F.col("_td") != "") & (idx > 0) & (idx <= F.size(data)), F.try_element_at(data, idx.cast("int")))
     p = F.struct(
         valid_json.alias("valid"),
-        F.when(valid_json, params["method"]).alias("method"),
+        F.when(valid_json, j["method"]).alias("method"),
         F.when(valid_json, F.array_contains(keys, "seed")).alias("has_seed"),
-        F.when(valid_json, P.coerce_seed(seed_num, params["seed"])).alias("seed"),
-        F.when(valid_json, F.coalesce(params["dataset_generator"], F.lit(""))).alias("dataset_generator"),
-        F.when(valid_json, F.coalesce(params["dataset_name"], F.lit(""))).alias("dataset_name"),
-        F.when(valid_json, params["metric"]).alias("metric"),
-        *[F.when(valid_json, perf[k]).alias(n) for k, (n, _t) in PERF_FIELDS.items()],
-        P.py_float(cell).alias("exec_time"),
+        F.when(valid_json, P.coerce_seed(F.col("_sn")["seed"], j["seed"])).alias("seed"),
+        F.when(valid_json, F.coalesce(j["dataset_generator"], F.lit(""))).alias("dataset_generator"),
+        F.when(valid_json, F.coalesce(j["dataset_name"], F.lit(""))).alias("dataset_name"),
+        F.when(valid_json, j["metric"]).alias("metric"),
+        *[F.when(valid_json, j[k]).alias(n) for k, (n, _t) in PERF_FIELDS.items()],
+        F.when(F.col("name") == TIMING_FILE, P.py_float(cell)).alias("exec_time"),
     )
-    return sidecars.select(_file_dir(F.col("path")).alias("dir"), _file_name(F.col("path")).alias("name"),
-                           F.col("path").alias("sidecar_path"), p.alias("p"))
+    return staged.select("dir", "name", "sidecar_path", p.alias("p"))
 
 
 def label_lines_from_text(files: DataFrame) -> DataFrame:
@@ -191,14 +205,14 @@ def label_lines_from_text(files: DataFrame) -> DataFrame:
 def labels_by_file(label_lines: DataFrame) -> DataFrame:
     """A4 per labels file: ``int(float(line))`` of every non-blank line;
     valid when all lines convert; ``true_k`` = distinct non-zero labels."""
-    lines = label_lines.where(P.py_strip(F.col("line")) != "")
-    v = P.py_float(F.col("line"))
-    ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
-    lab = F.when(ok, v.cast("bigint"))
+    lines = label_lines.where(P.py_strip(F.col("line")) != "").select("path", P.py_float(F.col("line")).alias("_v"))
+    v = F.col("_v")
+    lines = lines.select("path", (v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).alias("_ok"), "_v")
+    lab = F.when(F.col("_ok"), F.col("_v").cast("bigint"))
     per = lines.groupBy("path").agg(
         F.count_distinct(F.when(lab != 0, lab)).cast("bigint").alias("true_k"),
         F.max((lab == 0).cast("int")).alias("_zero"),
-        F.count_if(~ok).alias("_bad"))
+        F.count_if(~F.col("_ok")).alias("_bad"))
     return per.select(_file_dir(F.col("path")).alias("dataset_dir"), F.col("path").alias("labels_path"),
                       "true_k", (F.col("_zero") == 1).alias("has_noise"),
                       (F.col("_bad") == 0).alias("valid"))
@@ -223,39 +237,40 @@ def _nearest(names: list[Column], test) -> Column:
 def file_paths(scores: DataFrame) -> DataFrame:
     """B1, B2 (path step), B5 (path step), B6, B7 and A1 per score file.
 
-    Built in two projections: the split path and the ancestor names first,
-    then everything derived from them, so no expression is evaluated twice
-    and each generated method stays small enough for whole-stage codegen.
+    Stacked projections: the path is split once, ancestor names and levels
+    are derived from that array, directories from the levels -- each column
+    is computed once and referenced by name afterwards.
     """
     path = F.col("path")
-    split = P.parts(path)
-    names = [P.ancestor_name(split, k).alias(f"_n{k}") for k in range(1, ANCESTOR_SEARCH_LEVELS + 2)]
-    staged = scores.select("*", split.alias("_parts"), *names)
-    n = [F.col(f"_n{k}") for k in range(1, ANCESTOR_SEARCH_LEVELS + 2)]
+    staged = scores.select("*", P.parts(path).alias("_parts"))
     sp = F.col("_parts")
-    run_dir = P.run_dir_of(path, F.col("root"))
+    nlev = ANCESTOR_SEARCH_LEVELS + 1
     gen, name = P.dataset_from_path(path)
-    method_level = _nearest(n[:ANCESTOR_SEARCH_LEVELS], lambda b: b.contains(P.METHOD_TOKEN))
-    d1 = P.ancestor(path, 1, sp)
-    perf_level = F.coalesce(method_level, F.when(d1.contains(P.METHOD_TOKEN), F.lit(1)),
-                            F.lit(METHOD_DIR_FALLBACK_LEVEL))
-    dataset_level = _nearest(n[:ANCESTOR_SEARCH_LEVELS],
-                             lambda b: b.contains(P.DATASET_TOKENS[0]) & b.contains(P.DATASET_TOKENS[1]))
     staged = staged.select(
-        "*",
-        run_dir.alias("run_dir"),
+        "*", *[P.ancestor_name(sp, k).alias(f"_n{k}") for k in range(1, nlev + 1)],
+        P.run_dir_of(path, F.col("root")).alias("run_dir"),
         gen.alias("path_generator"), name.alias("path_dataset_name"),
         P.metric_from_path(path).alias("path_metric"),
-        F.when(method_level.isNotNull(), P.ancestor(path, method_level, sp)).alias("method_dir"),
-        P.ancestor(path, perf_level, sp).alias("method_perf_dir"),
+        (F.size(sp) - F.lit(2)).alias("depth"))
+    n = [F.col(f"_n{k}") for k in range(1, nlev + 1)]
+    staged = staged.select(
+        "*",
+        _nearest(n[:ANCESTOR_SEARCH_LEVELS], lambda b: b.contains(P.METHOD_TOKEN)).alias("_method_level"),
+        _nearest(n[:ANCESTOR_SEARCH_LEVELS],
+                 lambda b: b.contains(P.DATASET_TOKENS[0]) & b.contains(P.DATASET_TOKENS[1])).alias("_dataset_level"),
+        *[P.ancestor(path, k, sp).alias(f"_d{k}") for k in range(1, METHOD_SEARCH_LEVELS + 1)])
+    perf_level = F.coalesce(F.col("_method_level"), F.when(F.col("_d1").contains(P.METHOD_TOKEN), F.lit(1)),
+                            F.lit(METHOD_DIR_FALLBACK_LEVEL))
+    staged = staged.select(
+        "*",
+        F.when(F.col("_method_level").isNotNull(), P.ancestor(path, F.col("_method_level"), sp)).alias("method_dir"),
         perf_level.alias("method_perf_level"),
-        F.when(dataset_level.isNotNull(), P.ancestor(path, dataset_level, sp)).alias("dataset_dir"),
-        (F.size(sp) - F.lit(2)).alias("depth"),
-        *[P.ancestor(path, k, sp).alias(f"_d{k}") for k in range(1, METHOD_SEARCH_LEVELS + 1)],
-    )
-    run_name = P.basename(F.col("run_dir"))
-    return staged.select("*", run_name.alias("source_dir"), P.backend_of(run_name).alias("backend"),
-                         P.timestamp_of(run_name).alias("run_timestamp"))
+        F.when(F.col("_dataset_level").isNotNull(), P.ancestor(path, F.col("_dataset_level"), sp)).alias("dataset_dir"),
+        P.basename(F.col("run_dir")).alias("source_dir"))
+    staged = staged.select(
+        "*", P.ancestor(path, F.col("method_perf_level"), sp).alias("method_perf_dir"),
+        P.backend_of(F.col("source_dir")).alias("backend"), P.timestamp_of(F.col("source_dir")).alias("run_timestamp"))
+    return staged
 
 
 def _requests(files: DataFrame) -> DataFrame:

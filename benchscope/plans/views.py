@@ -107,35 +107,38 @@ def _raw_scores(raw_paths: DataFrame) -> DataFrame:
 
 
 def _raw_sidecars(raw_paths: DataFrame) -> DataFrame:
+    """All sidecar texts of each synthetic run, generated from one pass over
+    ``raw_paths`` (one explode instead of a union of five scans)."""
     nl, tab = F.lit("\n"), F.lit("\t")
     mp = F.col("method_path")
-    perf = raw_paths.select(
+    perf = F.struct(
         F.concat(mp, F.lit("/perf.json")).alias("path"),
         F.concat(F.lit('{"max_threads": 4, "peak_mem_rss_kb": '), _s(F.col("peak_rss")),
                  F.when(F.col("runtime").isNull(), F.lit(""))
                   .otherwise(F.concat(F.lit(', "total_time_secs": '), _num(F.col("runtime")))),
                  F.lit("}")).alias("content"))
-    timing = raw_paths.select(
+    timing = F.struct(
         F.concat(mp, F.lit("/clustbench_performance.txt")).alias("path"),
         F.concat(F.lit("usr"), tab, F.lit("s"), nl, F.lit("0"), tab,
                  F.when(F.col("execution_time_seconds").isNull(), F.lit("-"))
                   .otherwise(_num(F.col("execution_time_seconds"))), nl).alias("content"))
-    metric_perf = raw_paths.select(
+    metric_perf = F.struct(
         F.concat(mp, F.lit("/metrics/partition_metrics/metric-"), F.col("metric"),
                  F.lit("/perf.json")).alias("path"),
         F.concat(F.lit('{"total_time_secs": '), _s(F.col("src_line")), F.lit(".5}")).alias("content"))
-    params = raw_paths.where(F.col("src_order") % 10 == 0).select(
+    params = F.when(F.col("src_order") % 10 == 0, F.struct(
         F.concat(mp, F.lit("/parameters.json")).alias("path"),
         F.concat(F.lit('{"method": "alt-'), F.col("method"), F.lit('", "seed": '),
-                 _s(F.col("src_line")), F.lit("}")).alias("content"))
-    labels = raw_paths.select(
+                 _s(F.col("src_line")), F.lit("}")).alias("content")))
+    labels = F.struct(
         F.concat(F.col("dataset_path"), F.lit("/clustbench.labels0.gz")).alias("path"),
         F.concat(F.when(F.col("has_noise"), F.concat(F.lit("0"), nl)).otherwise(F.lit("")),
                  F.lit("1"), nl, F.lit("2.0"), nl,
                  F.when(F.col("true_k") >= 3, F.concat(F.lit("3"), nl)).otherwise(F.lit("")),
                  F.when(F.col("true_k") >= 4, F.concat(F.lit("4"), nl)).otherwise(F.lit(""))
                  ).alias("content"))
-    return perf.unionByName(timing).unionByName(metric_perf).unionByName(params).unionByName(labels)
+    files = raw_paths.select(F.explode(F.array(perf, timing, metric_perf, params, labels)).alias("f"))
+    return files.where(F.col("f").isNotNull()).select("f.path", "f.content")
 
 
 @dataclass(frozen=True)
@@ -182,8 +185,14 @@ def ingest_inputs(v: BenchViews) -> IngestInputs:
     Every synthetic run tree lives under its own ``/bench/<id>`` root.
     """
     from benchscope.operators.ingest import LABELS_FILE_RE, label_lines_from_text
-    scores = v.raw_scores.select("path", F.regexp_extract("path", r"^(/bench/[^/]+)", 1).alias("root"), "content")
+    # A run tree is listed as many small files, i.e. many input splits; the
+    # single lineitem file is one split, so spread the synthetic file texts
+    # over the cluster the way a file listing would.
+    n = v.metric_runs.sparkSession.sparkContext.defaultParallelism
+    scores = v.raw_scores.select("path", F.regexp_extract("path", r"^(/bench/[^/]+)", 1).alias("root"),
+                                 "content").repartition(n)
     name = F.try_element_at(F.split("path", "/"), F.lit(-1))
     is_labels = name.rlike(LABELS_FILE_RE)
-    return IngestInputs(scores=scores, sidecars=v.raw_sidecars.where(~is_labels),
-                        label_lines=label_lines_from_text(v.raw_sidecars.where(is_labels)))
+    sidecars = v.raw_sidecars.repartition(n)
+    return IngestInputs(scores=scores, sidecars=sidecars.where(~is_labels),
+                        label_lines=label_lines_from_text(sidecars.where(is_labels)))
