@@ -41,9 +41,18 @@ def parts(path: Column) -> Column:
 
 def ancestor(path: Column, k: int | Column, split: Column | None = None) -> Column:
     """``D(k)``: the k-th ancestor directory of ``path`` (``/`` at most).
-    ``split`` may pass a precomputed ``parts(path)``."""
+
+    For a fixed ``k`` this is string arithmetic (cut the last k components
+    with ``substring_index``), no array is built; a column ``k`` uses the
+    split path (``split`` may pass a precomputed ``parts(path)``).
+    """
+    if isinstance(k, int):
+        tail = F.substring_index(path, "/", -k)
+        keep = F.length(path) - F.length(tail) - F.lit(1)
+        cut = F.when(keep > 0, F.substring(path, F.lit(1), keep)).otherwise(F.lit(""))
+        return F.when(cut == "", F.lit("/")).otherwise(cut)
     p = split if split is not None else parts(path)
-    n = F.size(p) - (F.lit(k) if isinstance(k, int) else k)
+    n = F.size(p) - k
     joined = F.array_join(F.slice(p, 1, F.greatest(n, F.lit(1))), "/")
     return F.when(joined == "", F.lit("/")).otherwise(joined)
 
@@ -107,9 +116,9 @@ def run_dir_of(path: Column, root: Column) -> Column:
     file when that child's name does; NULL otherwise (file not in a run)."""
     r = F.regexp_replace(root, "/+$", "")
     rest = F.substring(path, F.length(r) + 2, 1 << 30)
-    child = F.try_element_at(F.split(rest, "/"), F.lit(1))
-    child_is_dir = F.size(F.split(rest, "/")) > 1
-    return (F.when(is_run_dir_name(basename(r)), r)
+    child = F.substring_index(rest, "/", 1)
+    child_is_dir = F.instr(rest, "/") > 0
+    return (F.when(is_run_dir_name(F.substring_index(r, "/", -1)), r)
             .when(child_is_dir & is_run_dir_name(child), F.concat(r, F.lit("/"), child)))
 
 

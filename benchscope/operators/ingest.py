@@ -229,48 +229,43 @@ def labels_true_k(label_lines: DataFrame) -> DataFrame:
 
 # ============================================================ per-file resolution (B)
 
-def _nearest(names: list[Column], test) -> Column:
-    """Level (1-based) of the nearest ancestor whose name passes ``test``."""
-    return F.coalesce(*[F.when(test(n), F.lit(k)) for k, n in enumerate(names, start=1)])
+def _nearest_dir(path: Column, name_re: str, levels: int) -> Column:
+    """Nearest ancestor (D1 .. D<levels>) whose name matches ``name_re``: one
+    regex over the path -- the greedy prefix makes the match the deepest one,
+    and the repeat bound keeps it within ``levels`` directories of the file."""
+    pattern = rf"^(.*/{name_re})(?:/[^/]+){{1,{levels}}}$"
+    return F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
 
 
 def file_paths(scores: DataFrame) -> DataFrame:
     """B1, B2 (path step), B5 (path step), B6, B7 and A1 per score file.
 
-    Stacked projections: the path is split once, ancestor names and levels
-    are derived from that array, directories from the levels -- each column
-    is computed once and referenced by name afterwards.
+    Stacked projections: the path is split once, the few ancestor names the
+    method rules need are read from that array, nearest-ancestor searches are
+    single regexes -- each column is computed once and referenced by name.
     """
     path = F.col("path")
     staged = scores.select("*", P.parts(path).alias("_parts"))
     sp = F.col("_parts")
-    nlev = ANCESTOR_SEARCH_LEVELS + 1
     gen, name = P.dataset_from_path(path)
+    method_dir = _nearest_dir(path, r"[^/]*method-[^/]*", ANCESTOR_SEARCH_LEVELS)
+    dataset_dir = _nearest_dir(path, r"[^/]*(?:dataset_generator-[^/]*dataset_name-|dataset_name-[^/]*dataset_generator-)[^/]*",
+                               ANCESTOR_SEARCH_LEVELS)
     staged = staged.select(
-        "*", *[P.ancestor_name(sp, k).alias(f"_n{k}") for k in range(1, nlev + 1)],
+        "*", *[P.ancestor_name(sp, k).alias(f"_n{k}") for k in range(1, METHOD_SEARCH_LEVELS + 2)],
+        *[P.ancestor(path, k, sp).alias(f"_d{k}") for k in range(1, METHOD_SEARCH_LEVELS + 1)],
         P.run_dir_of(path, F.col("root")).alias("run_dir"),
         gen.alias("path_generator"), name.alias("path_dataset_name"),
         P.metric_from_path(path).alias("path_metric"),
-        (F.size(sp) - F.lit(2)).alias("depth"))
-    n = [F.col(f"_n{k}") for k in range(1, nlev + 1)]
-    staged = staged.select(
-        "*",
-        _nearest(n[:ANCESTOR_SEARCH_LEVELS], lambda b: b.contains(P.METHOD_TOKEN)).alias("_method_level"),
-        _nearest(n[:ANCESTOR_SEARCH_LEVELS],
-                 lambda b: b.contains(P.DATASET_TOKENS[0]) & b.contains(P.DATASET_TOKENS[1])).alias("_dataset_level"),
-        *[P.ancestor(path, k, sp).alias(f"_d{k}") for k in range(1, METHOD_SEARCH_LEVELS + 1)])
-    perf_level = F.coalesce(F.col("_method_level"), F.when(F.col("_d1").contains(P.METHOD_TOKEN), F.lit(1)),
-                            F.lit(METHOD_DIR_FALLBACK_LEVEL))
-    staged = staged.select(
-        "*",
-        F.when(F.col("_method_level").isNotNull(), P.ancestor(path, F.col("_method_level"), sp)).alias("method_dir"),
-        perf_level.alias("method_perf_level"),
-        F.when(F.col("_dataset_level").isNotNull(), P.ancestor(path, F.col("_dataset_level"), sp)).alias("dataset_dir"),
-        P.basename(F.col("run_dir")).alias("source_dir"))
-    staged = staged.select(
-        "*", P.ancestor(path, F.col("method_perf_level"), sp).alias("method_perf_dir"),
-        P.backend_of(F.col("source_dir")).alias("backend"), P.timestamp_of(F.col("source_dir")).alias("run_timestamp"))
-    return staged
+        (F.size(sp) - F.lit(2)).alias("depth"),
+        method_dir.alias("method_dir"), dataset_dir.alias("dataset_dir"))
+    # perf.json: the nearest 'method-' directory, else D1 if its path has the
+    # token, else D4
+    perf_dir = F.coalesce(F.col("method_dir"), F.when(F.col("_d1").contains(P.METHOD_TOKEN), F.col("_d1")),
+                          F.col(f"_d{METHOD_DIR_FALLBACK_LEVEL}"))
+    staged = staged.select("*", perf_dir.alias("method_perf_dir"), P.basename(F.col("run_dir")).alias("source_dir"))
+    return staged.select("*", P.backend_of(F.col("source_dir")).alias("backend"),
+                         P.timestamp_of(F.col("source_dir")).alias("run_timestamp"))
 
 
 def _requests(files: DataFrame) -> DataFrame:
@@ -279,7 +274,7 @@ def _requests(files: DataFrame) -> DataFrame:
                      F.lit(PARAMS_FILE).alias("name")) for k in range(1, METHOD_SEARCH_LEVELS + 1)]
     reqs.append(F.struct(F.lit("metric_perf").alias("role"), F.lit(1).alias("level"), F.col("_d1").alias("dir"),
                          F.lit(PERF_FILE).alias("name")))
-    reqs.append(F.struct(F.lit("method_perf").alias("role"), F.col("method_perf_level").alias("level"),
+    reqs.append(F.struct(F.lit("method_perf").alias("role"), F.lit(0).alias("level"),
                          F.col("method_perf_dir").alias("dir"), F.lit(PERF_FILE).alias("name")))
     reqs.append(F.struct(F.lit("timing").alias("role"), F.lit(METHOD_DIR_FALLBACK_LEVEL).alias("level"),
                          F.col(f"_d{METHOD_DIR_FALLBACK_LEVEL}").alias("dir"), F.lit(TIMING_FILE).alias("name")))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from benchscope.functions.columns import dataset_key
 from benchscope.operators.filters import min_group_size
-from benchscope.operators.ordered import average_rank
+from benchscope.operators.ordered import average_rank, stable
 
 # Fixed values that must equal the reference's behaviour ------------------
 FACTORS = ["dataset", "method", "metric", "backend", "seed_factor"]
@@ -84,9 +84,9 @@ def _r_level_name(v) -> str:
     return str(v)
 
 
-def design(glm: DataFrame) -> Design:
-    """Factor levels (one small aggregate of sorted distinct values)."""
-    row = glm.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in FACTORS]).first()
+def design(cells: DataFrame) -> Design:
+    """Factor levels, read from the (small, materialised) cell table."""
+    row = cells.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in FACTORS]).first()
     levels = {c: list(row[c] or []) for c in FACTORS}
     d = Design(levels=levels)
     d.columns.append(("(Intercept)", "(Intercept)"))
@@ -250,6 +250,7 @@ class ModelSet:
     design: Design
     cross: CrossProducts
     fits: dict[int, Fit]
+    cells: DataFrame | None = None
 
     @property
     def best(self) -> Fit:
@@ -259,12 +260,14 @@ class ModelSet:
 def fit_models(glm: DataFrame) -> ModelSet:
     """M2: the four models from one pass over the cells.  Raises when the
     input has too few rows (the report skips the analysis)."""
-    n = glm.count()
-    if n <= MIN_ROWS:
+    # one pass over the rows: the cells (one row per distinct design row)
+    # are materialised once and everything else reads them
+    cells = stable(cell_stats(glm))
+    d = design(cells)
+    cp = cross_products(cells, d)
+    if cp.n <= MIN_ROWS:
         raise ValueError(f"Insufficient data for GLM analysis (need > {MIN_ROWS} observations)")
-    d = design(glm)
-    cp = cross_products(cell_stats(glm), d)
-    return ModelSet(design=d, cross=cp, fits={m: fit(cp, d, m) for m in MODELS})
+    return ModelSet(design=d, cross=cp, fits={m: fit(cp, d, m) for m in MODELS}, cells=cells)
 
 
 # ------------------------------------------------------------ distributions (driver, scalar)
@@ -425,7 +428,7 @@ def residual_diagnostics(glm: DataFrame, ms: ModelSet, model: int | None = None)
     beta = spark.createDataFrame([(int(j), float(b)) for j, b in f.beta.items()], "i int, b double")
     inv = spark.createDataFrame([(int(i), int(j), float(f.cov_unscaled[kept_idx[i], kept_idx[j]]))
                                  for i in f.kept for j in f.kept], "i int, j int, v double")
-    cells = glm.select(*FACTORS).distinct()
+    cells = ms.cells.select(*FACTORS) if ms.cells is not None else glm.select(*FACTORS).distinct()
     act = cells.select(*FACTORS, F.filter(_active(d), lambda x: x.isin(*sorted(in_model))).alias("a"))
     one = act.select(*FACTORS, F.explode("a").alias("i"))
     # sums over at most 7 (49) terms, added in a fixed order so that recomputation is bit-identical

@@ -38,13 +38,18 @@ def stable(df: DataFrame) -> DataFrame:
     when no directory is configured it falls back to a persisted copy.
     Callers apply this to aggregated point sets, never to raw tables.
     """
+    from pyspark import StorageLevel
+
     from benchscope.session import checkpoint_dir_or_none
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     if checkpoint_dir_or_none(df.sparkSession):
-        return df.checkpoint(eager=True)
-    from pyspark import StorageLevel
-    out = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out
+        # persisted first so the checkpoint write reads the computed blocks
+        # instead of running the lineage a second time
+        out = cached.checkpoint(eager=True)
+        cached.unpersist(blocking=False)
+        return out
+    cached.count()
+    return cached
 
 
 def _slices(df: DataFrame) -> int:
