@@ -154,7 +154,10 @@ def method_from_dir(base: Column, parent_base: Column) -> Column:
     lk_name = F.concat(parent_base, F.lit("_linkage-"), F.regexp_extract(base, _u(LINKAGE_SEED_RE), 1))
     lk_seed = F.regexp_extract(base, _u(LINKAGE_SEED_RE), 2)
     null_seed = F.lit(None).cast("bigint")
-    return (F.when(has_seed, F.struct(F.lit(True).alias("found"), normalize_method(seed_name).alias("method"),
+    candidate = base.contains("method-") | base.startswith("linkage-")
+    return (F.when(~candidate, F.struct(F.lit(False).alias("found"), F.lit(None).cast("string").alias("method"),
+                                        null_seed.alias("seed")))
+            .when(has_seed, F.struct(F.lit(True).alias("found"), normalize_method(seed_name).alias("method"),
                                       seed_num.try_cast("bigint").alias("seed")))
             .when(is_method, F.struct(F.lit(True).alias("found"), normalize_method(after_dash).alias("method"),
                                       null_seed.alias("seed")))

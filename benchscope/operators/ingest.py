@@ -278,37 +278,42 @@ def _requests(files: DataFrame) -> DataFrame:
                          F.col("method_perf_dir").alias("dir"), F.lit(PERF_FILE).alias("name")))
     reqs.append(F.struct(F.lit("timing").alias("role"), F.lit(METHOD_DIR_FALLBACK_LEVEL).alias("level"),
                          F.col(f"_d{METHOD_DIR_FALLBACK_LEVEL}").alias("dir"), F.lit(TIMING_FILE).alias("name")))
-    base = files.select("path", F.explode(F.array(*reqs)).alias("r"))
+    base = files.select("path", "depth", F.explode(F.array(*reqs)).alias("r"))
     # dataset parameters.json fallback: odd levels beyond the method search,
     # only for files whose path does not name the dataset
     deep = files.where(F.col("path_generator").isNull()).select(
-        "path", F.explode(F.sequence(F.lit(METHOD_SEARCH_LEVELS + 2),
+        "path", "depth", F.explode(F.sequence(F.lit(METHOD_SEARCH_LEVELS + 2),
                                      F.greatest(F.col("depth") + 1, F.lit(METHOD_SEARCH_LEVELS + 2)), F.lit(2))).alias("k"))
-    deep = deep.select("path", F.struct(F.lit("params").alias("role"), F.col("k").cast("int").alias("level"),
+    deep = deep.select("path", "depth", F.struct(F.lit("params").alias("role"), F.col("k").cast("int").alias("level"),
                                         P.ancestor(F.col("path"), F.col("k").cast("int")).alias("dir"),
                                         F.lit(PARAMS_FILE).alias("name")).alias("r"))
     # the recursion of the reference always ends by looking at "/" itself
     root = files.where(F.col("path_generator").isNull()).select(
-        "path", F.struct(F.lit("params_root").alias("role"), F.lit(ROOT_LEVEL).alias("level"), F.lit("/").alias("dir"),
+        "path", "depth", F.struct(F.lit("params_root").alias("role"), F.lit(ROOT_LEVEL).alias("level"), F.lit("/").alias("dir"),
                          F.lit(PARAMS_FILE).alias("name")).alias("r"))
-    return base.unionByName(deep).unionByName(root).select("path", "r.role", "r.level", "r.dir", "r.name")
+    return base.unionByName(deep).unionByName(root).select("path", "depth", "r.role", "r.level", "r.dir", "r.name")
 
 
 def resolve_sidecars(files: DataFrame, parsed_sidecars: DataFrame) -> DataFrame:
-    """Attach every sidecar a score file consults: (path, found array)."""
+    """Attach every sidecar a score file consults.
+
+    One equi-join of the lookups with the parsed sidecars, then one
+    ``groupBy(path)`` whose conditional aggregates pick, per role and level,
+    the (at most one) sidecar found; the dataset fallback takes the valid
+    parameters.json of the lowest odd level (or ``/``)."""
     req = _requests(files)
     hit = req.join(parsed_sidecars, ["dir", "name"], "inner")
-    return hit.groupBy("path").agg(F.collect_list(F.struct("role", "level", "p")).alias("found"))
-
+    role, level, p = F.col("role"), F.col("level"), F.col("p")
 
-def _pick(role: str, level: int | None = None) -> Column:
-    """The parsed sidecar a file found for ``role`` (and ``level``), or NULL."""
-    def ok(x):
-        cond = x["role"] == role
-        if level is not None:
-            cond = cond & (x["level"] == F.lit(level))
-        return cond
-    return F.try_element_at(F.filter(F.col("found"), ok), F.lit(1))["p"]
+    def pick(cond):
+        return F.first(F.when(cond, p), ignorenulls=True)
+    ds_cond = ((((role == "params") & (level % 2 == 1) & (level <= F.col("depth"))) | (role == "params_root"))
+               & p["valid"])
+    return hit.groupBy("path").agg(
+        *[pick((role == "params") & (level == k)).alias(f"_p{k}") for k in range(1, METHOD_SEARCH_LEVELS + 1)],
+        pick(role == "method_perf").alias("_mperf"), pick(role == "metric_perf").alias("_xperf"),
+        pick(role == "timing").alias("_timing"),
+        F.min_by(p, F.when(ds_cond, level)).alias("_pds"))
 
 
 def _method_info(staged: DataFrame) -> DataFrame:
@@ -340,11 +345,9 @@ def _method_info(staged: DataFrame) -> DataFrame:
 
 
 def _dataset_info() -> tuple[Column, Column]:
-    """B2 fallback: first valid parameters.json at D1, D3, D5, ... ('' keys)."""
-    cands = F.filter(F.col("found"), lambda x: (((x["role"] == "params") & (x["level"] % 2 == 1)
-                                                 & (x["level"] <= F.col("depth")))
-                                                | (x["role"] == "params_root")) & x["p"]["valid"])
-    first = F.try_element_at(F.array_sort(cands, lambda a, b: (a["level"] - b["level"]).cast("int")), F.lit(1))["p"]
+    """B2: the path's dataset, else the first valid parameters.json at D1, D3,
+    D5, ... or ``/`` (missing keys give '')."""
+    first = F.col("_pds")
     gen = F.coalesce(F.col("path_generator"), first["dataset_generator"], F.lit(""))
     name = F.when(F.col("path_generator").isNotNull(), F.col("path_dataset_name")) \
         .otherwise(F.coalesce(first["dataset_name"], F.lit("")))
@@ -374,9 +377,6 @@ def resolve_files(scores: DataFrame, sidecars: DataFrame, label_lines: DataFrame
     found = resolve_sidecars(fp, parse_sidecars(sidecars))
     labels = labels_true_k(label_lines)
     files = fp.join(found, "path", "left").join(labels, "dataset_dir", "left")
-    picks = [_pick("params", k).alias(f"_p{k}") for k in range(1, METHOD_SEARCH_LEVELS + 1)]
-    files = files.select("*", *picks, _pick("method_perf").alias("_mperf"), _pick("metric_perf").alias("_xperf"),
-                         _pick("timing").alias("_timing"))
     files = _method_info(files)
     gen, name = _dataset_info()
     mperf, xperf, timing = F.col("_mperf"), F.col("_xperf"), F.col("_timing")

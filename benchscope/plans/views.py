@@ -186,13 +186,15 @@ def ingest_inputs(v: BenchViews) -> IngestInputs:
     """
     from benchscope.operators.ingest import LABELS_FILE_RE, label_lines_from_text
     # A run tree is listed as many small files, i.e. many input splits; the
-    # single lineitem file is one split, so spread the synthetic file texts
-    # over the cluster the way a file listing would.
+    # single lineitem file is one split.  Spread the (narrow) source rows over
+    # the cluster by hash before the file texts are generated, the way a file
+    # listing would, so no text is shuffled.
     n = v.metric_runs.sparkSession.sparkContext.defaultParallelism
-    scores = v.raw_scores.select("path", F.regexp_extract("path", r"^(/bench/[^/]+)", 1).alias("root"),
-                                 "content").repartition(n)
-    name = F.try_element_at(F.split("path", "/"), F.lit(-1))
+    raw_paths = _raw_paths(v.metric_runs.repartition(n, "src_order"))
+    scores = _raw_scores(raw_paths)
+    scores = scores.select("path", F.regexp_extract("path", r"^(/bench/[^/]+)", 1).alias("root"), "content")
+    sidecars = _raw_sidecars(raw_paths)
+    name = F.substring_index(F.col("path"), "/", -1)
     is_labels = name.rlike(LABELS_FILE_RE)
-    sidecars = v.raw_sidecars.repartition(n)
     return IngestInputs(scores=scores, sidecars=sidecars.where(~is_labels),
                         label_lines=label_lines_from_text(sidecars.where(is_labels)))

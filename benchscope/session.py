@@ -28,7 +28,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     """A local session for tests and the bench (never used by library code)."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app_name)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", os.environ.get("BENCHSCOPE_DRIVER_MEMORY", "8g")))
+               .config("spark.driver.memory", os.environ.get("BENCHSCOPE_DRIVER_MEMORY", "16g")))
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
