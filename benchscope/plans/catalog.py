@@ -779,3 +779,26 @@ def q_significance_flag(v: BenchViews):
     glm, ms = _models(v)
     c = lm.coefficients(glm.sparkSession, ms, None, None)
     return c.select("factor", "p_value", (F.col("p_value") < lm.SIGNIFICANCE).alias("significant"))
+
+
+# ---------------------------------------------------------------- loaders and aliases
+from benchscope.sources import load as loader  # noqa: E402
+
+
+@register("load_method")
+def q_load_method(v: BenchViews):
+    """A13's casts (categories as text, flags boolean, NaN -> NULL) applied to
+    the method table (the parquet read itself is covered by the tests)."""
+    return loader.cast_method(v.method)
+
+
+@register("load_metric")
+def q_load_metric(v: BenchViews):
+    """A14's casts applied to the metric table."""
+    return loader.cast_metric(v.metric)
+
+
+@register("k_sort")
+def q_k_sort(v: BenchViews):
+    """H4: the k labels in numeric column order (the B8 ordering)."""
+    return ing.k_column_order(_tables(v).metric)

@@ -727,3 +727,8 @@ b AS (SELECT min(avg_score) AS lo, max(avg_score) AS hi FROM s)
 SELECT backend, method, avg_score,
   round(CASE WHEN avg_score IS NULL THEN NULL WHEN hi = lo THEN 0.5 ELSE (avg_score - lo) / (hi - lo) END, 6) AS avg_score_scaled
 FROM s, b""")
+
+# ---------------------------------------------------------------- loaders and aliases
+oracle("load_method", "SELECT * FROM method")
+oracle("load_metric", "SELECT * FROM metric")
+oracle("k_sort", ORACLES["k_column_order"])

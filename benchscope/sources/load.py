@@ -57,14 +57,25 @@ def _tolerant_cast(df: DataFrame, strings: list[str], flags: list[str]) -> DataF
     return clean_nan(df.select(*cols))
 
 
+def cast_method(df: DataFrame) -> DataFrame:
+    """A13's tolerant casts: category columns as strings, ``has_noise`` as
+    boolean (only where present), NaN as NULL."""
+    return _tolerant_cast(df, METHOD_CATEGORIES, ["has_noise"])
+
+
+def cast_metric(df: DataFrame) -> DataFrame:
+    """A14's tolerant casts: as A13 plus the boolean flag columns."""
+    return _tolerant_cast(df, METRIC_CATEGORIES, METRIC_FLAGS)
+
+
 def load_method(spark: SparkSession, path: str) -> DataFrame:
-    """Method table with category columns as strings, NaN as NULL."""
-    return _tolerant_cast(spark.read.parquet(path), METHOD_CATEGORIES, ["has_noise"])
+    """Read a method table (column pruning reaches the parquet scan)."""
+    return cast_method(spark.read.parquet(path))
 
 
 def load_metric(spark: SparkSession, path: str) -> DataFrame:
-    """Metric table, as A13 plus the boolean flag columns."""
-    return _tolerant_cast(spark.read.parquet(path), METRIC_CATEGORIES, METRIC_FLAGS)
+    """Read a metric table."""
+    return cast_metric(spark.read.parquet(path))
 
 
 def load_both(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
