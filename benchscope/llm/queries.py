@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from benchscope.llm import bpe, html_text, packing, secrets
+from benchscope.llm import ann, bpe, html_text, langid, packing, secrets, toxicity
 from benchscope.llm.common import table
 
 BEST_FIT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,10 +18,22 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BEST_FIT_VOCABULARY)
 
@@ -31,7 +43,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_scan, op5_html_main_text, op9_best_fit_packing, op10_bpe_codec)
+    f.__name__: f for f in (op2_secret_scan, op3_nearest_neighbours, op5_html_main_text, op6_toxicity, op7_language_id, op9_best_fit_packing, op10_bpe_codec)
 }
 #: DuckDB SQL of the queries that SQL expresses.
 ORACLES: dict[str, str] = {}
