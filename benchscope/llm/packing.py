@@ -122,10 +122,10 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, n
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, per_part: int = 60_000, rounds: int = 3) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, per_part: int = 8_192, rounds: int = 3) -> DataFrame:
     """Adds sequence_id, offset, and the partition's bin count and certified bound.
 
-    ``pieces`` is read more than once and must be stored (``common.stored``).
+    ``pieces`` is read twice and must be stored (``common.stored``).
     """
     shipped(pieces.sparkSession)
     parts = max(1, -(-pieces.count() // per_part))
@@ -138,22 +138,23 @@ def pack(pieces: DataFrame, capacity: int = 1024, per_part: int = 60_000, rounds
         low = lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
         return group.assign(bin=b, offset=o, n_bins=n, bound=low)
 
+    def again(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        before = group.drop_duplicates("part")["n_bins"]
+        if len(before) > 1:
+            new = run(key, group.assign(part=key[0]))
+            if new["n_bins"].iloc[0] < before.sum():
+                return new[group.columns]
+        return group
+
     names = [c.split()[0] for c in PIECE.split(", ")]
     dealt = pieces.select(*names, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).alias("part"))
     packed = stored(dealt.groupBy("part").applyInPandas(run, schema), "packed")
+    gap = F.col("n_bins") > F.col("bound")
     for turn in range(1, rounds + 1):
         # partitions of one block of 2 ** turn that still have a gap exchange their documents
-        first = F.shiftleft(F.shiftright(F.col("part").bitwiseAND((1 << 28) - 1), turn), turn)
-        state = packed.groupBy("part").agg(F.first("n_bins").alias("n_bins"), F.first("bound").alias("bound"))
-        gaps = state.where("n_bins > bound").select("part", "n_bins", (first + F.lit(turn << 28)).alias("pool"))
-        pools = gaps.groupBy("pool").agg(F.sum("n_bins").alias("was"), F.count(F.lit(1)).alias("members")).where("members > 1")
-        moved = stored(gaps.join(pools, "pool").select("part", "pool", "was"), "pools")
-        if moved.isEmpty():
-            continue
-        again = stored(packed.join(moved, "part").select(*names, F.col("pool").alias("part")).groupBy("part").applyInPandas(run, schema), "repacked")
-        better = again.groupBy("part").agg(F.first("n_bins").alias("now")).join(moved.groupBy(F.col("pool").alias("part")).agg(F.first("was").alias("was")), "part").where("now < was").select("part")
-        left = moved.join(better.select(F.col("part").alias("pool")), "pool", "left_semi").select("part")
-        packed = stored(packed.join(left, "part", "left_anti").unionByName(again.join(better, "part", "left_semi")), "packed")
+        block = F.shiftleft(F.shiftright(F.col("part").bitwiseAND((1 << 28) - 1), turn), turn)
+        pool = (block + F.lit(turn << 28)).alias("pool")
+        packed = stored(packed.where(~gap).unionByName(packed.where(gap).groupBy(pool).applyInPandas(again, schema)), "packed")
     return packed.select(*names, (F.col("part") * F.lit(1 << 31) + F.col("bin")).alias("sequence_id"), "offset", "n_bins", "bound")
 
 
