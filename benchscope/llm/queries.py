@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from benchscope.llm import ann, bpe, html_text, langid, packing, secrets, toxicity
+from benchscope.llm import ann, bpe, html_text, imatch, langid, near_dup, packing, secrets, toxicity
 from benchscope.llm.common import table
 
 BEST_FIT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CODEC_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BEST_FIT_VOCABULARY)
 
@@ -43,7 +51,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_scan, op3_nearest_neighbours, op5_html_main_text, op6_toxicity, op7_language_id, op9_best_fit_packing, op10_bpe_codec)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scan, op3_nearest_neighbours, op5_html_main_text, op6_toxicity, op7_language_id, op8_imatch, op9_best_fit_packing, op10_bpe_codec)
 }
 #: DuckDB SQL of the queries that SQL expresses.
 ORACLES: dict[str, str] = {}
