@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from benchscope.llm import ann, bpe, html_text, imatch, langid, near_dup, packing, secrets, toxicity
+from benchscope.llm import ann, bpe, html_text, imatch, langid, line_dedup, near_dup, packing, secrets, toxicity
 from benchscope.llm.common import table
+from corpus_pipeline import run as pipeline
 
 BEST_FIT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CODEC_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,6 +27,11 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -51,7 +57,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scan, op3_nearest_neighbours, op5_html_main_text, op6_toxicity, op7_language_id, op8_imatch, op9_best_fit_packing, op10_bpe_codec)
-}
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scan, op3_nearest_neighbours, op4_line_dedup, op5_html_main_text, op6_toxicity, op7_language_id, op8_imatch, op9_best_fit_packing, op10_bpe_codec)
+} | {"pipeline": pipeline}
 #: DuckDB SQL of the queries that SQL expresses.
 ORACLES: dict[str, str] = {}
