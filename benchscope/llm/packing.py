@@ -5,10 +5,12 @@ tokens (only longer documents are cut; the first piece takes the remainder).
 ``pack`` deals the pieces to partitions of bounded size by a hash.  Each partition
 packs its pieces best-fit decreasing and certifies its bin count with dual-feasible
 functions: weights f(size) that no feasible bin can exceed in sum, so the total is a
-lower bound.  A partition whose count equals its bound is final.  Partitions with a gap
-exchange documents: two and two are pooled, dealt anew as one and packed again, and the
-new packing is kept where it takes fewer bins.  Rounds are a parameter; a partition
-never grows past ``2 ** rounds`` times its first size, whatever the input's size.
+lower bound.  The same bound on the counts of all lengths certifies the whole: rounds end
+when the bins meet it.  Until then partitions with a gap (more bins than their bound, or
+than their tokens would fill, which only an exchange can mend) exchange documents with
+their neighbours: two and two are pooled, dealt anew as one and packed again, and the new
+packing is kept where it takes fewer bins.  Rounds are a parameter; a partition never grows past ``2 ** rounds``
+times its first size, whatever the input's size.
 
 Null and empty texts are documents of the end token alone.  Rows with equal ids or
 texts are packed as often as they come; ties fall by length, document and piece; an
@@ -129,32 +131,39 @@ def pack(pieces: DataFrame, capacity: int = 1024, per_part: int = 8_192, rounds:
     """
     shipped(pieces.sparkSession)
     parts = max(1, -(-pieces.count() // per_part))
-    schema = PIECE + ", part long, bin long, offset long, n_bins long, bound long"
+    schema = PIECE + ", part long, bin long, offset long, n_bins long, bound long, full long"
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         sizes = group["length"].to_numpy()
         b, o, n = best_fit(sizes, capacity)
         low = lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
-        return group.assign(bin=b, offset=o, n_bins=n, bound=low)
+        return group.assign(bin=b, offset=o, n_bins=n, bound=low, full=-(-int(sizes.sum()) // capacity))
 
     def again(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        before = group.drop_duplicates("part")["n_bins"]
-        if len(before) > 1:
+        before = group.drop_duplicates("part")
+        if len(before) > 1 and (before["n_bins"] > before["full"]).any():
             new = run(key, group.assign(part=key[0]))
-            if new["n_bins"].iloc[0] < before.sum():
+            if new["n_bins"].iloc[0] < before["n_bins"].sum():
                 return new[group.columns]
         return group
 
     names = [c.split()[0] for c in PIECE.split(", ")]
     dealt = pieces.select(*names, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).alias("part"))
     packed = stored(dealt.groupBy("part").applyInPandas(run, schema), "packed")
-    gap = F.col("n_bins") > F.col("bound")
+    # the certificate of the whole, from at most ``capacity`` counts
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+    least = lower_bound(counts, capacity)
+    bins = lambda: packed.groupBy("part").agg(F.first("n_bins").alias("n")).agg(F.sum("n")).first()[0] or 0
     for turn in range(1, rounds + 1):
-        # partitions of one block of 2 ** turn that still have a gap exchange their documents
+        if bins() == least:
+            break
+        # the partitions of a block of 2 ** turn exchange documents if one of them has a gap
         block = F.shiftleft(F.shiftright(F.col("part").bitwiseAND((1 << 28) - 1), turn), turn)
         pool = (block + F.lit(turn << 28)).alias("pool")
-        packed = stored(packed.where(~gap).unionByName(packed.where(gap).groupBy(pool).applyInPandas(again, schema)), "packed")
+        packed = stored(packed.groupBy(pool).applyInPandas(again, schema), "packed")
     return packed.select(*names, (F.col("part") * F.lit(1 << 31) + F.col("bin")).alias("sequence_id"), "offset", "n_bins", "bound")
 
 
