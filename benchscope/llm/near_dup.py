@@ -5,21 +5,22 @@ sets are one class, represented by the smallest id; only classes are joined, so
 are never paired.
 
 The join branches recursively.  In each of ``TREES`` independent trees the root picks
-``BRANCH`` of the ``WIDTH`` minwise tokens of a document, and each picked token leads to
-the node of all classes that share its value; a node picks the tokens of its own
-children by the hash of its path.  Two sets of similarity J share a picked token with
-probability J, so a pair at 0.8 misses all 8 nodes of the first level with probability
-0.2 ** 8.  One-bit sketches of the minwise tokens and the set sizes (which bound J) drop
-hopeless pairs; every other candidate is confirmed on the full sets.
-
-Nodes are finished in order of cost.  First each node's pivot is compared with its
-members, twice, with pivots chosen differently: a node of m members costs m - 1
-comparisons.  Nodes whose members are then all connected are done, as no further link
-can change a component.  In a node where at most ``SMALL`` members are outside the
-largest component, these are compared with all others that are not connected to them.
-Larger nodes branch on; what is left at depth ``DEPTH`` is compared in the same exact
-way without a bound.  Components come from minimum labels with pointer jumping, all on
-the cluster; every round is written to the shared folder.
+one of the ``WIDTH`` minwise tokens of a document and leads to the node of all classes
+that share its value; a node that branches picks ``BRANCH`` tokens for its children by
+the hash of its path.  Two sets of similarity J share a picked token with probability J,
+so a pair at 0.8 misses the nodes of all trees with probability 0.2 ** TREES.  Sketches
+of two bits a minwise token and the set sizes (which bound J) drop hopeless pairs; every
+link is confirmed on the full sets.
+
+First each node's pivot is compared with its members, m - 1 comparisons a node.  Nodes
+whose members are then all connected are done, as no further link can change a
+component.  A node of at most ``SMALL`` members joins the members of different
+components.  One of at most ``CAP`` members is compared exhaustively as one group, in
+two steps: sketches first, then the sets of the members that are still in question, by
+counting common shingles.  A larger node branches; what is still larger at depth
+``DEPTH`` is cut into blocks and compared block against block, so nothing is dropped.
+Components come from minimum labels with pointer jumping, all on the cluster; every
+round is written to the shared folder.
 
 Null and empty texts, and texts without a word, have an empty set and link with nothing.
 A text with fewer words than a shingle is one shingle.  Rows that repeat a doc_id are one
@@ -30,14 +31,15 @@ are not returned; further columns are ignored; an empty table gives an empty res
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benchscope.llm.common import arrow_map, chunks, stored
-from benchscope.llm.wordcache import span_hashes
+from benchscope.llm.wordcache import gather, span_hashes
 
-WIDTH, TREES, BRANCH, DEPTH, SMALL = 64, 4, 2, 6, 24
+WIDTH, TREES, BRANCH, DEPTH, SMALL, CAP = 64, 6, 2, 6, 24, 2048
 _U = np.uint64
 _C1, _C2, _C3 = _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53), _U(0x9E3779B97F4A7C15)
 
@@ -199,12 +201,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def alike(x: str, y: str, percent: int):
-    """What two rows of similar sets must satisfy: sizes, and sketches six deviations below the mean."""
+def least_bits(percent: int) -> float:
+    """Sketch bits that sets of the similarity share, six deviations below the mean."""
     share = percent / 100
     agree = 1 + share  # bits of a token's two that agree on average
     spread = (4 * (share + (1 - share) / 4) + (1 - share) / 2 - agree**2) ** 0.5
-    least = WIDTH * agree - 6.2 * (WIDTH**0.5) * spread
+    return WIDTH * agree - 6.2 * (WIDTH**0.5) * spread
+
+
+def alike(x: str, y: str, percent: int):
+    """What two rows of similar sets must satisfy, by their sizes and sketches."""
+    least = least_bits(percent)
     bits = 2 * WIDTH - F.bit_count(F.col(f"{x}.k1").bitwiseXOR(F.col(f"{y}.k1"))) - F.bit_count(F.col(f"{x}.k2").bitwiseXOR(F.col(f"{y}.k2")))
     sizes = F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * percent
     return sizes & (bits >= int(least))
@@ -215,21 +222,69 @@ def with_company(members: DataFrame) -> DataFrame:
     return members.join(members.groupBy("node").count().where("count > 1").select("node"), "node")
 
 
-def pivot_pairs(members: DataFrame, order, percent: int) -> DataFrame:
-    """(a, b): each member of a node with the node's pivot, the first by ``order``."""
-    pivots = members.groupBy("node").agg(F.min_by(F.struct("cid", "n", "k1", "k2"), order).alias("p")).select("node", "p.*").alias("y")
+def pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each member of a node with the node's pivot, the smallest id."""
+    pivots = members.groupBy("node").agg(F.min(F.struct("cid", "n", "k1", "k2")).alias("p")).select("node", "p.*").alias("y")
     met = members.alias("x").join(pivots, (F.col("x.node") == F.col("y.node")) & (F.col("x.cid") != F.col("y.cid")) & alike("x", "y", percent))
     return met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are not connected yet."""
-    side = lambda c: labels.select(F.col("cid").alias(c), F.col("comp").alias(f"c{c}"))
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def in_question(members: DataFrame, percent: int) -> DataFrame:
+    """The rows (of ``group``) with a like row of another component in their group."""
+    least = int(least_bits(percent))
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        n, comp = g["n"].to_numpy(), g["comp"].to_numpy()
+        k = g[["k1", "k2"]].to_numpy().view(np.uint64)
+        keep = np.zeros(len(g), bool)
+        for at in range(0, len(g), 256):
+            z = slice(at, at + 256)
+            differ = np.bitwise_count(k[z, None, 0] ^ k[None, :, 0]).astype(np.int16) + np.bitwise_count(k[z, None, 1] ^ k[None, :, 1])
+            like = (2 * WIDTH - differ >= least) & (comp[z, None] != comp[None])
+            like &= 100 * np.minimum(n[z, None], n[None]) >= percent * np.maximum(n[z, None], n[None])
+            keep[z] = like.any(axis=1)
+        return g[keep]
+
+    columns = ["group", "cid", "n", "k1", "k2", "comp"]
+    return members.select(*columns).groupBy("group").applyInPandas(run, "group long, cid long, n long, k1 long, k2 long, comp long")
+
+
+def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between components in each group, one that spans them where several do."""
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("cid", kind="stable").reset_index(drop=True)
+        cid, comp, n = (g[c].to_numpy() for c in ("cid", "comp", "n"))
+        size = np.fromiter(map(len, g["items"]), np.int64, len(g))
+        item = np.unique(np.concatenate(g["items"].to_list()), return_inverse=True)[1]
+        owner = np.repeat(np.arange(len(g)), size)
+        order = np.argsort(item, kind="stable")
+        posting, cuts = owner[order], np.searchsorted(item[order], np.arange(item.max() + 2))
+        first = np.cumsum(size) - size
+        joined = {c: c for c in comp.tolist()}
+
+        def root(c: int) -> int:
+            while joined[c] != c:
+                c = joined[c]
+            return c
+
+        names, counts = np.unique(comp, return_counts=True)
+        main, out = names[counts.argmax()], []
+        for i in np.flatnonzero(comp != main).tolist():  # the largest component's members meet all others
+            own = item[first[i] : first[i] + size[i]]
+            common = np.bincount(gather(posting, cuts[own], cuts[own + 1] - cuts[own]), minlength=len(g))
+            for j in np.flatnonzero((100 * common >= percent * (n + n[i] - common)) & (comp != comp[i])).tolist():
+                x, y = root(int(comp[i])), root(int(comp[j]))
+                if x != y:
+                    joined[x] = y
+                    out.append((min(cid[i], cid[j]), max(cid[i], cid[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    both = members.select("group", "cid", "comp", "n").join(sets, "cid")
+    return both.groupBy("group").applyInPandas(run, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, small: int = SMALL, cap: int = CAP, depths: int = DEPTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
     key = ["n", "s1", "s2"]
     own = signatures(docs, words).groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "k1", "k2", "sig")).alias("s")).select("doc_id", "s.*")
@@ -237,43 +292,52 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     one = F.struct("doc_id", "k1", "k2", "sig")
     classes = own.where("n > 0").groupBy(*key).agg(F.min(one).alias("c")).select("c.doc_id", *key, "c.k1", "c.k2", "c.sig").withColumnRenamed("doc_id", "cid")
     classes = stored(classes, "classes")
-    roots = F.array(*(F.xxhash64(F.lit(k // BRANCH), F.lit(k), F.col("sig")[k]) for k in range(TREES * BRANCH)))
+    roots = F.array(*(F.xxhash64(F.lit(k), F.col("sig")[k]) for k in range(TREES)))
     members = stored(with_company(classes.select(F.explode(roots).alias("node"), "cid", "n", "k1", "k2")), "members")
 
-    first = stored(pivot_pairs(members, F.col("cid"), percent), "pairs")
-    second = stored(pivot_pairs(members, F.xxhash64("node", "cid"), percent).join(first, ["a", "b"], "left_anti"), "pairs")
     ends = lambda p: p.select(F.col("a").alias("cid")).union(p.select("b")).distinct()
-    ids = classes.select("cid", "s1").join(ends(first.union(second)), "cid", "left_semi")
-    sets = stored(full_sets(docs, ids, words), "sets")
+    first = stored(pivot_pairs(members, percent), "pairs")
+    sets = stored(full_sets(docs, classes.select("cid", "s1").join(ends(first), "cid", "left_semi"), words), "sets")
     links = stored(confirmed(first, sets, percent), "links")
     labels = components(links)
-    links = stored(links.union(confirmed(apart(second, labels), sets, percent)), "links")
-    labels = components(links)
 
-    rest: DataFrame | None = None
-    for depth in range(DEPTH + 1):
+    pairs, groups = [], []
+    for depth in range(depths + 1):
         known = members.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        by_comp = known.groupBy("node", "comp").count().groupBy("node").agg(F.sum("count").alias("size"), F.max("count").alias("most"), F.max_by("comp", F.struct("count", "comp")).alias("main")).where("size > most")
-        known = stored(known.join(by_comp, "node"), "members")
-        small = known if depth == DEPTH else known.where(F.col("size") - F.col("most") <= SMALL)
-        x, y = small.where("comp != main").alias("x"), small.alias("y")
-        meet = (F.col("x.node") == F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.cid") < F.col("y.cid"))) & alike("x", "y", percent)
-        found = x.join(y, meet).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
-        rest = stored(found if rest is None else rest.union(found).distinct(), "pairs")
-        large = known.where(F.col("size") - F.col("most") > SMALL).select("node", "cid", "n", "k1", "k2")
-        if depth == DEPTH or large.isEmpty():
+        open_nodes = known.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node", "size")
+        known = stored(known.join(open_nodes, "node"), "members")
+        x, y = (known.where(F.col("size") <= small).alias(c) for c in "xy")
+        meet = (F.col("x.node") == F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.cid") < F.col("y.cid")) & alike("x", "y", percent)
+        pairs.append(stored(x.join(y, meet).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct(), "pairs"))
+        middle = known.where((F.col("size") > small) & (F.col("size") <= cap))
+        groups.append(stored(in_question(middle.withColumn("group", F.col("node")), percent), "groups"))
+        large = known.where(F.col("size") > cap)
+        if large.isEmpty():
+            break
+        if depth == depths:  # block against block, a block of half a group
+            blocks = F.ceil(2 * F.col("size") / cap)
+            mine = F.pmod(F.xxhash64("cid"), blocks)
+            cut = large.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            cut = cut.withColumn("group", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")))
+            groups.append(stored(in_question(cut, percent), "groups"))
             break
         pick = [F.pmod(F.xxhash64("node", F.lit(depth), F.lit(k)), F.lit(WIDTH)).cast("int") for k in range(BRANCH)]
         down = F.array(*(F.xxhash64("node", p, F.get("sig", p)) for p in pick))
-        members = stored(with_company(large.join(classes.select("cid", "sig"), "cid").select(F.explode(down).alias("node"), "cid", "n", "k1", "k2")), "members")
-    rest = stored(rest.join(first.union(second), ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        missing = classes.select("cid", "s1").join(ends(rest), "cid", "left_semi").join(sets.select("cid"), "cid", "left_anti")
-        missing = stored(missing, "missing")
-        if not missing.isEmpty():
-            sets = stored(sets.union(full_sets(docs, missing, words)), "sets")
-        links = stored(links.union(confirmed(rest, sets, percent)), "links")
-        labels = components(links)
+        large = large.select("node", "cid", "n", "k1", "k2").join(classes.select("cid", "sig"), "cid")
+        members = stored(with_company(large.select(F.explode(down).alias("node"), "cid", "n", "k1", "k2")), "members")
+    rest = pairs[0]
+    asked = groups[0]
+    for more in pairs[1:]:
+        rest = rest.union(more)
+    for more in groups[1:]:
+        asked = asked.union(more)
+    rest = stored(rest.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    missing = classes.select("cid", "s1").join(ends(rest).union(asked.select("cid")).distinct(), "cid", "left_semi").join(sets.select("cid"), "cid", "left_anti")
+    missing = stored(missing, "missing")
+    if not missing.isEmpty():
+        sets = stored(sets.union(full_sets(docs, missing, words)), "sets")
+    links = stored(links.union(confirmed(rest, sets, percent)).union(compared(asked, sets, percent)), "links")
+    labels = components(links)
     named = classes.select(*key, "cid").join(labels, "cid", "left").select(*key, F.coalesce("comp", "cid").alias("component_id"))
     out = own.select("doc_id", *key).join(named, key, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -1,7 +1,8 @@
 """Operator 6: toxicity by weak supervision.
 
-Sixteen voters look at a text: lexicons of several languages, lexicons and word stems
-mined from labelled rows, text patterns, and one that votes when nothing was found.
+Sixteen voters look at a text: lexicons of several languages, words mined from labelled
+rows, one and two words with mined stems, text patterns, and one that votes when nothing
+was found.
 The votes of all learning documents are counted by vote pattern (at most 2 ** 16).  A
 generative model with a hidden class explains the counts: expectation maximisation
 estimates how often each voter fires in either class, then voters whose votes still
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benchscope.llm.common import arrow_map, chunks, crc_fold, stored
+from benchscope.llm.near_dup import mix, shingle_sets
 from benchscope.llm.wordcache import LETTER, char_classes, code_points, span_hashes
 
 #: Most labelled rows that mining and the classifier are fitted on.
@@ -39,6 +41,8 @@ SAMPLE = 30_000
 MINED = 4_000
 BUCKETS = 1 << 17
 STEM = 5
+#: Lengths of the stems that are mined.
+STEMS = range(4, 9)
 PREDICT_AT = 0.3
 
 #: General words of contempt and abuse, one lexicon a voter.
@@ -48,7 +52,7 @@ LEXICONS = (
     "trash garbage scum scumbag scumbags vermin parasite parasites filth pig pigs rat rats cockroach cockroaches maggot maggots degenerate degenerates pest dirtbag lowlife lowlifes",
     "fuck fucks fucking fucked fucker fuckers motherfucker shit shitty bullshit bitch bitches bastard bastards asshole assholes dick dickhead prick cunt cunts whore slut sluts crap damn",
     "idioten dumm dummkopf blöd blödmann trottel depp arschloch scheiße scheiß wichser hurensohn abschaum dreckskerl versager widerlich ekelhaft erbärmlich wertlos müll missgeburt schwachkopf vollidiot",
-    "idiote idiots imbécile crétin débile abruti connard connasse salaud salope merde putain con pute ordure minable pathétique dégoûtant nul stupide bouffon racaille vermine",
+    "idiote idiots imbécile crétin débile abruti connard connasse salaud salope merde putain ordure minable pathétique dégoûtant stupide bouffon racaille vermine",
     "idiota idiotas imbécil estúpido estúpida tonto tonta pendejo cabrón puta puto mierda gilipollas basura escoria patético asqueroso inútil payaso maldito cerdo bastardo",
 )
 _ADDRESS = re.compile(r"\b(?:you|you're|you are|ur|du|ihr|tu|vous|eres|sois)\b[^.\n]{0,24}\b(?:idiot|moron|stupid|dumb|pathetic|worthless|disgusting|trash|scum|loser|clown|fool|hate|shut up|go die|kill yourself|dumm|débile|idiota)", re.I)
@@ -56,17 +60,42 @@ _MASKED = re.compile(r"\b[a-z][*#@$]{2,}[a-z]*\b|\b(?:kill|die|hang)\s+(?:yourse
 VOTERS = 16
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of words and of word stems by text: (text number, hash), sorted."""
-    _, cp, bounds = code_points([t.lower() + " " for t in texts])
-    letter = char_classes()[np.minimum(cp, 0x10FFFF)] == LETTER
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], letter.view(np.int8), [0]])))
-    starts, ends = edge[::2], edge[1::2]
-    owner = np.searchsorted(bounds, starts, side="right") - 1
-    words = span_hashes(cp, starts, ends) & ~np.uint64(1)
-    long = ends - starts > STEM
-    stems = span_hashes(cp, starts[long], starts[long] + STEM) | np.uint64(1)  # the last bit tells stems from words
-    owner, hashes = np.concatenate([owner, owner[long]]), np.concatenate([words, stems])
+@dataclass
+class Words:
+    """The distinct words of some texts: text number, hash, and where an example stands."""
+
+    cp: np.ndarray
+    owner: np.ndarray
+    hash: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Words:
+        _, cp, bounds = code_points([t.lower() + " " for t in texts])
+        letter = char_classes()[np.minimum(cp, 0x10FFFF)] == LETTER
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], letter.view(np.int8), [0]])))
+        start, end = edge[::2], edge[1::2]
+        owner = np.searchsorted(bounds, start, side="right") - 1
+        h = span_hashes(cp, start, end) & ~np.uint64(1)
+        order = np.lexsort((h, owner))
+        owner, h = owner[order], h[order]
+        first = np.ones(len(h), bool)
+        first[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
+        at = order[first]
+        return cls(cp, owner[first], h[first], start[at], (end - start)[at])
+
+    def stems(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have more than ``n`` letters, and the hash of their first ``n``."""
+        long = np.flatnonzero(self.size > n)
+        h = span_hashes(self.cp, self.start[long], self.start[long] + n)
+        return long, h ^ np.uint64(n << 1) | np.uint64(1)  # the last bit tells stems from words
+
+
+def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of the words and stems that the classifier weighs."""
+    long, stems = words.stems(STEM)
+    owner, hashes = np.concatenate([words.owner, words.owner[long]]), np.concatenate([words.hash, stems])
     order = np.lexsort((hashes, owner))
     owner, hashes = owner[order], hashes[order]
     first = np.ones(len(owner), bool)
@@ -75,8 +104,15 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(words: str) -> np.ndarray:
-    found = features([words])[1]
-    return found[found & np.uint64(1) == 0]
+    return Words.of([words]).hash
+
+
+def within(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Place of each hash in sorted keys, -1 where it is none."""
+    if not len(keys):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, at, -1)
 
 
 @dataclass
@@ -88,32 +124,38 @@ class Model:
     weights: np.ndarray | None = None
 
     def __post_init__(self) -> None:
-        word, group = self.mined & np.uint64(1) == 0, self.mined >> np.uint64(8)
-        sets = [word_hashes(x) for x in LEXICONS]
-        sets += [self.mined[word & (group % np.uint64(3) == k)] for k in range(3)]
-        sets += [self.mined[~word & (group % np.uint64(2) == k)] for k in range(2)]
+        word = self.mined & np.uint64(1) == 0
+        group = (self.mined >> np.uint64(8)) % np.uint64(3)
+        sets = [word_hashes(x) for x in LEXICONS] + [self.mined[word & (group == k)] for k in range(3)]
         pairs: dict[int, int] = {}
         for k, s in enumerate(sets):
             for h in s.tolist():
                 pairs[h] = pairs.get(h, 0) | 1 << k
         self.keys = np.array(sorted(pairs), np.uint64)
         self.bits = np.array([pairs[h] for h in self.keys.tolist()], np.int64)
+        self.stems = np.sort(self.mined[~word])
 
-    def votes(self, texts: list[str], owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    def votes(self, texts: list[str], words: Words) -> np.ndarray:
         """The vote pattern of each text, bit k for voter k."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[at] == hashes)
-        out = np.zeros(len(texts), np.int64)
-        np.bitwise_or.at(out, owner[hit], self.bits[at[hit]])
-        words = hit[hashes[hit] & np.uint64(1) == 0]
-        several = np.bincount(owner[words], minlength=len(texts)) >= 2
-        shown = np.array([(1 << 12 if _ADDRESS.search(t) else 0) | (1 << 13 if _MASKED.search(t) else 0) for t in texts], np.int64)
-        out |= shown | np.where(several, 1 << 14, 0)
+        n = len(texts)
+        at = within(self.keys, words.hash)
+        hit = np.flatnonzero(at >= 0)
+        out = np.zeros(n, np.int64)
+        np.bitwise_or.at(out, words.owner[hit], self.bits[at[hit]])
+        stemmed = np.zeros(len(words.hash), bool)
+        for k in STEMS if len(self.stems) else ():
+            long, h = words.stems(k)
+            stemmed[long[within(self.stems, h) >= 0]] = True
+        by_stem = np.bincount(words.owner[stemmed], minlength=n)
+        by_word = np.bincount(words.owner[hit], minlength=n)
+        out |= np.where(by_stem >= 1, 1 << 10, 0) | np.where(by_stem >= 2, 1 << 11, 0) | np.where(by_word >= 2, 1 << 14, 0)
+        out |= np.array([(1 << 12 if _ADDRESS.search(t) else 0) | (1 << 13 if _MASKED.search(t) else 0) for t in texts], np.int64)
         return out | np.where(out == 0, 1 << 15, 0)
 
     def score(self, texts: list[str]) -> np.ndarray:
-        owner, hashes = features(texts)
-        return sigmoid(linear(self.weights, owner, buckets(hashes), self.votes(texts, owner, hashes), len(texts)))
+        words = Words.of(texts)
+        owner, hashes = features(words)
+        return sigmoid(linear(self.weights, owner, buckets(hashes), self.votes(texts, words), len(texts)))
 
 
 def buckets(hashes: np.ndarray) -> np.ndarray:
@@ -158,6 +200,22 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, label: np.ndarray, rou
     prior = (counts[label == 1].sum() + 1) / (counts[label >= 0].sum() + 10)
     q = sigmoid(known + np.where(bits[:, :15].sum(axis=1) >= 2, 2.0, np.where(bits[:, 15] == 1, -4.0, 0.0)))
     groups = [[k] for k in range(VOTERS)]
+
+    def joined(bond: np.ndarray, least: float) -> None:
+        for i, j in sorted(((i, j) for i in range(VOTERS) for j in range(i)), key=lambda x: -bond[x]):
+            a, b = (next(g for g in groups if k in g) for k in (i, j))
+            if bond[i, j] > least and a is not b and len(a) + len(b) <= 6:
+                groups.remove(b)
+                a += b
+
+    def bonds(weight: np.ndarray) -> np.ndarray:
+        p = weight / max(weight.sum(), 1e-9)
+        dev = bits - p @ bits
+        cov = dev.T @ (dev * p[:, None])
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        return np.abs(cov / sd / sd[:, None]) * min(1.0, weight.sum() / 50)
+
+    joined(bonds(counts.astype(float)), 0.9)  # all but copies of one another, whatever the class
     for stage in range(2):
         for _ in range(rounds):
             odds = np.full(len(patterns), np.log(prior / (1 - prior)))
@@ -173,24 +231,43 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, label: np.ndarray, rou
         if stage:
             break
         # what is left of correlation within a class joins voters, at most six to a group
-        bond = np.zeros((VOTERS, VOTERS))
-        for weight in (counts * q, counts * (1 - q)):
-            p = weight / max(weight.sum(), 1e-9)
-            dev = bits - p @ bits
-            cov = dev.T @ (dev * p[:, None])
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            bond = np.maximum(bond, np.abs(cov / sd / sd[:, None]) * min(1.0, weight.sum() / 50))
-        for i, j in sorted(((i, j) for i in range(VOTERS) for j in range(i)), key=lambda x: -bond[x]):
-            a, b = (next(g for g in groups if k in g) for k in (i, j))
-            if bond[i, j] > 0.25 and a is not b and len(a) + len(b) <= 6:
-                groups.remove(b)
-                a += b
+        joined(np.maximum(bonds(counts * q), bonds(counts * (1 - q))), 0.25)
     out = np.full(1 << VOTERS, prior)
-    order = np.argsort(counts, kind="stable")
-    out[patterns[order]] = sigmoid(odds[order])  # without the known label: the votes alone
+    out[patterns] = sigmoid(odds)  # without the known label: the votes alone
+    # a pattern's own labels, where it has any, correct what the model says of it
+    toxic, clean = (np.bincount(patterns[label == y], weights=counts[label == y], minlength=1 << VOTERS) for y in (1, 0))
+    return (2 * out + toxic) / (2 + toxic + clean)
+
+
+def minima(texts: list[str], words: int = 3) -> np.ndarray:
+    """Three minwise hashes of each text's word shingles; 0 for a text without words."""
+    hashes, owner = shingle_sets(texts, words)
+    n = np.bincount(owner, minlength=len(texts))
+    some, out = np.flatnonzero(n), np.zeros((3, len(texts)), np.int64)
+    for k in range(3) if len(some) else ():
+        least = np.minimum.reduceat(mix(hashes ^ np.uint64(k * 0x9E3779B9)), (np.cumsum(n) - n)[some])
+        out[k, some] = least.view(np.int64)
     return out
 
 
+def unlike(rows: DataFrame) -> DataFrame:
+    """(doc_id) of one row of each group of copies and near copies: else the rare words
+    of one text that was copied often would look like a sign of its label."""
+
+    def make():
+        def f(b: pa.RecordBatch) -> pa.RecordBatch:
+            texts = b.column("_t").to_pylist()
+            m = np.concatenate([minima(texts[a:z]) for a, z in chunks(texts)], axis=1)
+            return pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, m)], ["doc_id", "m0", "m1", "m2"])
+
+        return f
+
+    left = arrow_map(rows.select("doc_id", "_t"), make, "doc_id long, m0 long, m1 long, m2 long")
+    for m in ("m0", "m1", "m2"):
+        left = left.groupBy(m).agg(F.min(F.struct("doc_id", "m0", "m1", "m2")).alias("s")).select("s.*")
+    return left.select("doc_id").distinct()
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from documents and labels that are not held out."""
     learning = docs.where(crc_fold() != 2).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
@@ -203,9 +280,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             texts, toxic = b.column("_t").to_pylist(), np.array(b.column("toxic").to_pylist(), np.int64)
             hashes, owners = [], []
             for a, z in chunks(texts):
-                o, h = features(texts[a:z])
-                owners.append(o + a)
-                hashes.append(h)
+                words = Words.of(texts[a:z])
+                for where, h in ((np.arange(len(words.hash)), words.hash), *map(words.stems, STEMS)):
+                    # a text counts once for each word or stem
+                    pair = np.unique(np.stack([words.owner[where].astype(np.uint64), h]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
+                    owners.append(pair[0].astype(np.int64) + a)
+                    hashes.append(pair[1])
             g, back = np.unique(np.concatenate(hashes), return_inverse=True)
             y = toxic[np.concatenate(owners)]
             return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.bincount(back, minlength=len(g))), pa.array(np.bincount(back, weights=y, minlength=len(g)).astype(np.int64))], ["hash", "n", "toxic"])
@@ -213,9 +293,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return f
 
     # words and stems that stand almost only in toxic texts, by a cautious share
-    sums = arrow_map(rows.select("_t", "toxic"), mine, "hash long, n long, toxic long").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    sure = (F.col("toxic") + 0.2) / (F.col("n") + 2.0)
-    found = sums.where("toxic >= 3").where(sure > 0.5).orderBy(sure.desc(), F.desc("n"), "hash").limit(MINED).collect()
+    texts = rows.join(F.broadcast(unlike(rows)), "doc_id")
+    sums = stored(arrow_map(texts.select("_t", "toxic"), mine, "hash long, n long, toxic long").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")), "mined")
+    base, tests = texts.agg(F.avg("toxic")).first()[0] or 0.0, sums.count()
+    # the chance to meet so many toxic texts by the base rate, against the number of words tried
+    p0, r = min(max(base, 1e-3), 0.5), F.col("toxic") / F.col("n")
+    bits = r * F.log(r / p0) + F.when(r < 1, (1 - r) * F.log((1 - r) / (1 - p0))).otherwise(0.0)
+    found = sums.where("2 * toxic > n").where(bits * F.col("n") > float(np.log(max(tests, 1)) + 3)).orderBy((bits * F.col("n")).desc(), "hash").limit(MINED).collect()
     model = Model(np.array(sorted(r["hash"] for r in found), np.int64).view(np.uint64))
 
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -227,9 +311,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             texts, out, feats = b.column("_t").to_pylist(), [], []
             with_features = b.num_columns > 1
             for a, z in chunks(texts):
-                owner, hashes = features(texts[a:z])
-                out.append(own.votes(texts[a:z], owner, hashes))
+                words = Words.of(texts[a:z])
+                out.append(own.votes(texts[a:z], words))
                 if with_features:
+                    owner, hashes = features(words)
                     feats += np.split(buckets(hashes).astype(np.int32), np.searchsorted(owner, np.arange(1, z - a)))
             votes = np.concatenate(out)
             if with_features:

@@ -79,7 +79,11 @@ def test_a_large_group_of_near_copies(frame):
             t[rng.randrange(len(t))] = f"z{rng.randrange(10**6)}"
         rows.append((i, " ".join(t)))
     rows += [(i, rows[i % 3][1]) for i in range(150, 250)]
-    assert found(frame(rows), 2) == brute_components(rows, 2)
+    want = brute_components(rows, 2)
+    assert found(frame(rows), 2) == want
+    for depths in (0, 2):  # nodes that are cut into blocks, at once or after branching
+        got = near_dup.near_duplicates(frame(rows), 2, small=4, cap=40, depths=depths)
+        assert sorted(map(tuple, got.collect())) == want
 
 
 def test_long_chain_of_links(spark):
@@ -138,7 +142,7 @@ def test_common_vectors_ties_and_unusable_ones(spark):
 
 # ---------------------------------------------------------------- 4
 
-PASSAGE = " ".join(f"passage{i}" for i in range(60))
+PASSAGE = " ".join(f"passage{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
 LICENSE = "this text may be used under the usual license number {} of the year {}"
 
 
@@ -147,7 +151,8 @@ def lined(df, **more):
 
 
 def test_recurring_lines_go_and_clean_ones_stay(frame):
-    own = lambda i, n: [" ".join(f"d{i}l{j}w{k}" for k in range(15)) for j in range(n)]
+    word = lambda *x: "".join("abcdefghij"[int(c)] for c in "".join(f"{y:02d}" for y in x))
+    own = lambda i, n: [" ".join(word(i, j, k) for k in range(15)) for j in range(n)]
     clean = {i: own(i, 6) for i in range(10)}
     rows = {i: list(v) for i, v in clean.items()}
     for i in range(4):
@@ -160,7 +165,7 @@ def test_recurring_lines_go_and_clean_ones_stay(frame):
     copy = own(99, 8)
     for i in (50, 51, 52):
         rows[i] = list(copy)
-    rows[53] = [*copy[:7], copy[7].replace("d99l7w3", "changed")]
+    rows[53] = [*copy[:7], copy[7].replace(word(99, 7, 13), "changed")]
     got = lined(frame([(i, "\n".join(v)) for i, v in rows.items()]))
     for i in range(10):
         tail = ["Fine then."] if i < 5 else [f"so {i}"]
