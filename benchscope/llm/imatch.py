@@ -93,39 +93,42 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(whole).cast("double")
 
 
+def listed(kept: str, whole: Column) -> Column:
+    """The fingerprint's entries; the hash of the whole text where no term is in the lexicon."""
+    return F.when(F.size(kept) > 0, entries(F.col(kept))).otherwise(F.array(whole))
+
+
 def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """The contract's columns for every document."""
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     words = lexicon(base.select("text"), low, high)
+    # one more entry, which every text is given, carries what is known of the text
+    known = words.unionByName(words.sparkSession.range(1).select(F.lit(0).cast("long").alias("h"))).distinct()
+    hashes = lambda c: F.concat(terms(F.col(c)), F.array(F.lit(0).cast("long")))
     rows = base.withColumn("b", F.floor(F.col("doc_id") / BLOCK))
-    # the first rows of the blocks, and for each block that of the next one
+    # the first rows of the blocks, few in number, their fingerprints, and for each block those of the next one
     heads = stored(rows.groupBy("b").agg(F.max(F.struct("doc_id", F.struct("text").alias("t"))).alias("h")).select("b", F.col("h.t.text").alias("head")), "heads")
     link = following(heads.select(F.col("b").alias("k"))).select(F.col("k").alias("b"), F.col("nxt").alias("c"))
-    bridge = stored(link.join(heads.withColumnRenamed("b", "c"), "c").select("b", F.col("c").alias("next_b"), "head"), "bridge")
+    hits = heads.select("b", "head", F.explode(hashes("head")).alias("h")).join(F.broadcast(known), "h")
+    first = hits.groupBy("b", "head").agg(F.sort_array(F.collect_list(F.when(F.col("h") != 0, F.col("h")))).alias("own"))
+    first = first.select(F.col("b").alias("c"), "head", listed("own", F.sha2("head", 256)).alias("head_fp"))
+    bridge = stored(link.join(first, "c").select("b", "head", "head_fp"), "bridge")
     w = Window.partitionBy("b").orderBy(F.desc("doc_id"), F.desc("text"))
-    rows = rows.withColumn("pos", F.row_number().over(w)).withColumn("after", F.lead("text").over(w)).join(bridge, "b")
     n, third = F.length("text"), F.floor(F.length("text") / 3)
-    rows = rows.select(
-        "b", "pos", "doc_id", "text", n.cast("long").alias("n_chars"),
-        F.when(F.col("after").isNull(), F.col("next_b")).otherwise(F.col("b")).alias("next_b"),
-        F.when(F.col("after").isNull(), F.lit(1)).otherwise(F.col("pos") + 1).alias("next_pos"),
-        F.concat(F.substring("text", F.lit(1), (n - third).cast("int")), F.substring(F.coalesce("after", "head"), F.lit(1), third.cast("int"))).alias("edited"),
-    )
-    facts = F.struct("doc_id", "n_chars", "next_b", "next_pos", F.sha2("edited", 256).alias("edited_sha256"), F.sha2("text", 256).alias("text_sha256"))
-    none = F.lit(None).cast("struct<doc_id:bigint,n_chars:bigint,next_b:bigint,next_pos:int,edited_sha256:string,text_sha256:string>")
+    rows = rows.withColumn("pos", F.row_number().over(w)).withColumn("after", F.lead("text").over(w)).join(bridge.select("b", "head"), "b")
+    edited = F.concat(F.substring("text", F.lit(1), (n - third).cast("int")), F.substring(F.coalesce("after", "head"), F.lit(1), third.cast("int")))
+    rows = rows.select("b", "pos", "doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    facts = F.struct("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.sha2("text", 256).alias("text_sha256"))
+    none = F.lit(None).cast("struct<doc_id:bigint,n_chars:bigint,edited_sha256:string,text_sha256:string>")
     own = lambda side: F.transform(terms(F.col(("text", "edited")[side])), lambda h: F.struct(F.lit(side).alias("side"), h.alias("h"), none.alias("facts")))
-    # one more element, which the lexicon also has, carries what is known of the document
     one = F.array(F.struct(F.lit(2).alias("side"), F.lit(0).cast("long").alias("h"), facts.alias("facts")))
     exploded = rows.select("b", "pos", F.explode(F.concat(own(0), own(1), one)).alias("e")).select("b", "pos", "e.side", "e.h", "e.facts")
-    words = words.unionByName(words.sparkSession.range(1).select(F.lit(0).cast("long").alias("h"))).distinct()
-    hits = exploded.join(F.broadcast(words), "h")
     kept = lambda side: F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("h"))))
-    found = hits.groupBy("b", "pos").agg(kept(0).alias("own"), kept(1).alias("cut"), F.max("facts").alias("f")).select("b", "pos", "own", "cut", "f.*")
-    listed = lambda terms_of, whole: F.when(F.size(terms_of) > 0, entries(F.col(terms_of))).otherwise(F.array(whole))
-    found = found.select("b", "pos", "doc_id", "n_chars", "next_b", "next_pos", "edited_sha256", listed("own", F.col("text_sha256")).alias("fp"), listed("cut", F.col("edited_sha256")).alias("efp"))
-    found = stored(found, "fingerprints")
-    after = found.select(F.col("b").alias("next_b"), F.col("pos").alias("next_pos"), F.col("fp").alias("nfp"))
-    return found.join(after, ["next_b", "next_pos"]).select(
+    found = exploded.join(F.broadcast(known), "h").groupBy("b", "pos").agg(kept(0).alias("own"), kept(1).alias("cut"), F.max("facts").alias("f"))
+    found = found.select("b", "pos", "f.doc_id", "f.n_chars", "f.edited_sha256", listed("own", F.col("f.text_sha256")).alias("fp"), listed("cut", F.col("f.edited_sha256")).alias("efp"))
+    # all of this is still dealt by block: the next fingerprint is the following row's, or the next block's first
+    found = found.withColumn("nfp", F.lead("fp").over(Window.partitionBy("b").orderBy("pos"))).join(bridge.select("b", "head_fp"), "b")
+    return found.select(
         "doc_id", "n_chars", "edited_sha256", F.concat_ws(",", "fp").alias("fingerprint"), F.concat_ws(",", "efp").alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"),
+        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.coalesce("nfp", "head_fp")).alias("near_next"),
     )
