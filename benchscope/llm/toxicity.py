@@ -11,9 +11,9 @@ own, so correlated voters are not counted as independent evidence.  Its posterio
 train a linear classifier over hashed words, word stems and votes; the classifier scores
 every document.
 
-Labels come only from rows that are not held out.  Mining and the classifier use at
-most ``SAMPLE`` labelled rows, taken by a hash of the id; the vote counts cover all
-learning documents.
+Labels come only from rows that are not held out.  Mining uses at most ``SAMPLE``
+labelled rows and the classifier at most ``FITTED`` of them, taken by a hash of the id;
+the vote counts cover all learning documents.
 
 Null and empty texts are scored as texts without words.  Repeated labels of one
 document count once (toxic if any says so); null labels teach nothing.  Without labelled
@@ -35,8 +35,8 @@ from benchscope.llm.common import arrow_map, chunks, crc_fold, stored
 from benchscope.llm.near_dup import mix, shingle_sets
 from benchscope.llm.wordcache import LETTER, char_classes, code_points, span_hashes
 
-#: Most labelled rows that mining and the classifier are fitted on.
-SAMPLE = 30_000
+#: Most labelled rows that words are mined from, and that the classifier is fitted on.
+SAMPLE, FITTED = 30_000, 8_000
 #: Most mined words and stems.
 MINED = 4_000
 BUCKETS = 1 << 17
@@ -198,7 +198,6 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, label: np.ndarray, rou
     total = counts.sum()
     known = np.where(label == 1, np.log(50), np.where(label == 0, -np.log(50), 0.0))
     prior = (counts[label == 1].sum() + 1) / (counts[label >= 0].sum() + 10)
-    q = sigmoid(known + np.where(bits[:, :15].sum(axis=1) >= 2, 2.0, np.where(bits[:, 15] == 1, -4.0, 0.0)))
     groups = [[k] for k in range(VOTERS)]
 
     def joined(bond: np.ndarray, least: float) -> None:
@@ -216,6 +215,8 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, label: np.ndarray, rou
         return np.abs(cov / sd / sd[:, None]) * min(1.0, weight.sum() / 50)
 
     joined(bonds(counts.astype(float)), 0.9)  # all but copies of one another, whatever the class
+    several = sum(bits[:, [k for k in g if k < 15]].any(axis=1).astype(int) for g in groups) >= 2
+    q = sigmoid(known + np.where(several, 2.0, np.where(bits[:, 15] == 1, -4.0, 0.0)))
     for stage in range(2):
         for _ in range(rounds):
             odds = np.full(len(patterns), np.log(prior / (1 - prior)))
@@ -309,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             texts, out, feats = b.column("_t").to_pylist(), [], []
-            with_features = b.num_columns > 1
+            with_features = b.num_columns > 1  # of labelled rows
             for a, z in chunks(texts):
                 words = Words.of(texts[a:z])
                 out.append(own.votes(texts[a:z], words))
@@ -318,18 +319,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                     feats += np.split(buckets(hashes).astype(np.int32), np.searchsorted(owner, np.arange(1, z - a)))
             votes = np.concatenate(out)
             if with_features:
-                return pa.RecordBatch.from_arrays([pa.array(votes), b.column("toxic"), pa.array([x.tobytes() for x in feats], pa.binary())], ["votes", "toxic", "at"])
+                return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(votes), b.column("toxic"), pa.array([x.tobytes() for x in feats], pa.binary())], ["doc_id", "votes", "toxic", "at"])
             v, n = np.unique(votes, return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(v), pa.array(n)], ["votes", "n"])
 
         return f
 
-    seen = stored(arrow_map(rows.select("_t", "toxic"), vote, "votes long, toxic int, at binary"), "votes")
-    local = seen.collect()  # at most ``sample`` rows
+    seen = stored(arrow_map(rows.select("doc_id", "_t", "toxic"), vote, "doc_id long, votes long, toxic int, at binary").withColumn("key", F.xxhash64("doc_id")), "votes")
+    local = seen.orderBy("key", "doc_id").limit(FITTED).select("votes", "at").collect()  # a stated bound
+    known_votes = seen.groupBy("votes", "toxic").count().collect()  # at most 2 ** 17 rows
     every = arrow_map(learning.select("_t"), vote, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()  # at most 2 ** 16 rows
-    labelled: dict[tuple[int, int], int] = {}
-    for r in local:
-        labelled[r["votes"], r["toxic"]] = labelled.get((r["votes"], r["toxic"]), 0) + 1
+    labelled = {(r["votes"], r["toxic"]): r["count"] for r in known_votes}
     cells = [(v, n, y) for (v, y), n in sorted(labelled.items())]
     cells += [(r["votes"], r["n"] - sum(labelled.get((r["votes"], y), 0) for y in (0, 1)), -1) for r in sorted(every)]
     cells = [c for c in cells if c[1] > 0]
@@ -340,8 +340,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if local:
         at = [np.frombuffer(r["at"], np.int32) for r in local]
         votes = np.array([r["votes"] for r in local], np.int64)
-        owner = np.repeat(np.arange(len(at)), [len(x) for x in at])
-        model.weights = fit_linear(owner, np.concatenate(at).astype(np.int64), votes, model.posterior[votes])
+        owner = np.repeat(np.arange(len(at), dtype=np.int32), [len(x) for x in at])
+        model.weights = fit_linear(owner, np.concatenate(at), votes, model.posterior[votes])
     else:  # no labelled row: any vote but the last speaks for class 1
         model.weights = np.concatenate([np.zeros(BUCKETS), np.full(VOTERS - 1, 2.0), [-3.0], [-1.0]])
     return model
