@@ -198,10 +198,11 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, label: np.ndarray, rou
     total = counts.sum()
     known = np.where(label == 1, np.log(50), np.where(label == 0, -np.log(50), 0.0))
     prior = (counts[label == 1].sum() + 1) / (counts[label >= 0].sum() + 10)
-    groups = [[k] for k in range(VOTERS)]
+    # the last voter only says that the others are silent, which the model knows of them
+    groups = [[k] for k in range(VOTERS - 1)]
 
     def joined(bond: np.ndarray, least: float) -> None:
-        for i, j in sorted(((i, j) for i in range(VOTERS) for j in range(i)), key=lambda x: -bond[x]):
+        for i, j in sorted(((i, j) for i in range(VOTERS - 1) for j in range(i)), key=lambda x: -bond[x]):
             a, b = (next(g for g in groups if k in g) for k in (i, j))
             if bond[i, j] > least and a is not b and len(a) + len(b) <= 6:
                 groups.remove(b)
@@ -215,7 +216,7 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, label: np.ndarray, rou
         return np.abs(cov / sd / sd[:, None]) * min(1.0, weight.sum() / 50)
 
     joined(bonds(counts.astype(float)), 0.9)  # all but copies of one another, whatever the class
-    several = sum(bits[:, [k for k in g if k < 15]].any(axis=1).astype(int) for g in groups) >= 2
+    several = sum(bits[:, g].any(axis=1).astype(int) for g in groups) >= 2
     q = sigmoid(known + np.where(several, 2.0, np.where(bits[:, 15] == 1, -4.0, 0.0)))
     for stage in range(2):
         for _ in range(rounds):
