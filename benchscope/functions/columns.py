@@ -7,19 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Non-dyadic doubles (sd, cv, shares, means of means) are reported rounded to
-# this many places, so results do not depend on summation order.
-ROUND_PLACES = 6
-
 
 def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def r6(c: str | Column) -> Column:
-    return F.round(col_(c), ROUND_PLACES)
-
-
 def ratio(num: str | Column, den: str | Column) -> Column:
     """``num / den`` with R's rules for a zero divisor: x/0 = +-Inf, 0/0 = NA.
 
@@ -61,14 +53,6 @@ def count_true(c: str | Column) -> Column:
     return F.count_if(F.coalesce(col_(c), F.lit(False))).cast("bigint")
 
 
-def null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    """Join condition matching NULL to NULL on every column (dplyr semantics)."""
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str],
                    how: str = "inner") -> DataFrame:
     """Equi-join on ``cols`` with NULL = NULL, keeping one copy of the keys.

@@ -68,11 +68,6 @@ def ancestor_name(split: Column, k: int) -> Column:
     return F.when(idx >= 1, F.coalesce(F.try_element_at(split, idx), F.lit(""))).otherwise(F.lit(""))
 
 
-def depth(path: Column) -> Column:
-    """Number of proper ancestors below ``/`` (``/a/b/f`` -> 2)."""
-    return F.size(parts(path)) - F.lit(2)
-
-
 def py_strip(c: Column) -> Column:
     """``str.strip()``: trim Unicode whitespace on both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

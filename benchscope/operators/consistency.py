@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benchscope.functions.columns import n_distinct, null_safe_join, r6
+from benchscope.functions.columns import n_distinct, null_safe_join
 from benchscope.schema import DMM
 
 
@@ -24,7 +24,7 @@ def score_consistency(metric: DataFrame, group_cols: Sequence[str] = DMM,
         F.avg(s).alias("mean_score"),
         F.min(s).alias("min_score"),
         F.max(s).alias("max_score"),
-        r6(F.stddev_samp(s)).alias("score_sd"),
+        F.stddev_samp(s).alias("score_sd"),
     )
     rng = F.col("max_score") - F.col("min_score")
     out = out.select(*group_cols, "n_repetitions", "mean_score", "min_score", "max_score",
@@ -51,7 +51,7 @@ def backend_consistency(metric: DataFrame, group_cols: Sequence[str] = DMM,
         total.cast("bigint").alias("total_combinations"),
         consistent.cast("bigint").alias("consistent_combinations"),
         F.round(F.lit(100.0) * consistent / total, 2).alias("percent_consistent"),
-        r6(F.avg("score_range")).alias("avg_score_range"),
+        F.avg("score_range").alias("avg_score_range"),
         F.max("score_range").alias("max_score_range"),
     )
     return out.orderBy(F.col("percent_consistent").desc_nulls_last(), F.col(backend))

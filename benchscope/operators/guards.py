@@ -1,7 +1,8 @@
-"""Preconditions the reference enforces before an analysis.
+"""Preconditions of an analysis.
 
 Each guard is one small aggregate (min/max of a column), evaluated eagerly so
-the error surfaces before the analysis is planned, as in the reference.
+the error surfaces before the analysis is planned.  Callers that run several
+analyses check once and pass ``check=False``.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def has_seed_data(df: DataFrame, seed: str = "seed") -> bool:
 
 def require_seed_data(df: DataFrame, seed: str = "seed") -> None:
     if not has_seed_data(df, seed):
-        raise InsufficientDataError("Seed data is required for variability analysis")
+        raise InsufficientDataError("the runs carry at most one random seed, so there is no spread over seeds to measure")
 
 
 def has_multiple_levels(df: DataFrame, column: str = "backend") -> bool:
@@ -40,10 +41,10 @@ def has_multiple_levels(df: DataFrame, column: str = "backend") -> bool:
 def require_backends(df: DataFrame, backends: list[str] | None, column: str = "backend") -> None:
     if backends is not None:
         if len(set(backends)) < 2:
-            raise InsufficientDataError("At least two backends are needed for comparison plots")
+            raise InsufficientDataError(f"a comparison takes two different values of {column}, got {backends}")
         return
     if not has_multiple_levels(df, column):
-        raise InsufficientDataError("At least two backends are needed for comparison plots")
+        raise InsufficientDataError(f"the runs have fewer than two values of {column} to compare")
 
 
 def seed_data_flag(df: DataFrame, seed: str = "seed") -> DataFrame:

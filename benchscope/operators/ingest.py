@@ -153,7 +153,8 @@ def _file_name(path: Column) -> Column:
 
 
 _JSON_SCHEMA = ("struct<method:string, seed:string, dataset_generator:string, dataset_name:string, metric:string, "
-                + ", ".join(f"{k}:{t}" for k, (_n, t) in PERF_FIELDS.items()) + ">")
+                # counters may come with a fraction: read as decimals, kept as whole numbers
+                + ", ".join(f"{k}:{'decimal(38,6)' if t == 'bigint' else t}" for k, (_n, t) in PERF_FIELDS.items()) + ">")
 _SEED_NUM_SCHEMA = "struct<seed:double>"
 
 
@@ -191,7 +192,8 @@ def parse_sidecars(sidecars: DataFrame) -> DataFrame:
         F.when(valid_json, F.coalesce(j["dataset_generator"], F.lit(""))).alias("dataset_generator"),
         F.when(valid_json, F.coalesce(j["dataset_name"], F.lit(""))).alias("dataset_name"),
         F.when(valid_json, j["metric"]).alias("metric"),
-        *[F.when(valid_json, j[k]).alias(n) for k, (n, _t) in PERF_FIELDS.items()],
+        *[F.when(valid_json, j[k].try_cast(t)).alias(n)
+          for k, (n, t) in PERF_FIELDS.items()],
         F.when(F.col("name") == TIMING_FILE, P.py_float(cell)).alias("exec_time"),
     )
     return staged.select("dir", "name", "sidecar_path", p.alias("p"))
@@ -208,7 +210,8 @@ def labels_by_file(label_lines: DataFrame) -> DataFrame:
     lines = label_lines.where(P.py_strip(F.col("line")) != "").select("path", P.py_float(F.col("line")).alias("_v"))
     v = F.col("_v")
     lines = lines.select("path", (v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).alias("_ok"), "_v")
-    lab = F.when(F.col("_ok"), F.col("_v").cast("bigint"))
+    # the whole part as a double: a label may be larger than any bigint
+    lab = F.when(F.col("_ok"), F.col("_v") - F.col("_v") % 1)
     per = lines.groupBy("path").agg(
         F.count_distinct(F.when(lab != 0, lab)).cast("bigint").alias("true_k"),
         F.max((lab == 0).cast("int")).alias("_zero"),
@@ -409,8 +412,10 @@ def build_method_rows(files: DataFrame) -> DataFrame:
     return first_per_key(files, METHOD_KEY, ["path"], METHOD_COLUMNS)
 
 
-def ingest_errors(files: DataFrame, sidecars: DataFrame, label_lines: DataFrame) -> DataFrame:
-    """What the reference skips silently, as rows (path, kind, detail)."""
+def ingest_errors(files: DataFrame, sidecars: DataFrame, label_lines: DataFrame,
+                  unreadable: DataFrame | None = None) -> DataFrame:
+    """What does not reach the tables, as rows (path, kind, detail);
+    ``unreadable`` lists files that could not be read whole."""
     bad_cells = files.select("path", F.posexplode(F.arrays_zip("labels", "raw_values", "values")).alias("i", "e")) \
         .where(F.col("e.values").isNull()) \
         .select("path", F.lit("non_numeric_score").alias("kind"),
@@ -423,10 +428,12 @@ def ingest_errors(files: DataFrame, sidecars: DataFrame, label_lines: DataFrame)
         F.lit(None).cast("string").alias("detail"))
     outside = files.where(F.col("run_dir").isNull()).select(
         "path", F.lit("outside_run_dir").alias("kind"), F.lit(None).cast("string").alias("detail"))
-    return bad_cells.unionByName(bad_json).unionByName(lbl).unionByName(outside)
+    found = bad_cells.unionByName(bad_json).unionByName(lbl).unionByName(outside)
+    return found if unreadable is None else found.unionByName(unreadable.select("path", "kind", "detail"))
 
 
-def ingest(scores: DataFrame, sidecars: DataFrame, label_lines: DataFrame) -> IngestResult:
+def ingest(scores: DataFrame, sidecars: DataFrame, label_lines: DataFrame,
+           unreadable: DataFrame | None = None) -> IngestResult:
     """Both tables from the three inputs.
 
     Score files outside any run directory are not ingested (they are listed
@@ -435,7 +442,7 @@ def ingest(scores: DataFrame, sidecars: DataFrame, label_lines: DataFrame) -> In
     files = resolve_files(scores, sidecars, label_lines)
     in_run = files.where(F.col("run_dir").isNotNull())
     return IngestResult(method=build_method_rows(in_run), metric=build_metric_rows(in_run), files=files,
-                        errors=ingest_errors(files, sidecars, label_lines))
+                        errors=ingest_errors(files, sidecars, label_lines, unreadable))
 
 
 def ingest_report(metric: DataFrame) -> DataFrame:

@@ -28,9 +28,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchscope.functions.columns import dataset_key
+from benchscope.functions.columns import dataset_key, n_distinct
 from benchscope.operators.filters import min_group_size
-from benchscope.operators.ordered import average_rank, stable
+from benchscope.operators.ordered import exclusive_prefix, stable
 
 # Fixed values that must equal the reference's behaviour ------------------
 FACTORS = ["dataset", "method", "metric", "backend", "seed_factor"]
@@ -50,6 +50,8 @@ SIGNIFICANCE = 0.05
 FACTOR_TYPES = [("^dataset", "Dataset"), ("^method", "Method"), ("^metric", "Metric"),
                 ("^backend", "Backend"), ("^seed_factor", "Seed"), (":", "Interaction")]
 # ---------------------------------------------------------------------------
+MAX_COLUMNS = 4000     # p x p values are held and solved on the driver
+ALIAS_TOL = max(QR_TOL ** 2, 64 * float(np.finfo(float).eps))   # squared norms
 
 
 def glm_input(metric: DataFrame) -> DataFrame:
@@ -62,9 +64,14 @@ def glm_input(metric: DataFrame) -> DataFrame:
 
 
 def glm_input_counts(glm: DataFrame) -> DataFrame:
-    """rows and distinct levels after the GLM filters."""
+    """rows and distinct levels (NULL is one) after the GLM filters."""
     return glm.agg(F.count(F.lit(1)).cast("bigint").alias("observations"),
-                   *[F.count_distinct(c).cast("bigint").alias(f"n_{c}") for c in FACTORS])
+                   *[n_distinct(c).alias(f"n_{c}") for c in FACTORS])
+
+
+def complete_rows(glm: DataFrame) -> DataFrame:
+    """The rows a model is fitted on: none with a missing factor or score."""
+    return glm.dropna(subset=[*FACTORS, "score"])
 
 
 # ------------------------------------------------------------ design
@@ -108,11 +115,11 @@ def _pos(col: str, levels: list) -> Column:
     return F.array_position(lit, F.col(col)).cast("int")
 
 
-def cell_stats(glm: DataFrame) -> DataFrame:
-    """Cells of identical design rows: n, sum y, sum y^2."""
-    y = F.col("score")
-    return glm.groupBy(*FACTORS).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("sy"),
-                                     F.sum(y * y).alias("syy"))
+def cell_stats(glm: DataFrame, center: float = 0.0) -> DataFrame:
+    """Cells of identical design rows: n, sum y, sum y^2 of y = score - center."""
+    y = F.col("score") - F.lit(center)
+    return complete_rows(glm).groupBy(*FACTORS).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("sy"),
+                                                    F.sum(y * y).alias("syy"))
 
 
 def _active(d: Design) -> Column:
@@ -136,9 +143,10 @@ class CrossProducts:
     yty: float
     n: float
     sum_y: float
+    center: float = 0.0           # what was taken off the score; the intercept gets it back
 
 
-def cross_products(cells: DataFrame, d: Design) -> CrossProducts:
+def cross_products(cells: DataFrame, d: Design, center: float = 0.0) -> CrossProducts:
     """X'X, X'y, y'y from the cells; only p x p values reach the driver."""
     act = cells.select(_active(d).alias("a"), "n", "sy", "syy")
     pairs = act.select(F.explode("a").alias("i"), "a", "n").select("i", F.explode("a").alias("j"), "n")
@@ -152,7 +160,7 @@ def cross_products(cells: DataFrame, d: Design) -> CrossProducts:
     xty = np.zeros(p)
     for r in xty_rows:
         xty[r["i"]] = r["v"]
-    return CrossProducts(xtx, xty, float(tot["yy"] or 0.0), float(tot["n"] or 0.0), float(tot["sy"] or 0.0))
+    return CrossProducts(xtx, xty, float(tot["yy"] or 0.0), float(tot["n"] or 0.0), float(tot["sy"] or 0.0), center)
 
 
 # ------------------------------------------------------------ fitting
@@ -194,7 +202,9 @@ class Fit:
 
     @property
     def aic(self) -> float:
-        """R ``AIC`` for lm: n (log(2 pi RSS / n) + 1) + 2 (rank + 1)."""
+        """R ``AIC`` for lm: n (log(2 pi RSS / n) + 1) + 2 (rank + 1); a perfect fit has -inf."""
+        if self.rss <= 0:
+            return float("-inf")
         return self.n * (math.log(2 * math.pi * self.rss / self.n) + 1) + 2 * (self.rank + 1)
 
 
@@ -205,38 +215,48 @@ def model_columns(d: Design, terms: list[str]) -> list[int]:
     return cols
 
 
+def _forward(low: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solve low @ x = b for a lower triangle, O(k^2)."""
+    x = np.zeros(len(b))
+    for i in range(len(b)):
+        x[i] = (b[i] - low[i, :i] @ x[:i]) / low[i, i]
+    return x
+
+
 def fit(cp: CrossProducts, d: Design, model: int) -> Fit:
     """Ordered Cholesky sweep = R's QR with its pivoting: a column that is a
-    combination of earlier columns (relative residual norm below QR_TOL) is
-    aliased and dropped."""
+    combination of earlier columns (relative residual norm below QR_TOL, or
+    below what rounding leaves of a zero in X'X) is aliased and dropped."""
     terms = MODELS[model]
     cols = model_columns(d, terms)
     kept: list[int] = []
     L = np.zeros((0, 0))
     c: list[float] = []
     effects: dict[int, float] = {}
+    if len(cols) > MAX_COLUMNS:
+        raise ValueError(f"{len(cols)} design columns exceed the {MAX_COLUMNS} that one driver solves")
+    full = np.zeros((len(cols), len(cols)))
     for j in cols:
         g_jj = cp.xtx[j, j]
         if g_jj <= 0:
             continue
+        k = len(kept)
         g_aj = cp.xtx[np.ix_(kept, [j])].ravel() if kept else np.zeros(0)
-        z = np.linalg.solve(L, g_aj) if kept else np.zeros(0)
+        z = _forward(full[:k, :k], g_aj)
         r = g_jj - float(z @ z)
-        if r <= (QR_TOL ** 2) * g_jj:
+        if r <= ALIAS_TOL * g_jj:
             continue
         rt = math.sqrt(r)
-        newL = np.zeros((len(kept) + 1, len(kept) + 1))
-        if kept:
-            newL[:-1, :-1] = L
-            newL[-1, :-1] = z
-        newL[-1, -1] = rt
-        L = newL
+        full[k, :k], full[k, k] = z, rt
+        L = full[:k + 1, :k + 1]
         cj = (cp.xty[j] - (float(z @ np.array(c)) if kept else 0.0)) / rt
         c.append(cj)
         effects[j] = cj
         kept.append(j)
     cvec = np.array(c)
     beta_vec = np.linalg.solve(L.T, cvec) if kept else np.zeros(0)
+    if kept and kept[0] == 0:
+        beta_vec[0] += cp.center
     linv = np.linalg.inv(L) if kept else np.zeros((0, 0))
     cov = linv.T @ linv
     rss = max(cp.yty - float(cvec @ cvec), 0.0)
@@ -262,11 +282,13 @@ def fit_models(glm: DataFrame) -> ModelSet:
     input has too few rows (the report skips the analysis)."""
     # one pass over the rows: the cells (one row per distinct design row)
     # are materialised once and everything else reads them
-    cells = stable(cell_stats(glm))
+    # the mean is taken off first, so that large means cost no digits of the sums
+    center = float(complete_rows(glm).agg(F.avg("score").alias("m")).first()["m"] or 0.0)
+    cells = stable(cell_stats(glm, center))
     d = design(cells)
-    cp = cross_products(cells, d)
+    cp = cross_products(cells, d, center)
     if cp.n <= MIN_ROWS:
-        raise ValueError(f"Insufficient data for GLM analysis (need > {MIN_ROWS} observations)")
+        raise ValueError(f"a model needs more than {MIN_ROWS} complete rows, there are {int(cp.n)}")
     return ModelSet(design=d, cross=cp, fits={m: fit(cp, d, m) for m in MODELS}, cells=cells)
 
 
@@ -279,13 +301,17 @@ def _jvm_dist(spark: SparkSession):
 def f_sf(spark: SparkSession, f: float, df1: float, df2: float) -> float:
     if not (f == f) or df1 <= 0 or df2 <= 0:
         return float("nan")
-    return 1.0 - _jvm_dist(spark).FDistribution(float(df1), float(df2)).cumulativeProbability(float(f))
+    if f == float("inf"):
+        return 0.0
+    # the upper tail itself (1 - CDF underflows): I_{d2/(d2 + d1 F)}(d2/2, d1/2)
+    beta = spark.sparkContext._jvm.org.apache.commons.math3.special.Beta
+    return beta.regularizedBeta(float(df2 / (df2 + df1 * f)), float(df2 / 2), float(df1 / 2))
 
 
 def t_two_sided(spark: SparkSession, t: float, df: float) -> float:
     if not (t == t) or df <= 0:
         return float("nan")
-    return 2.0 * (1.0 - _jvm_dist(spark).TDistribution(float(df)).cumulativeProbability(abs(float(t))))
+    return 2.0 * _jvm_dist(spark).TDistribution(float(df)).cumulativeProbability(-abs(float(t)))
 
 
 # ------------------------------------------------------------ result tables
@@ -323,6 +349,18 @@ def anova(spark: SparkSession, ms: ModelSet, model: int | None = None) -> DataFr
                                       "p_value double, percent_variance double")
 
 
+def variance_shares(spark: SparkSession, ms: ModelSet, model: int | None = None) -> DataFrame:
+    """M4: the terms (no residuals) with their share of the variance, largest first."""
+    a = anova(spark, ms, model).where(F.col("term") != "Residuals")
+    return a.select("term", "df", "sum_sq", "percent_variance").orderBy(F.desc("percent_variance"), "term")
+
+
+def dropped_terms(ms: ModelSet, model: int | None = None) -> list[str]:
+    """Terms without a column of their own (a single level, or all aliased); ``anova`` leaves them out."""
+    f = ms.fits[model] if model else ms.best
+    return [t for t in f.terms if not any(ms.design.columns[j][0] == t for j in f.kept)]
+
+
 def coefficients(spark: SparkSession, ms: ModelSet, model: int | None = None, n: int | None = 20) -> DataFrame:
     """M5: estimate, SE, t and p of every non-aliased coefficient except the
     intercept, by absolute size (top ``n``)."""
@@ -428,13 +466,14 @@ def residual_diagnostics(glm: DataFrame, ms: ModelSet, model: int | None = None)
     beta = spark.createDataFrame([(int(j), float(b)) for j, b in f.beta.items()], "i int, b double")
     inv = spark.createDataFrame([(int(i), int(j), float(f.cov_unscaled[kept_idx[i], kept_idx[j]]))
                                  for i in f.kept for j in f.kept], "i int, j int, v double")
+    glm = complete_rows(glm)
     cells = ms.cells.select(*FACTORS) if ms.cells is not None else glm.select(*FACTORS).distinct()
     act = cells.select(*FACTORS, F.filter(_active(d), lambda x: x.isin(*sorted(in_model))).alias("a"))
     one = act.select(*FACTORS, F.explode("a").alias("i"))
     # sums over at most 7 (49) terms, added in a fixed order so that recomputation is bit-identical
-    fitted = one.join(F.broadcast(beta), "i", "left").groupBy(*FACTORS).agg(
+    fitted = one.join(beta, "i", "left").groupBy(*FACTORS).agg(
         _ordered_sum(F.collect_list(F.struct("i", F.coalesce("b", F.lit(0.0)).alias("x")))).alias("fitted"))
-    pairs = one.join(act.select(*FACTORS, F.explode("a").alias("j")), FACTORS, "inner")
+    pairs = act.select(*FACTORS, F.explode("a").alias("i"), "a").select(*FACTORS, "i", F.explode("a").alias("j"))
     lev = pairs.join(inv, ["i", "j"], "left").groupBy(*FACTORS).agg(
         _ordered_sum(F.collect_list(F.struct((F.col("i") * d.p + F.col("j")).alias("i"),
                                              F.coalesce("v", F.lit(0.0)).alias("x")))).alias("leverage"))
@@ -444,8 +483,12 @@ def residual_diagnostics(glm: DataFrame, ms: ModelSet, model: int | None = None)
     rows = rows.withColumn("residual", F.col("score") - F.col("fitted"))
     rows = rows.withColumn("std_residual", F.when(F.col("leverage") < 1.0 - 1e-12,
                                                   F.col("residual") / (F.lit(sigma) * F.sqrt(1 - F.col("leverage")))))
-    ranked = average_rank(rows, [], "std_residual", "_r")
-    n = f.n
+    # equal cells and scores give equal residuals: rank the distinct ones, then the rows by key
+    points = rows.groupBy("std_residual").agg(F.count(F.lit(1)).alias("_c")).where(F.col("std_residual").isNotNull())
+    before = exclusive_prefix(stable(points), [], ["std_residual"], "_c", how="sum", out="_before")
+    ranks = before.select(F.col("std_residual").alias("_s"), (F.col("_before") + (F.col("_c") + 1) / 2.0).alias("_r"))
+    ranked = rows.join(ranks, F.col("std_residual") == F.col("_s"), "left").drop("_s")
+    n = float(before.agg(F.sum("_c")).first()[0] or 0)   # rows without a standardised residual have no quantile
     a = 3.0 / 8.0 if n <= 10 else 0.5
     pp = (F.col("_r") - a) / (n + 1 - 2 * a)
     return ranked.withColumn("theoretical_quantile", _qnorm(pp)).drop("_r")

@@ -34,22 +34,21 @@ def stable(df: DataFrame) -> DataFrame:
     recomputed floating-point sum is not guaranteed to be: the order in
     which a reduce task fetches shuffle blocks varies between runs.  The
     frame is therefore checkpointed to the session's reliable checkpoint
-    directory (``spark.checkpoint.dir``), which also cuts its lineage; only
-    when no directory is configured it falls back to a persisted copy.
+    directory (``spark.checkpoint.dir``), which also cuts its lineage: a lost
+    executor can change neither a value nor a slice id.  On a cluster without
+    that setting this raises (see ``session.ensure_checkpoint_dir``).
     Callers apply this to aggregated point sets, never to raw tables.
     """
     from pyspark import StorageLevel
 
-    from benchscope.session import checkpoint_dir_or_none
+    from benchscope.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    # persisted first so the checkpoint write reads the computed blocks
+    # instead of running the lineage a second time
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if checkpoint_dir_or_none(df.sparkSession):
-        # persisted first so the checkpoint write reads the computed blocks
-        # instead of running the lineage a second time
-        out = cached.checkpoint(eager=True)
-        cached.unpersist(blocking=False)
-        return out
-    cached.count()
-    return cached
+    out = cached.checkpoint(eager=True)
+    cached.unpersist(blocking=False)
+    return out
 
 
 def _slices(df: DataFrame) -> int:
@@ -60,12 +59,13 @@ def _slices(df: DataFrame) -> int:
 def _join_on(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "left") -> DataFrame:
     """Null-safe equi-join keeping the left copy of the key columns.
 
-    With no key columns (a global result) both sides get a constant key, so
-    the join stays an equi-join of one row per side rather than a cross join.
+    Without key columns ``right`` is one row (a global aggregate): it is read
+    as a scalar subquery, so no join is planned at all.
     """
     if not cols:
-        left, right, cols = left.withColumn("__one", F.lit(1)), right.withColumn("__one", F.lit(1)), ["__one"]
-        return _join_on(left, right, cols, how).drop("__one")
+        one = right.select(F.struct(*right.columns).alias("__row")).scalar()
+        row = left.withColumn("__row", one)
+        return row.select(*left.columns, *[F.col("__row")[c].alias(c) for c in right.columns])
     r = right.select(*[F.col(c).alias(f"__k_{c}") for c in cols],
                      *[c for c in right.columns if c not in cols])
     cond = F.lit(True)
@@ -124,7 +124,9 @@ def average_rank(df: DataFrame, part_cols: Sequence[str], value: str, out: str,
     pre = exclusive_prefix(counts, part_cols, ["_ov"], "_c", how="sum", out="_before")
     ranks = pre.select(*part_cols, F.col("_v").alias(value),
                        (F.col("_before") + (F.col("_c") + 1) / 2.0).alias(out))
-    return _join_on(df, ranks, part_cols + [value])
+    # rows without a value need no rank; in the join they would share one key
+    ranked = _join_on(df.where(v.isNotNull()), ranks, part_cols + [value])
+    return ranked.unionByName(df.where(v.isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], values: Mapping[str, str | Column],
@@ -145,8 +147,14 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], values: Mapping[st
     keys = group_cols + ["measure"]
     counts = (stacked.where(F.col("_v").isNotNull())
               .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    return quantiles_of_counts(counts, keys, probs)
+
+
+def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """``exact_quantiles`` of value counts (keys, ``_v``, ``_c``): keys, ``p``, ``q``."""
+    keys = list(keys)
     pre = exclusive_prefix(counts, keys, ["_v"], "_c", how="sum", out="_lo")
-    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    totals = pre.groupBy(*keys).agg(F.sum("_c").alias("_n"))  # the counts again, already reduced
     located = _join_on(pre, totals, keys, "inner")
     h = (F.col("_n") - 1) * F.col("p")
     j, k = F.floor(h), F.ceil(h)

@@ -17,9 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benchscope.functions.columns import r6, ratio
+from benchscope.functions.columns import ratio
 from benchscope.operators.ordered import _join_on, exclusive_prefix, stable
-from benchscope.schema import DM
 
 
 def pareto_frontier(df: DataFrame, x: str, y: str, minimize_x: bool = True, maximize_y: bool = True,
@@ -57,8 +56,8 @@ def pareto_memory_methods(points: DataFrame) -> DataFrame:
     front = runtime_memory_frontier(points).where(F.col("is_pareto"))
     return (front.groupBy("method").agg(
         F.count(F.lit(1)).cast("bigint").alias("datasets_on_frontier"),
-        r6(F.avg("avg_runtime")).alias("avg_runtime_sec"),
-        r6(F.avg("avg_peak_rss_mb")).alias("avg_memory_mb"),
+        F.avg("avg_runtime").alias("avg_runtime_sec"),
+        F.avg("avg_peak_rss_mb").alias("avg_memory_mb"),
         F.min("avg_runtime").alias("min_runtime_sec"),
         F.max("avg_runtime").alias("max_runtime_sec"),
         F.min("avg_peak_rss_mb").alias("min_memory_mb"),
@@ -93,8 +92,8 @@ def balanced_frontier(summary: DataFrame, n: int | None = 3) -> DataFrame:
     z = (ratio(F.col("avg_runtime_sec") - F.col("_mr"), F.col("_sr"))
          + ratio(F.col("avg_memory_mb") - F.col("_mm"), F.col("_sm")))
     out = j.select(*summary.columns,
-                   r6(ratio("avg_runtime_sec", "avg_memory_mb")).alias("efficiency_ratio"),
-                   F.round(z, 4).alias("balanced_score")).orderBy(F.col("balanced_score").asc_nulls_last(), "method")
+                   ratio("avg_runtime_sec", "avg_memory_mb").alias("efficiency_ratio"),
+                   z.alias("balanced_score")).orderBy(F.col("balanced_score").asc_nulls_last(), "method")
     return out.limit(n) if n else out
 
 
@@ -111,12 +110,12 @@ def time_quality_points(combined: DataFrame) -> DataFrame:
 def pareto_by_metric(combined: DataFrame, metrics: DataFrame) -> DataFrame:
     """for each metric in ``metrics``, the time-quality frontier
     (minimise time, maximise score) summarised per method."""
-    pts = time_quality_points(combined.join(F.broadcast(metrics.select("metric")), "metric", "left_semi"))
+    pts = time_quality_points(combined.join(metrics.select("metric"), "metric", "left_semi"))
     front = pareto_frontier(pts, "avg_time", "avg_score", partition_cols=["metric"]).where(F.col("is_pareto"))
     return (front.groupBy("metric", "method").agg(
         F.count(F.lit(1)).cast("bigint").alias("datasets_on_frontier"),
-        r6(F.avg("avg_time")).alias("avg_execution_time"),
-        r6(F.avg("avg_score")).alias("avg_quality_score"))
+        F.avg("avg_time").alias("avg_execution_time"),
+        F.avg("avg_score").alias("avg_quality_score"))
         .orderBy("metric", F.col("datasets_on_frontier").desc(), "method"))
 
 
@@ -126,9 +125,7 @@ def pareto_overall(by_metric: DataFrame) -> DataFrame:
     return (by_metric.groupBy("method").agg(
         F.count(F.lit(1)).cast("bigint").alias("metrics_on_frontier"),
         F.sum("datasets_on_frontier").cast("bigint").alias("total_datasets_on_frontier"),
-        r6(F.avg("avg_execution_time")).alias("avg_execution_time"),
-        r6(F.avg("avg_quality_score")).alias("avg_quality_score"))
+        F.avg("avg_execution_time").alias("avg_execution_time"),
+        F.avg("avg_quality_score").alias("avg_quality_score"))
         .orderBy(F.col("metrics_on_frontier").desc(), F.col("total_datasets_on_frontier").desc(), "method"))
 
-
-DM_COLS = DM

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from benchscope.functions.columns import r6, ratio
+from benchscope.functions.columns import ratio
 from benchscope.operators.ordered import _join_on, average_rank
 
 
@@ -42,9 +42,9 @@ def method_rankings(combined: DataFrame, dataset_col: str = "dataset_name") -> D
     ranked = average_rank(ranked, [dataset_col], "avg_time", "time_rank")
     ranked = ranked.withColumn("overall_rank", (F.col("score_rank") + F.col("time_rank")) / 2)
     return (ranked.groupBy("method").agg(
-        r6(F.avg("score_rank")).alias("avg_score_rank"),
-        r6(F.avg("time_rank")).alias("avg_time_rank"),
-        r6(F.avg("overall_rank")).alias("avg_overall_rank"))
+        F.avg("score_rank").alias("avg_score_rank"),
+        F.avg("time_rank").alias("avg_time_rank"),
+        F.avg("overall_rank").alias("avg_overall_rank"))
         .orderBy(F.col("avg_overall_rank").asc_nulls_last(), "method"))
 
 
@@ -69,5 +69,5 @@ def radar(comparison: DataFrame) -> DataFrame:
         F.avg("avg_score").alias("score"),
         ratio(F.lit(1.0), F.avg("avg_time")).alias("speed"))
     out = rescale(per, ["score", "speed"])
-    return out.select("method", r6("score").alias("score"), r6("speed").alias("speed"),
-                      r6("score_scaled").alias("score_scaled"), r6("speed_scaled").alias("speed_scaled"))
+    return out.select("method", F.col("score").alias("score"), F.col("speed").alias("speed"),
+                      F.col("score_scaled").alias("score_scaled"), F.col("speed_scaled").alias("speed_scaled"))

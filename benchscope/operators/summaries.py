@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benchscope.functions.columns import count_true, dataset_key, n_distinct, r6
+from benchscope.functions.columns import count_true, dataset_key, n_distinct
 from benchscope.operators.ordered import _join_on, medians
 from benchscope.schema import DM, QUALITY_FLAGS
 
@@ -43,7 +43,7 @@ def runtime_summary(df: DataFrame, backend: str = "backend", value: str = "runti
     agg = present.groupBy(backend).agg(
         F.count(F.lit(1)).cast("bigint").alias("count"),
         F.avg(v).alias("mean_runtime"),
-        r6(F.stddev_samp(v)).alias("sd_runtime"),
+        F.stddev_samp(v).alias("sd_runtime"),
         F.min(v).alias("min_runtime"),
         F.max(v).alias("max_runtime"))
     return medians(agg, present, [backend], {"median_runtime": value}).orderBy(backend)
@@ -215,7 +215,7 @@ def method_comparison(combined: DataFrame) -> DataFrame:
     """per method x backend, score mean/sd/min/max and mean time."""
     return combined.groupBy("method", "backend").agg(
         F.avg("score").alias("avg_score"),
-        r6(F.stddev_samp("score")).alias("std_dev"),
+        F.stddev_samp("score").alias("std_dev"),
         F.min("score").alias("min_score"),
         F.max("score").alias("max_score"),
         F.avg("execution_time_seconds").alias("avg_time"))

@@ -7,7 +7,7 @@ derived from the whole ``lineitem`` table) and calls one library operator.
 from __future__ import annotations
 
 from benchscope.operators import consistency as cons
-from benchscope.plans.registry import register
+from benchscope.plans.registry import PLACES, register
 from benchscope.plans.views import BenchViews
 
 # ---------------------------------------------------------------- consistency
@@ -51,29 +51,29 @@ from pyspark.sql import functions as F  # noqa: E402
 
 @register("time_variability")
 def q_time_variability(v: BenchViews):
-    return var.time_variability(v.method)
+    return var.time_variability(v.method, check=False)
 
 
 @register("score_variability")
 def q_score_variability(v: BenchViews):
-    return var.score_variability(v.metric)
+    return var.score_variability(v.metric, check=False)
 
 
 @register("seed_cv")
 def q_seed_cv(v: BenchViews):
-    return var.seed_cv(v.metric)
+    return var.seed_cv(v.metric, check=False)
 
 
 @register("seed_top_methods")
 def q_seed_top_methods(v: BenchViews):
     """The report's seed box plots: first 4 combinations, top 8 methods."""
-    return var.seed_top_methods(v.metric, var.first_combinations(v.metric, 4), top_n=8)
+    return var.seed_top_methods(v.metric, var.first_combinations(v.metric, 4), top_n=8, check=False)
 
 
 @register("seed_heatmap")
 def q_seed_heatmap(v: BenchViews):
     """The report's heatmaps: 3 most common metrics, 12 methods x 8 datasets."""
-    return var.seed_heatmap(v.metric, var.most_common(v.metric, "metric", 3), top_methods=12, top_datasets=8)
+    return var.seed_heatmap(v.metric, var.most_common(v.metric, "metric", 3), top_methods=12, top_datasets=8, check=False)
 
 
 # ---------------------------------------------------------------- comparisons
@@ -90,12 +90,12 @@ def q_avg_score_by_backend(v: BenchViews):
 
 @register("backend_time_pairs")
 def q_backend_time_pairs(v: BenchViews):
-    return cmp.backend_time_pairs(v.method)
+    return cmp.backend_time_pairs(v.method, check=False)
 
 
 @register("backend_score_pairs")
 def q_backend_score_pairs(v: BenchViews):
-    return cmp.backend_score_pairs(v.metric)
+    return cmp.backend_score_pairs(v.metric, check=False)
 
 
 @register("backend_pairs")
@@ -105,7 +105,7 @@ def q_backend_pairs(v: BenchViews):
 
 @register("compare_backends")
 def q_compare_backends(v: BenchViews):
-    return cmp.compare_backends(v.method, v.metric)
+    return cmp.compare_backends(v.method, v.metric, check=False)
 
 
 # ---------------------------------------------------------------- joins
@@ -383,7 +383,7 @@ def q_time_quality_points(v: BenchViews):
 
 def _pareto_by_metric(v: BenchViews):
     combined = joins.combined_runs(v.metric, v.method)
-    return pareto.pareto_by_metric(combined, var.most_common(combined, "metric", 4))
+    return pareto.pareto_by_metric(combined, var.most_common(v.metric, "metric", 4))
 
 
 @register("pareto_by_metric")
@@ -685,13 +685,13 @@ def q_box_time_backend(v: BenchViews):
 
 @register("box_seed")
 def q_box_seed(v: BenchViews):
-    return chart.box_seed(var.seed_top_methods(v.metric, var.first_combinations(v.metric, 4), top_n=8))
+    return chart.box_seed(var.seed_top_methods(v.metric, var.first_combinations(v.metric, 4), top_n=8, check=False))
 
 
 @register("scatter_time_score")
 def q_scatter_time_score(v: BenchViews):
     combined = joins.combined_runs(v.metric, v.method)
-    return chart.scatter_time_score(combined, var.most_common(combined, "metric", 4))
+    return chart.scatter_time_score(combined, var.most_common(v.metric, "metric", 4))
 
 
 @register("bar_error")
@@ -703,12 +703,12 @@ def q_bar_error(v: BenchViews):
 
 @register("sort_desc")
 def q_sort_desc(v: BenchViews):
-    return var.score_variability(v.metric)
+    return var.score_variability(v.metric, check=False)
 
 
 @register("limit_n")
 def q_limit_n(v: BenchViews):
-    return var.time_variability(v.method).limit(10)
+    return var.time_variability(v.method, check=False).limit(10)
 
 
 @register("level_order")
@@ -757,14 +757,13 @@ def q_frontier_filter(v: BenchViews):
 def q_top_k_with_ties(v: BenchViews):
     """``slice_min(avg_time, n = 3)`` per metric over method means."""
     pts = pareto.time_quality_points(joins.combined_runs(v.metric, v.method))
-    per = pts.groupBy("metric", "method").agg(F.round(F.avg("avg_time"), 6).alias("avg_time"))
+    per = pts.groupBy("metric", "method").agg(F.avg("avg_time").alias("avg_time"))
     return ranking.top_k_with_ties(per, ["metric"], "avg_time", 3, descending=False)
 
 
 @register("minmax_rescale")
 def q_minmax_rescale(v: BenchViews):
-    return ranking.rescale(summ.method_backend_scores(v.metric), ["avg_score"]).withColumn(
-        "avg_score_scaled", F.round("avg_score_scaled", 6))
+    return ranking.rescale(summ.method_backend_scores(v.metric), ["avg_score"])
 
 
 @register("factor_type_case")
@@ -802,3 +801,28 @@ def q_load_metric(v: BenchViews):
 def q_k_sort(v: BenchViews):
     """H4: the k labels in numeric column order (the B8 ordering)."""
     return ing.k_column_order(_tables(v).metric)
+
+
+# ---------------------------------------------------------------- reported places
+def _places(columns: str, *keys: str, n: int = 6) -> None:
+    for key in keys:
+        PLACES.setdefault(key, {}).update(dict.fromkeys(columns.split(), n))
+
+
+_places("score_sd", "score_consistency", "consistency_rejoin", "top_inconsistent")
+_places("avg_score_range", "backend_consistency")
+_places("sd_execution_time cv_execution_time", "time_variability", "limit_n")
+_places("sd_score cv_score", "score_variability", "sort_desc", "seed_cv", "seed_heatmap")
+_places("sd_runtime", "runtime_summary_method", "runtime_summary_metric", "union_summaries")
+_places("std_dev", "method_comparison", "bar_error")
+_places("ymin ymax", "bar_error")
+_places("score speed score_scaled speed_scaled", "radar")
+_places("avg_runtime_sec avg_memory_mb", "pareto_memory_methods", "fastest_frontier", "leanest_frontier", "balanced_frontier")
+_places("efficiency_ratio", "balanced_frontier")
+_places("balanced_score", "balanced_frontier", n=4)
+_places("avg_execution_time avg_quality_score", "pareto_by_metric", "pareto_overall")
+_places("avg_score_rank avg_time_rank avg_overall_rank", "method_rankings")
+_places("bin_lo bin_hi", "hist_log_runtime", "hist_runtime", "hist_rss", "hist_score")
+_places("whisker_low q1 median q3 whisker_high", "box_time_top_methods", "box_score_backend", "box_time_backend", "box_seed")
+_places("avg_time", "top_k_with_ties")
+_places("avg_score_scaled", "minmax_rescale")

@@ -133,11 +133,15 @@ SELECT * FROM cons WHERE NOT is_consistent
 ORDER BY score_range DESC NULLS LAST, dataset_generator, dataset_name, method, metric LIMIT 10""")
 
 
-def _cv(sd: str, mean: str) -> str:
-    """R's sd / mean with zero-mean handling, rounded like the Spark side."""
-    return (f"round(CASE WHEN ({sd}) IS NULL OR ({mean}) IS NULL THEN NULL "
+def _cv_raw(sd: str, mean: str) -> str:
+    """R's sd / mean with zero-mean handling."""
+    return (f"(CASE WHEN ({sd}) IS NULL OR ({mean}) IS NULL THEN NULL "
             f"WHEN ({mean}) = 0 THEN CASE WHEN ({sd}) > 0 THEN CAST('inf' AS DOUBLE) ELSE NULL END "
-            f"ELSE ({sd}) / ({mean}) END, 6)")
+            f"ELSE ({sd}) / ({mean}) END)")
+
+
+def _cv(sd: str, mean: str) -> str:
+    return f"round({_cv_raw(sd, mean)}, 6)"
 
 
 def _ns(a: str, b: str, cols: str) -> str:
@@ -162,10 +166,11 @@ SELECT {DMM}, CAST(count(*) AS BIGINT) AS n_seeds, avg(score) AS mean_score, med
   min(score) AS min_score, max(score) AS max_score, max(score) - min(score) AS range_score
 FROM metric WHERE seed IS NOT NULL GROUP BY {DMM}""")
 _SEED_CV = lambda grp, src: f"""
-SELECT {grp}, CAST(count(*) AS BIGINT) AS n_seeds, avg(score) AS mean_score, round(stddev_samp(score), 6) AS sd_score,
-  {_cv('stddev_samp(score)', 'abs(avg(score))')} AS cv_score
+SELECT {grp}, CAST(count(*) AS BIGINT) AS n_seeds, avg(score) AS mean_score, stddev_samp(score) AS sd_score,
+  {_cv_raw('stddev_samp(score)', 'abs(avg(score))')} AS cv_score
 FROM {src} WHERE seed IS NOT NULL GROUP BY {grp} HAVING count(*) > 1"""
-oracle("seed_cv", _SEED_CV(DMM, "metric"))
+_CV_PLACES = "REPLACE (round(sd_score, 6) AS sd_score, round(cv_score, 6) AS cv_score)"
+oracle("seed_cv", f"SELECT * {_CV_PLACES} FROM ({_SEED_CV(DMM, 'metric')}) s")
 oracle("seed_top_methods", f"""
 WITH combos AS (SELECT DISTINCT dataset_generator, dataset_name, metric FROM metric
                 ORDER BY dataset_generator NULLS LAST, dataset_name NULLS LAST, metric NULLS LAST LIMIT 4),
@@ -185,7 +190,7 @@ mr AS (SELECT metric, method FROM (SELECT metric, method, row_number() OVER (PAR
 dr AS (SELECT metric, dataset_generator, dataset_name FROM (SELECT metric, dataset_generator, dataset_name,
          row_number() OVER (PARTITION BY metric ORDER BY avg(cv_score) DESC NULLS LAST, dataset_generator, dataset_name) AS r
        FROM cvs GROUP BY metric, dataset_generator, dataset_name) t WHERE r <= 8)
-SELECT c.*, {_DS} AS dataset FROM cvs c
+SELECT c.* {_CV_PLACES}, {_DS} AS dataset FROM cvs c
 WHERE EXISTS (SELECT 1 FROM mr WHERE mr.metric = c.metric AND mr.method = c.method)
   AND EXISTS (SELECT 1 FROM dr WHERE dr.metric = c.metric AND dr.dataset_generator = c.dataset_generator
               AND dr.dataset_name = c.dataset_name)""")
@@ -314,9 +319,9 @@ oracle("first_metric_heatmap", """
 SELECT dataset_name, method, avg(score) AS avg_score FROM metric
 WHERE metric = (SELECT min(metric) FROM metric) GROUP BY dataset_name, method""")
 _MC = f"""
-SELECT method, backend, avg(score) AS avg_score, round(stddev_samp(score), 6) AS std_dev, min(score) AS min_score,
+SELECT method, backend, avg(score) AS avg_score, stddev_samp(score) AS std_dev, min(score) AS min_score,
   max(score) AS max_score, avg({_T}) AS avg_time FROM combined GROUP BY method, backend"""
-oracle("method_comparison", _MC)
+oracle("method_comparison", f"SELECT * REPLACE (round(std_dev, 6) AS std_dev) FROM ({_MC}) mc")
 oracle("radar", f"""
 WITH mc AS ({_MC}),
 per AS (SELECT method, avg(avg_score) AS score,
@@ -378,18 +383,19 @@ oracle("frontier_step", f"SELECT * FROM ({_RM_FRONT.format(src='method')}) f WHE
 oracle("largest_dataset_frontier", _RM_FRONT.format(
     src=f"(SELECT m.* FROM method m JOIN ({_LARGEST}) l USING (dataset_generator, dataset_name)) lm"))
 _PMM = f"""
-SELECT method, CAST(count(*) AS BIGINT) AS datasets_on_frontier, round(avg(avg_runtime), 6) AS avg_runtime_sec,
-  round(avg(avg_peak_rss_mb), 6) AS avg_memory_mb, min(avg_runtime) AS min_runtime_sec, max(avg_runtime) AS max_runtime_sec,
+SELECT method, CAST(count(*) AS BIGINT) AS datasets_on_frontier, avg(avg_runtime) AS avg_runtime_sec,
+  avg(avg_peak_rss_mb) AS avg_memory_mb, min(avg_runtime) AS min_runtime_sec, max(avg_runtime) AS max_runtime_sec,
   min(avg_peak_rss_mb) AS min_memory_mb, max(avg_peak_rss_mb) AS max_memory_mb
 FROM ({_RM_FRONT.format(src='method')}) f WHERE is_pareto GROUP BY method"""
-oracle("pareto_memory_methods", _PMM)
-oracle("fastest_frontier", f"SELECT * EXCLUDE (r) FROM (SELECT *, rank() OVER (ORDER BY avg_runtime_sec NULLS LAST) AS r FROM ({_PMM}) s) t WHERE r <= 3")
-oracle("leanest_frontier", f"SELECT * EXCLUDE (r) FROM (SELECT *, rank() OVER (ORDER BY avg_memory_mb NULLS LAST) AS r FROM ({_PMM}) s) t WHERE r <= 3")
+_PMM_PLACES = "REPLACE (round(avg_runtime_sec, 6) AS avg_runtime_sec, round(avg_memory_mb, 6) AS avg_memory_mb)"
+oracle("pareto_memory_methods", f"SELECT * {_PMM_PLACES} FROM ({_PMM}) s")
+oracle("fastest_frontier", f"SELECT * EXCLUDE (r) {_PMM_PLACES} FROM (SELECT *, rank() OVER (ORDER BY avg_runtime_sec NULLS LAST) AS r FROM ({_PMM}) s) t WHERE r <= 3")
+oracle("leanest_frontier", f"SELECT * EXCLUDE (r) {_PMM_PLACES} FROM (SELECT *, rank() OVER (ORDER BY avg_memory_mb NULLS LAST) AS r FROM ({_PMM}) s) t WHERE r <= 3")
 oracle("balanced_frontier", f"""
 WITH s AS ({_PMM}),
 st AS (SELECT avg(avg_runtime_sec) AS mr, stddev_samp(avg_runtime_sec) AS sr, avg(avg_memory_mb) AS mm,
               stddev_samp(avg_memory_mb) AS sm FROM s)
-SELECT s.*, round(CASE WHEN avg_memory_mb = 0 THEN NULL ELSE avg_runtime_sec / avg_memory_mb END, 6) AS efficiency_ratio,
+SELECT s.* {_PMM_PLACES}, round(CASE WHEN avg_memory_mb = 0 THEN NULL ELSE avg_runtime_sec / avg_memory_mb END, 6) AS efficiency_ratio,
   round((avg_runtime_sec - mr) / sr + (avg_memory_mb - mm) / sm, 4) AS balanced_score
 FROM s, st ORDER BY balanced_score NULLS LAST, method LIMIT 3""")
 _TQP = f"""
@@ -400,9 +406,10 @@ _PBM_CTES = f"""
 mets AS (SELECT metric FROM combined GROUP BY metric ORDER BY count(*) DESC, metric NULLS LAST LIMIT 4),
 pts AS ({_TQP.format(src="(SELECT * FROM combined WHERE metric IN (SELECT metric FROM mets)) c")}),
 fr AS (SELECT p.* FROM pts p WHERE {_DOM('avg_time', 'avg_score', 'q.metric IS NOT DISTINCT FROM p.metric AND').format(cmp='>=')}),
-bym AS (SELECT metric, method, CAST(count(*) AS BIGINT) AS datasets_on_frontier, round(avg(avg_time), 6) AS avg_execution_time,
-  round(avg(avg_score), 6) AS avg_quality_score FROM fr GROUP BY metric, method)"""
-oracle("pareto_by_metric", f"WITH {_PBM_CTES} SELECT * FROM bym")
+bym AS (SELECT metric, method, CAST(count(*) AS BIGINT) AS datasets_on_frontier, avg(avg_time) AS avg_execution_time,
+  avg(avg_score) AS avg_quality_score FROM fr GROUP BY metric, method)"""
+oracle("pareto_by_metric", f"""WITH {_PBM_CTES}
+SELECT * REPLACE (round(avg_execution_time, 6) AS avg_execution_time, round(avg_quality_score, 6) AS avg_quality_score) FROM bym""")
 oracle("pareto_overall", f"""
 WITH {_PBM_CTES}
 SELECT method, CAST(count(*) AS BIGINT) AS metrics_on_frontier,
@@ -693,7 +700,7 @@ SELECT metric, method, backend, dataset_generator, dataset_name, {_T}, score FRO
 WHERE metric IN (SELECT metric FROM combined GROUP BY metric ORDER BY count(*) DESC, metric NULLS LAST LIMIT 4)
   AND {_T} IS NOT NULL AND score IS NOT NULL""")
 oracle("bar_error", f"""
-SELECT method, backend, avg_score, std_dev, round(avg_score - std_dev, 6) AS ymin, round(avg_score + std_dev, 6) AS ymax
+SELECT method, backend, avg_score, round(std_dev, 6) AS std_dev, round(avg_score - std_dev, 6) AS ymin, round(avg_score + std_dev, 6) AS ymax
 FROM ({_MC}) mc""")
 
 # ---------------------------------------------------------------- sorts, limits, sets, misc
@@ -718,8 +725,8 @@ WITH pts AS ({_TQP.format(src="combined")})
 SELECT p.* FROM pts p WHERE {_DOM('avg_time', 'avg_score', 'q.metric IS NOT DISTINCT FROM p.metric AND').format(cmp='>=')}""")
 oracle("top_k_with_ties", f"""
 WITH pts AS ({_TQP.format(src="combined")}),
-per AS (SELECT metric, method, round(avg(avg_time), 6) AS avg_time FROM pts GROUP BY metric, method)
-SELECT metric, method, avg_time FROM (SELECT *, rank() OVER (PARTITION BY metric ORDER BY avg_time NULLS LAST) AS r
+per AS (SELECT metric, method, avg(avg_time) AS avg_time FROM pts GROUP BY metric, method)
+SELECT metric, method, round(avg_time, 6) AS avg_time FROM (SELECT *, rank() OVER (PARTITION BY metric ORDER BY avg_time NULLS LAST) AS r
   FROM per) t WHERE r <= 3""")
 oracle("minmax_rescale", """
 WITH s AS (SELECT backend, method, avg(score) AS avg_score FROM metric GROUP BY backend, method),

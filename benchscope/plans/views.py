@@ -5,7 +5,7 @@ The driver ships TPC-H-like tables, not benchmark run trees.  These views give
 ``method_runs``) and of the raw files the ingest reads (``raw_scores``,
 ``raw_sidecars``), so every operator runs over the whole of ``lineitem`` and
 its work grows with it.  The same definitions exist as SQL text in
-``benchscope.plans.oracles`` for the DuckDB oracle; ``tests/test_views.py``
+``benchscope.plans.oracles`` for the DuckDB oracle; ``tests/test_views_entry.py``
 checks that both produce the same rows.
 """
 
@@ -165,12 +165,6 @@ class BenchViews:
 
 def bench_views(spark: SparkSession, sf_dir: str) -> BenchViews:
     lineitem = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet").select(*_LINEITEM_COLS)
-    # A large table arrives as many file splits.  A small test file is a single
-    # split, which would run every row-local step below in one task; spread
-    # it (narrow columns, hash on the key) only in that case.
-    parallelism = spark.sparkContext.defaultParallelism
-    if lineitem.rdd.getNumPartitions() < parallelism:
-        lineitem = lineitem.repartition(parallelism, "l_orderkey")
     metric_runs = _metric_runs(lineitem)
     raw_paths = _raw_paths(metric_runs)
     return BenchViews(metric_runs=metric_runs, method_runs=_method_runs(metric_runs),
@@ -191,12 +185,7 @@ def ingest_inputs(v: BenchViews) -> IngestInputs:
     Every synthetic run tree lives under its own ``/bench/<id>`` root.
     """
     from benchscope.operators.ingest import LABELS_FILE_RE, label_lines_from_text
-    # A run tree is listed as many small files, i.e. many input splits; the
-    # single lineitem file is one split.  Spread the (narrow) source rows over
-    # the cluster by hash before the file texts are generated, the way a file
-    # listing would, so no text is shuffled.
-    n = v.metric_runs.sparkSession.sparkContext.defaultParallelism
-    raw_paths = _raw_paths(v.metric_runs.repartition(n, "src_order"))
+    raw_paths = v.raw_paths
     scores = _raw_scores(raw_paths)
     scores = scores.select("path", F.regexp_extract("path", r"^(/bench/[^/]+)", 1).alias("root"), "content")
     sidecars = _raw_sidecars(raw_paths)

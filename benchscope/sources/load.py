@@ -29,7 +29,7 @@ def _list(spark: SparkSession, directory: str) -> list[tuple[str, str, int]]:
     p = jvm.org.apache.hadoop.fs.Path(directory)
     fs = p.getFileSystem(conf)
     if not fs.exists(p):
-        raise DataNotFoundError(f"Path does not exist: {directory}")
+        raise DataNotFoundError(f"not a folder of results: {directory}")
     return [(s.getPath().getName(), s.getPath().toString(), s.getModificationTime()) for s in fs.listStatus(p)]
 
 
@@ -40,7 +40,7 @@ def find_latest_pair(spark: SparkSession, directory: str) -> dict[str, str]:
     for kind, pat in (("method", METHOD_PATTERN), ("metric", METRIC_PATTERN)):
         cands = [e for e in entries if pat.search(e[0])]
         if not cands:
-            raise DataNotFoundError(f"No {kind}-performance parquet files found in {directory}")
+            raise DataNotFoundError(f"{directory} holds no {kind} table")
         out[kind] = max(cands, key=lambda e: (e[2], e[0]))[1]
     return out
 
@@ -92,7 +92,7 @@ def load_any(spark: SparkSession, path: str) -> DataFrame:
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(conf)
     if not fs.exists(p):
-        raise DataNotFoundError(f"Path does not exist: {path}")
+        raise DataNotFoundError(f"no such result table: {path}")
     name = p.getName()
     if METHOD_PATTERN.search(name) or METRIC_PATTERN.search(name) or not fs.getFileStatus(p).isDirectory():
         return load_method(spark, path) if "method-performance" in name else load_metric(spark, path)

@@ -4,8 +4,13 @@ Three recursive scans over all roots at once -- score files and sidecars as
 whole texts (gzip decoded by the text source), label files line by line --
 each with a file-name glob, so Spark lists the trees in parallel and never
 opens an unrelated file.  Tiny files are packed several to a task by
-``spark.sql.files.openCostInBytes``; unreadable gzip members are skipped with
-``ignoreCorruptFiles`` and show up as missing rows rather than failed jobs.
+``spark.sql.files.openCostInBytes``.
+
+A damaged gzip file must not end the job, so the scans skip what cannot be
+decoded; nothing is lost silently, though.  A listing of all files carries the
+length that gzip stores at the end of each, and a file whose text is shorter (or
+is not there) is listed in ``unreadable``: a score file is then left out, and a
+labels file gets a line that no label reads as, which makes it invalid.
 """
 
 from __future__ import annotations
@@ -63,6 +68,8 @@ def _root_of(path: Column, roots: Sequence[str]) -> Column:
 def _scan(spark: SparkSession, roots: Sequence[str], glob: str, whole: bool) -> DataFrame:
     reader = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
               .option("ignoreCorruptFiles", "true"))
+    if not whole:
+        reader = reader.option("lineSep", "\n")  # so that line lengths add up to the file's; labels are trimmed later
     df = reader.text(list(roots), wholetext=whole)
     return df.select(local_path(F.col("_metadata.file_path")).alias("path"), F.col("value"))
 
@@ -72,6 +79,27 @@ class RunTree:
     scores: DataFrame       # path, root, content
     sidecars: DataFrame     # path, content
     label_lines: DataFrame  # path, line
+    unreadable: DataFrame   # path, kind, detail
+
+
+UNREADABLE = "unreadable_file"
+
+
+def _listed(spark: SparkSession, roots: Sequence[str], glob: str) -> DataFrame:
+    """(path, stored): every file and the text length its gzip trailer states (modulo 2^32)."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", glob).load(list(roots)))
+    # the last four bytes, least significant first
+    byte = [F.substring(F.hex(F.substring("content", -4, 4)), 2 * i + 1, 2) for i in (3, 2, 1, 0)]
+    return files.select(local_path(F.col("path")).alias("path"), F.conv(F.concat(*byte), 16, 10).cast("bigint").alias("stored"))
+
+
+def _lost(listed: DataFrame, read: DataFrame) -> DataFrame:
+    """Files whose text (path, n: bytes) does not have the stored length."""
+    both = listed.join(read, "path", "left")
+    whole = F.coalesce(F.array_contains("n", F.col("stored")), F.lit(False))
+    return both.where(~whole).select("path", F.lit(UNREADABLE).alias("kind"),
+                                     F.concat(F.lit("stored length "), F.coalesce(F.col("stored").cast("string"), F.lit("none"))).alias("detail"))
 
 
 def read_run_tree(spark: SparkSession, roots: Sequence[str]) -> RunTree:
@@ -81,9 +109,18 @@ def read_run_tree(spark: SparkSession, roots: Sequence[str]) -> RunTree:
     if not roots:
         empty_scores = spark.createDataFrame([], "path string, root string, content string")
         return RunTree(empty_scores, spark.createDataFrame([], "path string, content string"),
-                       spark.createDataFrame([], "path string, line string"))
+                       spark.createDataFrame([], "path string, line string"),
+                       spark.createDataFrame([], "path string, kind string, detail string"))
     scores = _scan(spark, roots, SCORES_FILE, True)
     scores = scores.select("path", _root_of(F.col("path"), roots).alias("root"), F.col("value").alias("content"))
     sidecars = _scan(spark, roots, SIDECAR_GLOB, True).select("path", F.col("value").alias("content"))
     labels = _scan(spark, roots, LABELS_GLOB, False).select("path", F.col("value").alias("line"))
-    return RunTree(scores, sidecars, labels)
+    size = F.octet_length("content").cast("bigint") % (1 << 32)
+    lost_scores = _lost(_listed(spark, roots, SCORES_FILE), scores.select("path", F.array(size).alias("n")))
+    scores = scores.join(lost_scores.select("path"), "path", "left_anti").select("path", "root", "content")
+    # a labels file ends with or without a newline
+    size = F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0))
+    read = labels.groupBy("path").agg(F.array(size % (1 << 32), (size - 1) % (1 << 32)).alias("n"))
+    lost_labels = _lost(_listed(spark, roots, LABELS_GLOB), read).where("detail != 'stored length 0'")
+    labels = labels.unionByName(lost_labels.select("path", F.lit(UNREADABLE).alias("line")))
+    return RunTree(scores, sidecars, labels, lost_scores.unionByName(lost_labels))

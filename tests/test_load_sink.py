@@ -24,7 +24,7 @@ def test_write_and_load_roundtrip(spark, tmp_path):
     t = read_run_tree(spark, [str(tmp_path / "tree")])
     res = ing.ingest(t.scores, t.sidecars, t.label_lines)
     backends, stamps = sink.run_levels(res.metric)
-    assert (backends, stamps) == (["conda"], ["202506231301"])
+    assert (backends, stamps) == (["conda"], ["202411051730"])
     base = sink.output_base_name(["tree"], backends, stamps)
     out = str(tmp_path / "out")
     written = sink.write_tables(res.method, res.metric.drop("path"), out, base, fmt="both")
