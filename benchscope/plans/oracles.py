@@ -46,7 +46,7 @@ raw_scores AS (
   SELECT method_path || '/metrics/partition_metrics/metric-' || metric || '/clustbench.scores.gz' AS path,
     CASE WHEN score IS NULL THEN ''
       WHEN duplicate_k_anomaly THEN 'k=2,k=3,k=3' || chr(10) || '0.25,' || CAST(score AS VARCHAR) || ',0.125' || chr(10)
-      ELSE '"k=2","k=3"' || chr(10) || CAST(score AS VARCHAR) || ',0.5' || chr(10)
+      ELSE '"k=2","k=3"' || chr(10) || CAST(score AS VARCHAR) || CASE WHEN src_order % 53 = 5 THEN ',n/a' ELSE ',0.5' END || chr(10)
     END AS content
   FROM raw_paths),
 raw_sidecars AS (
@@ -63,6 +63,7 @@ raw_sidecars AS (
     FROM raw_paths WHERE src_order % 10 = 0
   UNION ALL
   SELECT dataset_path || '/clustbench.labels0.gz', CASE WHEN has_noise THEN '0' || chr(10) ELSE '' END || '1' || chr(10) || '2.0' || chr(10)
+    || CASE WHEN src_order % 71 = 9 THEN 'unlabelled' || chr(10) ELSE '' END
     || CASE WHEN true_k >= 3 THEN '3' || chr(10) ELSE '' END || CASE WHEN true_k >= 4 THEN '4' || chr(10) ELSE '' END FROM raw_paths),
 metric AS (SELECT * EXCLUDE (src_order, src_line, src_part, src_qty, execution_time_seconds, peak_rss) FROM metric_runs),
 method AS (SELECT * FROM method_runs),
