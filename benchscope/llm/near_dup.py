@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from benchscope.llm.common import arrow_map, chunks, stored
 from benchscope.llm.wordcache import gather, span_hashes
 
-WIDTH, TREES, BRANCH, DEPTH, SMALL, CAP = 64, 6, 2, 6, 24, 2048
+WIDTH, TREES, BRANCH, DEPTH, SMALL, CAP = 64, 6, 2, 6, 24, 4096
 _U = np.uint64
 _C1, _C2, _C3 = _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53), _U(0x9E3779B97F4A7C15)
 
