@@ -30,13 +30,16 @@ def shipped(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (local tests) is a scratch folder made.
+    Only a local session that names none (tests) gets a scratch folder; on a cluster that
+    is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="benchscope-llm-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
