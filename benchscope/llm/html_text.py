@@ -7,8 +7,11 @@ elements that are never the article (menus, headers, footers, sidebars, notices,
 adverts, forms, comments) have ratio zero.  The ratios are smoothed with a Gaussian and
 split in two clusters; a region, that is a stretch of lines which no boilerplate line
 interrupts, belongs to the content if its highest smoothed ratio reaches the upper
-cluster, and then all of its lines are kept.  Pages that mark their article or main
-part offer regions of that part alone.
+cluster, and then all of its lines are kept.  The mark of an article or main part is a
+prior: outside of it a ratio counts ``1 / OUTSIDE``, and inside a region is also kept if
+an own ratio reaches ``INSIDE`` of the border.  Inside, a region is the text that stands
+directly in one division or section, whatever notices part it, or a stretch of lines that
+are mostly links; a heading belongs to what it heads.
 
 Null and empty pages give an empty text.  Character references are decoded, white space
 inside a block becomes one blank, blocks are joined by one blank in page order, and
@@ -41,33 +44,40 @@ _NAMES = re.compile(
     re.I,
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: What a marked part's mark is worth, see above.
+OUTSIDE, INSIDE = 4, 0.5
+_BOXES = frozenset("article main div section details figure".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CUT_TAG = re.compile(r"<(?:[a-zA-Z/][^<>]*|!-?|!--(?:(?!-->).)*|!(?:[a-zA-Z][^<>]*)?)\Z", re.S)
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WITHIN = frozenset("ul ol dl table select menu".split())
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags, link characters, whether boilerplate, whether in an article."""
+    """Lines of a page: text, tags, link characters, whether boilerplate, whether in an article, division, heading."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, bool]] = []
-        self.stack: list[tuple[str, bool, bool, bool]] = []  # element, hidden, around, article
+        self.lines: list[tuple[str, int, int, bool, bool, int, str]] = []
+        self.stack: list[tuple[str, bool, bool, bool, int]] = []  # element, hidden, around, article, division
+        self.boxes = 0
         self.parts: list[str] = []
         self.tags = self.linked = 0
         self.in_link = False
 
     @property
     def state(self) -> tuple[bool, bool, bool]:
-        return self.stack[-1][1:] if self.stack else (False, False, False)
+        return self.stack[-1][1:4] if self.stack else (False, False, False)
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         hidden, around, article = self.state
         if text and not hidden:
-            self.lines.append((text, max(1, self.tags), self.linked, around, article))
+            box = self.stack[-1][4] if self.stack else 0
+            heading = next((e[0] for e in reversed(self.stack) if e[0] in BLOCKS), "")
+            self.lines.append((text, max(1, self.tags), self.linked, around, article, box, heading if heading in _HEADINGS else ""))
         elif around and not hidden and not (self.lines and self.lines[-1][0] == "" and self.lines[-1][3]):
-            self.lines.append(("", 1, 0, True, article))
+            self.lines.append(("", 1, 0, True, article, 0, ""))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -94,7 +104,10 @@ class Lines(HTMLParser):
             around = around or tag in AROUND or bool(_NAMES.search(names)) or (got.get("role") or "").lower() in _ROLES or (tag == "header" and not article)
         elif tag in ("article", "span", "p") and _NAMES.search(names):
             around = True
-        self.stack.append((tag, hidden, around, article or (tag in ("article", "main") and not around)))
+        box = self.stack[-1][4] if self.stack else 0
+        if tag in _BOXES:
+            self.boxes = box = self.boxes + 1
+        self.stack.append((tag, hidden, around, article or (tag in ("article", "main") and not around), box))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -150,21 +163,50 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     parser.close()
     parser.end_line()
     lines = parser.lines
-    marked = any(article and not around for _, _, _, around, article in lines)
-    plain = [not around and (article or not marked) for _, _, _, around, article in lines]
+    marked = any(article and not around for _, _, _, around, article, _, _ in lines)
+    plain = [not around for _, _, _, around, _, _, _ in lines]
     if not any(plain):
         return ""
-    ratio = np.array([max(0, len(t) - 2 * linked) / tags if ok else 0.0 for (t, tags, linked, _, _), ok in zip(lines, plain, strict=True)])
+    ratio = np.array([max(0, len(t) - 2 * linked) / tags / (1 if article or not marked else OUTSIDE) if ok else 0.0 for (t, tags, linked, _, article, _, _), ok in zip(lines, plain, strict=True)])
     level = smooth(ratio, sigma)
     border = min(threshold(np.concatenate([[0.0], level])), float(level[np.array(plain)].max()))
-    regions, last = [], False
-    for i, ok in enumerate(plain):
-        if ok and (last or (marked and regions)):  # notices inside a marked article don't part it
-            regions[-1].append(i)
-        elif ok:
-            regions.append([i])
-        last = ok
-    return " ".join(lines[i][0] for r in regions if level[r].max() >= border for i in r)
+    keep: set[int] = set()
+    for inside, r in regions(lines, plain):
+        if level[r].max() >= border or (inside and ratio[r].max() >= INSIDE * border):
+            keep.update(r)
+    return " ".join(lines[i][0] for i in sorted(keep))
+
+
+def regions(lines: list[tuple], plain: list[bool]) -> list[tuple[bool, list[int]]]:
+    """(whether in a marked part, lines) of every region."""
+    keys: dict[int, tuple] = {}
+    stretch = links = 0
+    for i, (text, _, linked, _, article, box, _) in enumerate(lines):
+        if not plain[i]:
+            stretch += 1
+        elif not article:
+            keys[i] = (False, stretch, 0)
+        else:
+            stretch += 1
+            linking = 2 * linked >= len(text)
+            links += not linking
+            keys[i] = (True, box, links if linking else -1)
+    # a heading belongs to the next line of its part, the title to the next text
+    after = text_after = None
+    for i in sorted(keys, reverse=True):
+        inside, heading = keys[i][0], lines[i][6]
+        if not inside:
+            after = text_after = None
+            continue
+        if heading:
+            keys[i] = (text_after if heading == "h1" else after) or keys[i]
+        after = keys[i]
+        if keys[i][2] < 0:
+            text_after = keys[i]
+    found: dict[tuple, list[int]] = {}
+    for i, key in keys.items():
+        found.setdefault(key, []).append(i)
+    return [(key[0], r) for key, r in found.items()]
 
 
 def extract(pages: DataFrame) -> DataFrame:

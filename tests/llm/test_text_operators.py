@@ -164,6 +164,19 @@ def test_article_text(wrap):
     assert html_text.main_text(PAGE % (wrap % BODY)) == TEXT
 
 
+def test_marked_parts_are_selected_from():
+    text = "<p>" + "Long text that goes on for a while, with words. " * 4 + "</p>"
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Another story {i}</a></li>" for i in range(6)) + "</ul>"
+    teaser = "<div><h3>Also read</h3><p>Ten tips</p></div>"
+    for extra in (f"<h2>More</h2>{links}", f"<p>Short.</p>{teaser}"):
+        got = html_text.main_text(f"<article><h1>Title</h1>{text}{text}<p>Near.</p>{extra}<p>Last.</p></article>")
+        assert got.startswith("Title Long") and got.endswith("Last.") and "Near." in got
+        assert not any(x in got for x in ("More", "story", "Also", "tips"))
+    # the mark is a prior: dense text beside a marked teaser is found, a line beside a marked text is not
+    assert "Long text" in html_text.main_text(f"<main><p>Teaser</p></main><div>{text * 3}</div>")
+    assert html_text.main_text(f"<p>Beside.</p><p>And more.</p><article>{text}{text}</article>").startswith("Long")
+
+
 def test_pages_without_end_or_text(spark):
     assert html_text.main_text("<article><p>One two three</p><p>Four fi") == "One two three Four fi"
     assert html_text.main_text("<article><p>One two three</p><p cla") == "One two three"
