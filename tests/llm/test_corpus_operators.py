@@ -176,6 +176,15 @@ def test_recurring_lines_go_and_clean_ones_stay(frame):
     assert got[51].n_dropped == got[51].n_lines == 8
 
 
+def test_lines_that_only_start_alike_stay(frame):
+    word = lambda *x: "".join("abcdefghij"[int(c)] for c in "".join(f"{y:02d}" for y in x))
+    rows = [(i, f"I want to {word(i, 1)} {word(i, 2)}\n" + " ".join(str(i * 8 + k) for k in range(8)) + f"\nWe saw it the {word(i, 3)} {word(i, 4)} {word(i, 5)} {word(i, 6)}") for i in range(12)]
+    got = lined(frame(rows))
+    assert all(got[i].text == t for i, t in rows)
+    # the same row of numbers is the same line
+    assert [r.n_dropped for r in lined(frame([(i, "1 2 3 4 5 6 7 8\n" + rows[i][1]) for i in range(3)])).values()] == [1, 1, 1]
+
+
 def test_line_edge_cases(frame, spark):
     many = [(i, "shared line of a good many tokens, more than eight of them\n\nown " + str(i) * 3) for i in range(4)]
     rows = [*many, many[0], (9, None), (10, ""), (11, "\n\n"), (None, many[0][1]), (12, "long " * 20000)]
