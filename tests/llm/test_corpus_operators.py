@@ -185,6 +185,18 @@ def test_lines_that_only_start_alike_stay(frame):
     assert [r.n_dropped for r in lined(frame([(i, "1 2 3 4 5 6 7 8\n" + rows[i][1]) for i in range(3)])).values()] == [1, 1, 1]
 
 
+def test_a_leaf_holds_several_templates(frame):
+    word = lambda *x: "".join("abcdefghij"[int(c)] for c in "".join(f"{y:02d}" for y in x))
+    notice = ["this text was written by {} for the readers of our weekly paper", "this text was found by {} in the attic of an old house", "this text was taken from a book that {} had lent to one of the other people here last year or before"]
+    own = lambda i, n: [" ".join(["this", "text", "was", *(word(i, n, j, k) for k in range(n))]) for j in range(4)]
+    rows = {i: [*own(i, 9), *own(i, 19)] for i in range(15)}
+    clean = {i: "\n".join(v) for i, v in rows.items()}
+    for i, v in rows.items():
+        v.insert(3, notice[i % 3].format(word(i, 77)))
+    got = lined(frame([(i, "\n".join(v)) for i, v in rows.items()]))
+    assert {i: r.text for i, r in got.items()} == clean
+
+
 def test_line_edge_cases(frame, spark):
     many = [(i, "shared line of a good many tokens, more than eight of them\n\nown " + str(i) * 3) for i in range(4)]
     rows = [*many, many[0], (9, None), (10, ""), (11, "\n\n"), (None, many[0][1]), (12, "long " * 20000)]
