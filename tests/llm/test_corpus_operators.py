@@ -197,6 +197,15 @@ def test_a_leaf_holds_several_templates(frame):
     assert {i: r.text for i, r in got.items()} == clean
 
 
+def test_a_long_line_of_two_documents_stays_in_the_first(frame):
+    word = lambda *x: "".join("abcdefghij"[int(c)] for c in "".join(f"{y:02d}" for y in x))
+    own = lambda i, n=15: "\n".join(" ".join(word(i, j, k) for k in range(n)) for j in range(4))
+    both = " ".join(word(7, 7, k) for k in range(12))  # too short to recur in two
+    near = PASSAGE.replace("passagebe", "another")
+    got = lined(frame([(1, own(1)), (2, f"{PASSAGE}\n{both}\n{own(2)}"), (3, f"{own(3)}\n{near}\n{both}"), (4, own(4, 20)), (5, f"{own(4, 20)}\n{own(5)}")]))
+    assert {i: r.text for i, r in got.items()} == {1: own(1), 2: f"{PASSAGE}\n{both}\n{own(2)}", 3: f"{own(3)}\n{both}", 4: own(4, 20), 5: own(5)}
+
+
 def test_line_edge_cases(frame, spark):
     many = [(i, "shared line of a good many tokens, more than eight of them\n\nown " + str(i) * 3) for i in range(4)]
     rows = [*many, many[0], (9, None), (10, ""), (11, "\n\n"), (None, many[0][1]), (12, "long " * 20000)]
