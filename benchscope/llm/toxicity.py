@@ -11,9 +11,9 @@ own, so correlated voters are not counted as independent evidence.  Its posterio
 train a linear classifier over hashed words, word stems and votes; the classifier scores
 every document.
 
-Labels come only from rows that are not held out.  Mining uses at most ``SAMPLE``
-labelled rows and the classifier at most ``FITTED`` of them, taken by a hash of the id;
-the vote counts cover all learning documents.
+Labels come only from rows that are not held out.  Mining and the labelled vote counts use
+all of them; the classifier is fitted on the driver on at most ``FITTED`` labelled rows,
+taken by a hash of the id.  The vote counts cover all learning documents.
 
 Null and empty texts are scored as texts without words.  Repeated labels of one
 document count once (toxic if any says so); null labels teach nothing.  Without labelled
@@ -35,10 +35,8 @@ from benchscope.llm.common import arrow_map, chunks, crc_fold, stored
 from benchscope.llm.near_dup import mix, shingle_sets
 from benchscope.llm.wordcache import LETTER, char_classes, code_points, span_hashes
 
-#: Most labelled rows that words are mined from, and that the classifier is fitted on.
-SAMPLE, FITTED = 30_000, 8_000
-#: Most mined words and stems.
-MINED = 4_000
+#: Most labelled rows that the classifier is fitted on.
+FITTED = 8_000
 BUCKETS = 1 << 17
 STEM = 5
 #: Lengths of the stems that are mined.
@@ -270,12 +268,11 @@ def unlike(rows: DataFrame) -> DataFrame:
     return left.select("doc_id").distinct()
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from documents and labels that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = FITTED) -> Model:
+    """Learn from documents and labels that are not held out; the classifier from ``sample`` labelled rows at most."""
     learning = docs.where(crc_fold() != 2).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
     known = labels.where(crc_fold() != 2).where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # a stated bound, so it may be broadcast
-    rows = stored(learning.join(F.broadcast(known), "doc_id"), "labelled")
+    rows = stored(learning.join(known, "doc_id"), "labelled")
 
     def mine():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -295,23 +292,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return f
 
     # words and stems that stand almost only in toxic texts, by a cautious share
-    texts = rows.join(F.broadcast(unlike(rows)), "doc_id")
+    texts = rows.join(stored(unlike(rows), "unlike"), "doc_id")
     sums = stored(arrow_map(texts.select("_t", "toxic"), mine, "hash long, n long, toxic long").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")), "mined")
     base, tests = texts.agg(F.avg("toxic")).first()[0] or 0.0, sums.count()
     # the chance to meet so many toxic texts by the base rate, against the number of words tried
     p0, r = min(max(base, 1e-3), 0.5), F.col("toxic") / F.col("n")
     bits = r * F.log(r / p0) + F.when(r < 1, (1 - r) * F.log((1 - r) / (1 - p0))).otherwise(0.0)
-    found = sums.where("2 * toxic > n").where(bits * F.col("n") > float(np.log(max(tests, 1)) + 3)).orderBy((bits * F.col("n")).desc(), "hash").limit(MINED).collect()
-    model = Model(np.array(sorted(r["hash"] for r in found), np.int64).view(np.uint64))
+    found = sums.where("2 * toxic > n").where(bits * F.col("n") > float(np.log(max(tests, 1)) + 3)).select("hash").toArrow()  # few pass the test
+    model = Model(np.sort(found.column("hash").to_numpy()).view(np.uint64))
 
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def vote():
+    def vote(with_features: bool = False):
         own = sent.value
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             texts, out, feats = b.column("_t").to_pylist(), [], []
-            with_features = b.num_columns > 1  # of labelled rows
             for a, z in chunks(texts):
                 words = Words.of(texts[a:z])
                 out.append(own.votes(texts[a:z], words))
@@ -320,15 +316,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                     feats += np.split(buckets(hashes).astype(np.int32), np.searchsorted(owner, np.arange(1, z - a)))
             votes = np.concatenate(out)
             if with_features:
-                return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(votes), b.column("toxic"), pa.array([x.tobytes() for x in feats], pa.binary())], ["doc_id", "votes", "toxic", "at"])
+                return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(votes), pa.array([x.tobytes() for x in feats], pa.binary())], ["doc_id", "votes", "at"])
+            if b.num_columns > 1:  # labelled rows
+                return pa.RecordBatch.from_arrays([pa.array(votes), b.column("toxic")], ["votes", "toxic"])
             v, n = np.unique(votes, return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(v), pa.array(n)], ["votes", "n"])
 
         return f
 
-    seen = stored(arrow_map(rows.select("doc_id", "_t", "toxic"), vote, "doc_id long, votes long, toxic int, at binary").withColumn("key", F.xxhash64("doc_id")), "votes")
-    local = seen.orderBy("key", "doc_id").limit(FITTED).select("votes", "at").collect()  # a stated bound
-    known_votes = seen.groupBy("votes", "toxic").count().collect()  # at most 2 ** 17 rows
+    key = F.xxhash64("doc_id")
+    some = rows.select("doc_id").orderBy(key, "doc_id").limit(sample).distinct()  # a stated bound, so it may be broadcast
+    fitted = arrow_map(rows.join(F.broadcast(some), "doc_id", "left_semi").select("doc_id", "_t"), lambda: vote(True), "doc_id long, votes long, at binary")
+    local = fitted.orderBy(key, "doc_id").limit(sample).select("votes", "at").collect()
+    known_votes = arrow_map(rows.select("_t", "toxic"), vote, "votes long, toxic int").groupBy("votes", "toxic").count().collect()  # at most 2 ** 17 rows
     every = arrow_map(learning.select("_t"), vote, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()  # at most 2 ** 16 rows
     labelled = {(r["votes"], r["toxic"]): r["count"] for r in known_votes}
     cells = [(v, n, y) for (v, y), n in sorted(labelled.items())]

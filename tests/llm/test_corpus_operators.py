@@ -281,6 +281,14 @@ def test_labels_of_held_out_rows_are_not_used(labelled):
     assert a == b
 
 
+def test_words_are_mined_from_all_labels(frame, spark):
+    word = lambda *x: "".join("abcdefghij"[int(c)] for c in "".join(f"{y:03d}" for y in x))
+    df = frame([(i, " ".join(word(i, k) for k in range(12)) + (" zorblaxid" if i % 10 == 0 else "")) for i in range(400)])
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(400)], "doc_id long, toxic int")
+    mined = toxicity.fit(df, labels, sample=4).mined
+    assert len(mined) and np.array_equal(mined, toxicity.fit(df, labels).mined)
+
+
 def test_toxicity_edge_cases(frame, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     df = frame([(1, None), (2, ""), (3, "you are a stupid idiot and a moron"), (4, "a calm text"), (4, "a calm text"), (5, "w " * 30000)])
