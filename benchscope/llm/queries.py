@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from benchscope.llm import ann, bpe, html_text, imatch, langid, line_dedup, near_dup, packing, secrets, toxicity
+from benchscope.llm import ann, bpe, filter_audit, html_text, imatch, langid, line_dedup, near_dup, oracles, packing, secrets, spelling, toxicity, url_filter
 from benchscope.llm.common import table
 from corpus_pipeline import run as pipeline
 
@@ -56,11 +56,27 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.codec_digest(table(spark, sf_dir, "documents"), CODEC_VOCABULARY)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdicts(table(spark, sf_dir, "pages"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scan, op3_nearest_neighbours, op4_line_dedup, op5_html_main_text, op6_toxicity, op7_language_id, op8_imatch, op9_best_fit_packing, op10_bpe_codec)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scan, op3_nearest_neighbours, op4_line_dedup, op5_html_main_text, op6_toxicity, op7_language_id, op8_imatch, op9_best_fit_packing, op10_bpe_codec, op11_spelling_variants, op12_url_filter, op13_filter_audit)
 } | {"pipeline": pipeline}
 #: DuckDB SQL of the queries that SQL expresses over whole tables in reasonable time.
-ORACLES: dict[str, str] = {"op1_minhash_near_dedup": r"""WITH RECURSIVE words AS (
+ORACLES: dict[str, str] = {
+    "op11_spelling_variants": oracles.SPELLING,
+    "op12_url_filter": oracles.URLS,
+    "op13_filter_audit": oracles.AUDIT,
+} | {"op1_minhash_near_dedup": r"""WITH RECURSIVE words AS (
   SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
   FROM documents),
 shingles AS (
