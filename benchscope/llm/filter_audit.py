@@ -28,7 +28,7 @@ from itertools import permutations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchscope.llm.common import shipped, stored, text_of
@@ -44,7 +44,6 @@ FIELDS = len(ORDERS) * STEPS * KINDS + len(FILTERS)
 #: Sums that a task holds at most before it hands them on, and sums that a merging task adds up.
 PARTS, FAN_IN = 512, 1024
 SPACE = r"[\x20\x09-\x0D]+"
-BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 
 COUNTS = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
 
@@ -81,22 +80,23 @@ def integers() -> list[int]:
 # ---------------------------------------------------------------- masks
 
 
-def own_mask(text: Column) -> Column:
-    """The bits of A to D, which a text alone decides."""
-    trimmed = F.btrim(text, F.lit(BLANKS))
-    words = F.split(trimmed, SPACE)
-    n = F.when(trimmed == "", F.lit(0)).otherwise(F.size(words))
-    kinds = F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.array_distinct(words)))
-    upper = F.length(F.regexp_replace(text, "[^A-Z]+", ""))
-    tests = [n < 200, kinds.cast("long") * 100 < n.cast("long") * 50, upper.cast("long") * 100 > F.length(text).cast("long") * 3, text.rlike(r"[#$%&*|]")]
-    return sum((t.cast("int") * (1 << i) for i, t in enumerate(tests)), F.lit(0))
+def masked(docs: DataFrame) -> DataFrame:
+    """(d, part, th, mask): id, part, hash of the text, and the bits of A to D, which a text alone decides.
+
+    Words are split and counted in projections of their own, so that each is done once a text.
+    """
+    text, part = text_of("text").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part")
+    rows = docs.select(F.col("doc_id").cast("long").alias("d"), part, text).withColumn("words", F.array_remove(F.split("text", SPACE), ""))
+    rows = rows.select("d", "part", "text", F.size("words").cast("long").alias("n"), F.size(F.array_distinct("words")).cast("long").alias("kinds"))
+    upper = F.length(F.regexp_replace("text", "[^A-Z]+", "")).cast("long")
+    tests = [F.col("n") < 200, F.col("kinds") * 100 < F.col("n") * 50, upper * 100 > F.length("text").cast("long") * 3, F.col("text").rlike(r"[#$%&*|]")]
+    mask = sum((t.cast("int") * (1 << i) for i, t in enumerate(tests)), F.lit(0))
+    return rows.select("d", "part", F.sha2("text", 256).alias("th"), mask.alias("mask"))
 
 
 def codes(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, code, n): how many documents of a part have a mask and labels."""
-    text = text_of("text")
-    own = docs.select(F.col("doc_id").cast("long").alias("d"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.sha2(text, 256).alias("th"), own_mask(text).alias("mask"))
-    rows = stored(own.groupBy("d", "part", "th", "mask").agg(F.count(F.lit(1)).alias("n")), "masks")
+    rows = stored(masked(docs).groupBy("d", "part", "th", "mask").agg(F.count(F.lit(1)).alias("n")), "masks")
     flag = lambda c: F.max((F.col(c) == 1).cast("int"))
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("d")).agg(F.coalesce(flag("quality"), F.lit(0)).alias("good"), F.coalesce(flag("toxic"), F.lit(0)).alias("bad"))
     # stored, so that both sides of the join are plain exchanges, which Spark may split where they are skewed
