@@ -28,6 +28,8 @@ _DIGITS = r"\d(?:_?\d)*"
 PY_FLOAT_RE = (rf"^\s*[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\s*$")
 PY_SPECIAL_RE = r"(?i)^\s*[+-]?(?:inf|infinity|nan)\s*$"
 PY_INT_RE = rf"^\s*[+-]?{_DIGITS}\s*$"
+#: What nearly every number looks like; the general rules above are tried only beyond it.
+PLAIN_NUMBER_RE = r"^-?[0-9]+(?:\.[0-9]+)?$"
 
 
 def _u(pattern: str) -> str:
@@ -57,6 +59,28 @@ def ancestor(path: Column, k: int | Column, split: Column | None = None) -> Colu
     return F.when(joined == "", F.lit("/")).otherwise(joined)
 
 
+def nearest_dir(path: Column, name_re: str, token: str, first: int, last: int) -> Column:
+    """The nearest of the directories ``first`` to ``last`` levels above ``path`` (0: the path
+    itself) whose name matches ``name_re``, which contains ``token``; NULL if none does.
+
+    One regex: the greedy prefix makes the match the deepest one, the repeat bound keeps it
+    within the levels.  Only paths with the token are matched.
+    """
+    pattern = rf"^(.*/{name_re})(?:/[^/]+){{{first},{last}}}$"
+    return F.when(path.contains(token), F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")))
+
+
+def method_dir(path: Column, first: int, last: int) -> Column:
+    """The nearest directory named after a method."""
+    return nearest_dir(path, rf"[^/]*{METHOD_TOKEN}[^/]*", METHOD_TOKEN, first, last)
+
+
+def dataset_dir(path: Column, first: int, last: int) -> Column:
+    """The nearest directory whose name has both of the dataset's tokens."""
+    a, b = DATASET_TOKENS
+    return nearest_dir(path, rf"[^/]*(?:{a}[^/]*{b}|{b}[^/]*{a})[^/]*", a, first, last)
+
+
 def basename(path: Column) -> Column:
     """``os.path.basename`` of a directory path ('' for ``/``)."""
     return F.try_element_at(parts(path), F.lit(-1))
@@ -81,6 +105,7 @@ def py_float(c: Column) -> Column:
                .when(low.startswith("-"), F.lit(float("-inf")))
                .otherwise(F.lit(float("inf"))))
     return (F.when(c.isNull(), F.lit(None).cast("double"))
+            .when(c.rlike(PLAIN_NUMBER_RE), c.try_cast("double"))
             .when(c.rlike(PY_FLOAT_RE), F.regexp_replace(s, "_", "").try_cast("double"))
             .when(c.rlike(PY_SPECIAL_RE), special)
             .otherwise(F.lit(None).cast("double")))

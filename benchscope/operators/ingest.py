@@ -17,6 +17,7 @@ directory by partial aggregates.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -207,7 +208,7 @@ def label_lines_from_text(files: DataFrame) -> DataFrame:
 def labels_by_file(label_lines: DataFrame) -> DataFrame:
     """A4 per labels file: ``int(float(line))`` of every non-blank line;
     valid when all lines convert; ``true_k`` = distinct non-zero labels."""
-    lines = label_lines.where(P.py_strip(F.col("line")) != "").select("path", P.py_float(F.col("line")).alias("_v"))
+    lines = label_lines.where(F.col("line").rlike(r"(?U)\S")).select("path", P.py_float(F.col("line")).alias("_v"))
     v = F.col("_v")
     lines = lines.select("path", (v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).alias("_ok"), "_v")
     # the whole part as a double: a label may be larger than any bigint
@@ -232,14 +233,6 @@ def labels_true_k(label_lines: DataFrame) -> DataFrame:
 
 # ============================================================ per-file resolution (B)
 
-def _nearest_dir(path: Column, name_re: str, levels: int) -> Column:
-    """Nearest ancestor (D1 .. D<levels>) whose name matches ``name_re``: one
-    regex over the path -- the greedy prefix makes the match the deepest one,
-    and the repeat bound keeps it within ``levels`` directories of the file."""
-    pattern = rf"^(.*/{name_re})(?:/[^/]+){{1,{levels}}}$"
-    return F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
-
-
 def file_paths(scores: DataFrame) -> DataFrame:
     """B1, B2 (path step), B5 (path step), B6, B7 and A1 per score file.
 
@@ -251,9 +244,6 @@ def file_paths(scores: DataFrame) -> DataFrame:
     staged = scores.select("*", P.parts(path).alias("_parts"))
     sp = F.col("_parts")
     gen, name = P.dataset_from_path(path)
-    method_dir = _nearest_dir(path, r"[^/]*method-[^/]*", ANCESTOR_SEARCH_LEVELS)
-    dataset_dir = _nearest_dir(path, r"[^/]*(?:dataset_generator-[^/]*dataset_name-|dataset_name-[^/]*dataset_generator-)[^/]*",
-                               ANCESTOR_SEARCH_LEVELS)
     staged = staged.select(
         "*", *[P.ancestor_name(sp, k).alias(f"_n{k}") for k in range(1, METHOD_SEARCH_LEVELS + 2)],
         *[P.ancestor(path, k, sp).alias(f"_d{k}") for k in range(1, METHOD_SEARCH_LEVELS + 1)],
@@ -261,7 +251,8 @@ def file_paths(scores: DataFrame) -> DataFrame:
         gen.alias("path_generator"), name.alias("path_dataset_name"),
         P.metric_from_path(path).alias("path_metric"),
         (F.size(sp) - F.lit(2)).alias("depth"),
-        method_dir.alias("method_dir"), dataset_dir.alias("dataset_dir"))
+        P.method_dir(path, 1, ANCESTOR_SEARCH_LEVELS).alias("method_dir"),
+        P.dataset_dir(path, 1, ANCESTOR_SEARCH_LEVELS).alias("dataset_dir"))
     # perf.json: the nearest 'method-' directory, else D1 if its path has the
     # token, else D4
     perf_dir = F.coalesce(F.col("method_dir"), F.when(F.col("_d1").contains(P.METHOD_TOKEN), F.col("_d1")),
@@ -271,52 +262,65 @@ def file_paths(scores: DataFrame) -> DataFrame:
                          P.timestamp_of(F.col("source_dir")).alias("run_timestamp"))
 
 
-def _requests(files: DataFrame) -> DataFrame:
-    """The (role, level, dir, name) sidecar lookups of each score file."""
-    reqs = [F.struct(F.lit("params").alias("role"), F.lit(k).alias("level"), F.col(f"_d{k}").alias("dir"),
-                     F.lit(PARAMS_FILE).alias("name")) for k in range(1, METHOD_SEARCH_LEVELS + 1)]
-    reqs.append(F.struct(F.lit("metric_perf").alias("role"), F.lit(1).alias("level"), F.col("_d1").alias("dir"),
-                         F.lit(PERF_FILE).alias("name")))
-    reqs.append(F.struct(F.lit("method_perf").alias("role"), F.lit(0).alias("level"),
-                         F.col("method_perf_dir").alias("dir"), F.lit(PERF_FILE).alias("name")))
-    reqs.append(F.struct(F.lit("timing").alias("role"), F.lit(METHOD_DIR_FALLBACK_LEVEL).alias("level"),
-                         F.col(f"_d{METHOD_DIR_FALLBACK_LEVEL}").alias("dir"), F.lit(TIMING_FILE).alias("name")))
-    base = files.select("path", "depth", F.explode(F.array(*reqs)).alias("r"))
-    # dataset parameters.json fallback: odd levels beyond the method search,
-    # only for files whose path does not name the dataset
-    deep = files.where(F.col("path_generator").isNull()).select(
-        "path", "depth", F.explode(F.sequence(F.lit(METHOD_SEARCH_LEVELS + 2),
-                                     F.greatest(F.col("depth") + 1, F.lit(METHOD_SEARCH_LEVELS + 2)), F.lit(2))).alias("k"))
-    deep = deep.select("path", "depth", F.struct(F.lit("params").alias("role"), F.col("k").cast("int").alias("level"),
-                                        P.ancestor(F.col("path"), F.col("k").cast("int")).alias("dir"),
-                                        F.lit(PARAMS_FILE).alias("name")).alias("r"))
-    # the recursion of the reference always ends by looking at "/" itself
-    root = files.where(F.col("path_generator").isNull()).select(
-        "path", "depth", F.struct(F.lit("params_root").alias("role"), F.lit(ROOT_LEVEL).alias("level"), F.lit("/").alias("dir"),
-                         F.lit(PARAMS_FILE).alias("name")).alias("r"))
-    return base.unionByName(deep).unionByName(root).select("path", "depth", "r.role", "r.level", "r.dir", "r.name")
-
-
-def resolve_sidecars(files: DataFrame, parsed_sidecars: DataFrame) -> DataFrame:
+# What a resolved file takes from elsewhere, and the sidecars each kind is read from.
+PARAMS, PERF, TIMING, LABELS = "params", "perf", "timing", "labels"
+ALL = (PARAMS, PERF, TIMING, LABELS)
+_FILE_OF = {PARAMS: PARAMS_FILE, PERF: PERF_FILE, TIMING: TIMING_FILE}
+ROOT_SALTS = 64  # files without a dataset in their path all look at "/": no hot key
+
+
+def _requests(files: DataFrame, want: Sequence[str] = ALL) -> DataFrame:
+    """The (role, level, dir, name, salt) sidecar lookups of each score file."""
+    def ask(role: str, level: int | Column, where: Column, name: str) -> Column:
+        level = F.lit(level) if isinstance(level, int) else level.cast("int")
+        return F.struct(F.lit(role).alias("role"), level.alias("level"), where.alias("dir"), F.lit(name).alias("name"))
+
+    reqs = []
+    if PARAMS in want:
+        reqs += [ask("params", k, F.col(f"_d{k}"), PARAMS_FILE) for k in range(1, METHOD_SEARCH_LEVELS + 1)]
+    if PERF in want:
+        reqs += [ask("metric_perf", 1, F.col("_d1"), PERF_FILE), ask("method_perf", 0, F.col("method_perf_dir"), PERF_FILE)]
+    if TIMING in want:
+        reqs.append(ask("timing", METHOD_DIR_FALLBACK_LEVEL, F.col(f"_d{METHOD_DIR_FALLBACK_LEVEL}"), TIMING_FILE))
+    asked = F.array(*reqs)
+    if PARAMS in want:
+        # dataset parameters.json fallback: odd levels beyond the method search, and at last
+        # "/" itself; only for files whose path does not name the dataset
+        deepest = F.greatest(F.col("depth") + 1, F.lit(METHOD_SEARCH_LEVELS + 2))
+        deep = F.transform(F.sequence(F.lit(METHOD_SEARCH_LEVELS + 2), deepest, F.lit(2)),
+                           lambda k: ask("params", k, P.ancestor(F.col("path"), k.cast("int")), PARAMS_FILE))
+        last = F.array(ask("params_root", ROOT_LEVEL, F.lit("/"), PARAMS_FILE))
+        asked = F.when(F.col("path_generator").isNull(), F.concat(asked, deep, last)).otherwise(asked)
+    req = files.select("path", "depth", F.explode(asked).alias("r")).select("path", "depth", "r.*")
+    salt = F.when(F.col("dir") == "/", F.pmod(F.xxhash64("path"), F.lit(ROOT_SALTS))).otherwise(F.lit(0))
+    return req.withColumn("salt", salt.cast("int"))
+
+
+def resolve_sidecars(files: DataFrame, parsed_sidecars: DataFrame, want: Sequence[str] = ALL) -> DataFrame:
     """Attach every sidecar a score file consults.
 
     One equi-join of the lookups with the parsed sidecars, then one
     ``groupBy(path)`` whose conditional aggregates pick, per role and level,
     the (at most one) sidecar found; the dataset fallback takes the valid
     parameters.json of the lowest odd level (or ``/``)."""
-    req = _requests(files)
-    hit = req.join(parsed_sidecars, ["dir", "name"], "inner")
+    salts = F.when(F.col("dir") == "/", F.sequence(F.lit(0), F.lit(ROOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    held = parsed_sidecars.withColumn("salt", F.explode(salts))
+    hit = _requests(files, want).join(held, ["dir", "name", "salt"], "inner")
     role, level, p = F.col("role"), F.col("level"), F.col("p")
 
     def pick(cond):
         return F.first(F.when(cond, p), ignorenulls=True)
-    ds_cond = ((((role == "params") & (level % 2 == 1) & (level <= F.col("depth"))) | (role == "params_root"))
-               & p["valid"])
-    return hit.groupBy("path").agg(
-        *[pick((role == "params") & (level == k)).alias(f"_p{k}") for k in range(1, METHOD_SEARCH_LEVELS + 1)],
-        pick(role == "method_perf").alias("_mperf"), pick(role == "metric_perf").alias("_xperf"),
-        pick(role == "timing").alias("_timing"),
-        F.min_by(p, F.when(ds_cond, level)).alias("_pds"))
+    aggs = []
+    if PARAMS in want:
+        ds_cond = ((((role == "params") & (level % 2 == 1) & (level <= F.col("depth"))) | (role == "params_root"))
+                   & p["valid"])
+        aggs += [pick((role == "params") & (level == k)).alias(f"_p{k}") for k in range(1, METHOD_SEARCH_LEVELS + 1)]
+        aggs.append(F.min_by(p, F.when(ds_cond, level)).alias("_pds"))
+    if PERF in want:
+        aggs += [pick(role == "method_perf").alias("_mperf"), pick(role == "metric_perf").alias("_xperf")]
+    if TIMING in want:
+        aggs.append(pick(role == "timing").alias("_timing"))
+    return hit.groupBy("path").agg(*aggs)
 
 
 def _method_info(staged: DataFrame) -> DataFrame:
@@ -374,32 +378,52 @@ class IngestResult:
     errors: DataFrame
 
 
-def resolve_files(scores: DataFrame, sidecars: DataFrame, label_lines: DataFrame) -> DataFrame:
-    """One row per score file with every resolved field (B, C, A4-A8)."""
-    fp = file_paths(parse_scores(scores.select("path", "root", "content")).drop("content"))
-    found = resolve_sidecars(fp, parse_sidecars(sidecars))
-    labels = labels_true_k(label_lines)
-    files = fp.join(found, "path", "left").join(labels, "dataset_dir", "left")
-    files = _method_info(files)
-    gen, name = _dataset_info()
-    mperf, xperf, timing = F.col("_mperf"), F.col("_xperf"), F.col("_timing")
+def resolve(files: DataFrame, sidecars: DataFrame, label_lines: DataFrame, want: Sequence[str] = ALL) -> DataFrame:
+    """``file_paths`` rows with what they take from sidecars and labels.
+
+    ``want`` limits the kinds: only their files are read, parsed and joined, and only
+    their columns are there.
+    """
+    out, made = files, []
+    names = [_FILE_OF[k] for k in want if k in _FILE_OF]
+    if names:
+        parsed = parse_sidecars(sidecars.where(F.substring_index("path", "/", -1).isin(*names)))
+        out = out.join(resolve_sidecars(files, parsed, want), "path", "left")
+    if LABELS in want:
+        out = out.join(labels_true_k(label_lines), "dataset_dir", "left")
+        made += ["labels_path", "true_k", "has_noise"]
+    if PARAMS in want:
+        out = _method_info(out)
+        gen, name = _dataset_info()
+        made += [gen.alias("dataset_generator"), name.alias("dataset_name"), F.col("_method").alias("method"),
+                 F.col("_seed").alias("seed"), _metric_info().alias("metric")]
+    if PERF in want:
+        mperf, xperf = F.col("_mperf"), F.col("_xperf")
+        made += [F.when(mperf["valid"], mperf[n]).alias(n) for _k, (n, _t) in PERF_FIELDS.items()]
+        made.append(F.when(xperf["valid"], xperf["runtime"]).alias("metric_runtime"))
+    if TIMING in want:
+        made.append(F.col("_timing")["exec_time"].alias("execution_time_seconds"))
+    return out.select(*[c for c in files.columns if not c.startswith("_")], *made)
+
+
+def score_at_true_k(placed: DataFrame) -> DataFrame:
+    """C1-C5 of files with labels: the parsed scores, the one at the true k, and whether that is missing."""
+    files = parse_scores(placed)
     true_k = F.col("true_k")
     key = F.concat(F.lit("k="), true_k.cast("string"))
     has_key = F.coalesce(F.map_contains_key("k_scores", key), F.lit(False))
-    return files.select(
-        "path", "run_dir", "source_dir", "backend", "run_timestamp",
-        gen.alias("dataset_generator"), name.alias("dataset_name"),
-        true_k, F.col("has_noise"),
-        F.col("_method").alias("method"), F.col("_seed").alias("seed"),
-        _metric_info().alias("metric"),
-        timing["exec_time"].alias("execution_time_seconds"),
-        *[F.when(mperf["valid"], mperf[n]).alias(n) for _k, (n, _t) in PERF_FIELDS.items()],
-        F.when(xperf["valid"], xperf["runtime"]).alias("metric_runtime"),
-        "empty_file", "duplicate_k_anomaly", "k_scores", "labels", "raw_values", "values",
-        F.when(true_k.isNotNull() & has_key, F.try_element_at("k_scores", key)).alias("score"),
-        (true_k.isNotNull() & ~has_key & ~F.col("empty_file")).alias("missing_true_k_score"),
-        "method_dir", "dataset_dir", "labels_path",
-    )
+    return files.select("*", F.when(true_k.isNotNull() & has_key, F.try_element_at("k_scores", key)).alias("score"),
+                        (true_k.isNotNull() & ~has_key & ~F.col("empty_file")).alias("missing_true_k_score"))
+
+
+def resolve_files(scores: DataFrame, sidecars: DataFrame, label_lines: DataFrame) -> DataFrame:
+    """One row per score file with every resolved field (B, C, A4-A8).
+
+    Texts are parsed after the joins: a text is smaller than what is read from it.
+    """
+    placed = resolve(file_paths(scores.select("path", "root", "content")), sidecars, label_lines)
+    return score_at_true_k(placed).drop("content", "root", "depth", "path_generator", "path_dataset_name",
+                                        "path_metric", "method_perf_dir")
 
 
 def build_metric_rows(files: DataFrame) -> DataFrame:

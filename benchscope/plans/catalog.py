@@ -424,6 +424,12 @@ def _files(v: BenchViews):
     return ing.resolve_files(i.scores, i.sidecars, i.label_lines)
 
 
+def _placed(v: BenchViews, *want: str):
+    """The files with what their directories hold of some kinds."""
+    i = ingest_inputs(v)
+    return ing.resolve(ing.file_paths(i.scores), i.sidecars, i.label_lines, want)
+
+
 def _tables(v: BenchViews):
     i = ingest_inputs(v)
     return ing.ingest(i.scores, i.sidecars, i.label_lines)
@@ -448,17 +454,17 @@ def q_labels_true_k(v: BenchViews):
 
 @register("method_perf_json")
 def q_method_perf_json(v: BenchViews):
-    return _files(v).select("path", "runtime", "threads", "disk_read", "disk_write", "avg_load", "peak_rss")
+    return _placed(v, ing.PERF).select("path", "runtime", "threads", "disk_read", "disk_write", "avg_load", "peak_rss")
 
 
 @register("metric_perf_json")
 def q_metric_perf_json(v: BenchViews):
-    return _files(v).select("path", F.col("metric_runtime").alias("runtime"))
+    return _placed(v, ing.PERF).select("path", F.col("metric_runtime").alias("runtime"))
 
 
 @register("method_exec_time")
 def q_method_exec_time(v: BenchViews):
-    return _files(v).select("path", "execution_time_seconds")
+    return _placed(v, ing.TIMING).select("path", "execution_time_seconds")
 
 
 @register("parameters_sidecar")
@@ -480,17 +486,17 @@ def q_ingest_report(v: BenchViews):
 
 @register("extract_backend_timestamp")
 def q_extract_backend_timestamp(v: BenchViews):
-    return _files(v).select("source_dir", "backend", "run_timestamp").distinct()
+    return ing.file_paths(ingest_inputs(v).scores).select("source_dir", "backend", "run_timestamp").distinct()
 
 
 @register("extract_dataset_info")
 def q_extract_dataset_info(v: BenchViews):
-    return _files(v).select("path", "dataset_generator", "dataset_name")
+    return _placed(v, ing.PARAMS).select("path", "dataset_generator", "dataset_name")
 
 
 @register("extract_method_info")
 def q_extract_method_info(v: BenchViews):
-    return _files(v).select("path", "method", "seed")
+    return _placed(v, ing.PARAMS).select("path", "method", "seed")
 
 
 @register("normalize_method_name")
@@ -502,17 +508,17 @@ def q_normalize_method_name(v: BenchViews):
 
 @register("extract_metric_info")
 def q_extract_metric_info(v: BenchViews):
-    return _files(v).select("path", "metric")
+    return _placed(v, ing.PARAMS).select("path", "metric")
 
 
 @register("nearest_ancestor")
 def q_nearest_ancestor(v: BenchViews):
-    return _files(v).select("path", "method_dir", "dataset_dir")
+    return ing.file_paths(ingest_inputs(v).scores).select("path", "method_dir", "dataset_dir")
 
 
 @register("source_dir")
 def q_source_dir(v: BenchViews):
-    return _files(v).select("path", "source_dir")
+    return ing.file_paths(ingest_inputs(v).scores).select("path", "source_dir")
 
 
 @register("k_column_order")
@@ -522,7 +528,7 @@ def q_k_column_order(v: BenchViews):
 
 @register("coerce_seed")
 def q_coerce_seed(v: BenchViews):
-    return _files(v).select("path", "seed")
+    return _placed(v, ing.PARAMS).select("path", "seed")
 
 
 @register("duplicate_k_anomaly")
@@ -538,12 +544,12 @@ def q_k_scores(v: BenchViews):
 
 @register("score_at_true_k")
 def q_score_at_true_k(v: BenchViews):
-    return _files(v).select("path", "true_k", "score")
+    return ing.score_at_true_k(_placed(v, ing.LABELS)).select("path", "true_k", "score")
 
 
 @register("missing_true_k_score")
 def q_missing_true_k_score(v: BenchViews):
-    return _files(v).select("path", "missing_true_k_score")
+    return ing.score_at_true_k(_placed(v, ing.LABELS)).select("path", "missing_true_k_score")
 
 
 @register("empty_file")

@@ -6,18 +6,22 @@ each with a file-name glob, so Spark lists the trees in parallel and never
 opens an unrelated file.  Tiny files are packed several to a task by
 ``spark.sql.files.openCostInBytes``.
 
-A damaged gzip file must not end the job, so the scans skip what cannot be
-decoded; nothing is lost silently, though.  A listing of all files carries the
-length that gzip stores at the end of each, and a file whose text is shorter (or
-is not there) is listed in ``unreadable``: a score file is then left out, and a
-labels file gets a line that no label reads as, which makes it invalid.
+A damaged file must not end the job, so the scans skip what cannot be read; nothing is
+lost silently, though.  A listing (path and length, no contents) is compared with what
+was read: a plain sidecar with its length, a gzip file with the length that gzip stores
+in its last four bytes, which are fetched by position (see ``stored_lengths``).  So every
+file is read once.  What does not agree is listed in ``unreadable``: a score file or
+sidecar is then left out, and a labels file gets a line that no label reads as, which
+makes it invalid.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,8 +89,57 @@ class RunTree:
 UNREADABLE = "unreadable_file"
 
 
+#: Stores from which a worker can read a few bytes by position; others are read whole.
+SEEKABLE = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+#: The shortest gzip file; a shorter one stores no length.
+GZIP_LEAST = 18
+
+
+def listing(spark: SparkSession, roots: Sequence[str], glob: str) -> DataFrame:
+    """(uri, path, length) of every file; no contents are read."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", glob).load(list(roots)))
+    return files.select(F.col("path").alias("uri"), local_path(F.col("path")).alias("path"), "length")
+
+
+def stored_lengths(listed: DataFrame) -> DataFrame:
+    """(path, stored): the text length (modulo 2^32) that the trailer of each listed gzip file states.
+
+    A task opens its files one after another and reads four bytes at the end of each,
+    whatever their size.  A file that cannot be opened, or is too short, has none.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores: dict[tuple[str, str], fs.FileSystem] = {}
+        for b in batches:
+            uris, lengths = b.column(0).to_pylist(), b.column(2).to_pylist()
+            found = [_stored(stores, uri, n) for uri, n in zip(uris, lengths)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.int64())], ["path", "stored"])
+
+    return listed.select("uri", "path", "length").mapInArrow(run, "path string, stored long")
+
+
+def _stored(stores: dict, uri: str, length: int) -> int | None:
+    if length < GZIP_LEAST:
+        return None
+    scheme, _, rest = uri.partition(":")
+    authority, slash, path = rest[2:].partition("/") if rest.startswith("//") else ("", "/", rest[1:])
+    try:
+        if (scheme, authority) not in stores:
+            kind = SEEKABLE[scheme]
+            stores[scheme, authority] = fs.LocalFileSystem() if kind == "file" else fs.FileSystem.from_uri(f"{kind}://{authority}/")[0]
+        place = f"{authority}/{path}" if scheme.startswith("s3") or scheme == "gs" else slash + path
+        with stores[scheme, authority].open_input_file(place) as f:
+            f.seek(length - 4)
+            return int.from_bytes(f.read(4), "little")
+    except OSError:
+        return None
+
+
 def _listed(spark: SparkSession, roots: Sequence[str], glob: str) -> DataFrame:
-    """(path, stored): every file and the text length its gzip trailer states (modulo 2^32)."""
+    """(path, stored): every gzip file and the text length it states."""
+    schemes = {r.partition(":")[0] if ":/" in r else spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:").partition(":")[0] for r in roots}
+    if schemes <= set(SEEKABLE):
+        return stored_lengths(listing(spark, roots, glob))
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", glob).load(list(roots)))
     # the last four bytes, least significant first
@@ -114,6 +167,11 @@ def read_run_tree(spark: SparkSession, roots: Sequence[str]) -> RunTree:
     scores = _scan(spark, roots, SCORES_FILE, True)
     scores = scores.select("path", _root_of(F.col("path"), roots).alias("root"), F.col("value").alias("content"))
     sidecars = _scan(spark, roots, SIDECAR_GLOB, True).select("path", F.col("value").alias("content"))
+    # plain files: as long as their text
+    plain = listing(spark, roots, SIDECAR_GLOB).select("path", F.col("length").alias("stored"))
+    size = F.octet_length("content").cast("bigint")
+    lost_sidecars = _lost(plain, sidecars.select("path", F.array(size).alias("n"))).where("detail != 'stored length 0'")
+    sidecars = sidecars.join(lost_sidecars.select("path"), "path", "left_anti").select("path", "content")
     labels = _scan(spark, roots, LABELS_GLOB, False).select("path", F.col("value").alias("line"))
     size = F.octet_length("content").cast("bigint") % (1 << 32)
     lost_scores = _lost(_listed(spark, roots, SCORES_FILE), scores.select("path", F.array(size).alias("n")))
@@ -123,4 +181,4 @@ def read_run_tree(spark: SparkSession, roots: Sequence[str]) -> RunTree:
     read = labels.groupBy("path").agg(F.array(size % (1 << 32), (size - 1) % (1 << 32)).alias("n"))
     lost_labels = _lost(_listed(spark, roots, LABELS_GLOB), read).where("detail != 'stored length 0'")
     labels = labels.unionByName(lost_labels.select("path", F.lit(UNREADABLE).alias("line")))
-    return RunTree(scores, sidecars, labels, lost_scores.unionByName(lost_labels))
+    return RunTree(scores, sidecars, labels, lost_scores.unionByName(lost_labels).unionByName(lost_sidecars))
