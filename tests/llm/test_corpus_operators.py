@@ -337,3 +337,11 @@ def test_stages_take_odd_rows(frame):
     assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 0, 1, 2, 3]
     assert cp.mask_secrets(spark, df, "").count() == 7 and cp.drop_lines(spark, df, "").count() == 7
     assert cp.pack_sequences(spark, df.limit(0), "").count() == 0
+
+
+def test_a_text_of_many_lines_takes_linear_time(frame):
+    """Half of 50,000 lines recur; the text is split once, not once a line."""
+    lines = [f"own {i}" if i % 2 else "these very words stand in every document of this corpus again" for i in range(50_000)]
+    out = line_dedup.dedup_lines(frame([(j, "\n".join(lines)) for j in range(3)])).orderBy("doc_id").collect()
+    assert [r.n_lines for r in out] == [50_000] * 3
+    assert out[1].n_dropped >= 25_000 and "every document" not in out[1].text
