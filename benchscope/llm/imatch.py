@@ -62,35 +62,44 @@ def following(keys: DataFrame) -> DataFrame:
     return inner.join(bridge, "b").select("k", F.coalesce("nxt", "head").alias("nxt"))
 
 
-def in_subset(level: int, shift: int):
-    """Whether a term hash belongs to a subset: ``level`` of its bits are zero."""
-    return lambda h: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << level) - 1)) == 0
+#: (level, shift) of each subset: a term hash belongs to it if ``level`` bits from ``shift`` on are zero.
+SUBSETS = tuple((s, j * (56 - s) // (PER_LEVEL - 1)) for s in LEVELS for j in range(PER_LEVEL))
+#: xxhash64 of an empty array is its seed.
+EMPTY = 42
 
 
 def entries(kept: Column) -> Column:
-    """One entry a subset from the sorted hashes of a text's lexicon terms."""
-    out = []
-    for s in LEVELS:
-        for j in range(PER_LEVEL):
-            own = F.filter(kept, in_subset(s, j * (56 - s) // (PER_LEVEL - 1)))
-            code = F.substring(F.lpad(F.hex(F.xxhash64(own)), 16, "0"), 1, 6)
-            out.append(F.when(F.size(own) > 0, code).otherwise(F.lit("")))
-    return F.array(*out)
-
-
-def likeness(a: Column, b: Column) -> Column:
-    """Share of agreeing subsets of two entry lists, on the level that fits their size."""
-    pairs = F.zip_with(a, b, lambda x, y: F.when((x == "") & (y == ""), F.lit(0)).when(x == y, F.lit(3)).otherwise(F.lit(1)))
-    ratio, least = None, None
-    for i in range(len(LEVELS)):
-        part = F.slice(pairs, 1 + i * PER_LEVEL, PER_LEVEL)
-        some = F.size(F.filter(part, lambda v: v > 0))
-        same = F.size(F.filter(part, lambda v: v == 3))
-        share = F.when(some > 0, same / some)
-        ratio = share if ratio is None else F.when(some >= ENOUGH, share).otherwise(ratio)
-        least = share if least is None else F.coalesce(least, share)
-    whole = F.when(F.size(a) == F.size(b), F.coalesce(ratio, least, F.lit(0.0))).otherwise(F.lit(0.0))
-    return F.when(a == b, F.lit(1.0)).otherwise(whole).cast("double")
+    """One entry a subset from the sorted hashes of a text's lexicon terms.
+
+    Each subset's terms are picked and hashed once; the hashes become entries in a second step.
+    """
+    specs = F.array(*(F.struct(F.lit(shift).alias("shift"), F.lit((1 << s) - 1).cast("long").alias("mask")) for s, shift in SUBSETS))
+    own = lambda spec: F.filter(kept, lambda h: F.call_function("shiftrightunsigned", h, spec["shift"]).bitwiseAND(spec["mask"]) == 0)
+    hashes = F.transform(specs, lambda spec: F.xxhash64(own(spec)))
+    return F.transform(hashes, lambda h: F.when(h == EMPTY, F.lit("")).otherwise(F.substring(F.lpad(F.hex(h), 16, "0"), 1, 6)))
+
+
+def with_likeness(rows: DataFrame, sides: dict[str, tuple[str, str]]) -> DataFrame:
+    """``rows`` and, for each name, the share of agreeing subsets of two entry lists, on the
+    level that fits their size.
+
+    Entries are paired, and pairs counted, in projections of their own: once a row.
+    """
+    agree = lambda x, y: F.when((x == "") & (y == ""), F.lit(0)).when(x == y, F.lit(3)).otherwise(F.lit(1))
+    out = rows.withColumns({f"{n}_pairs": F.zip_with(a, b, agree) for n, (a, b) in sides.items()})
+    levels = range(len(LEVELS))
+    part = lambda n, i: F.slice(f"{n}_pairs", 1 + i * PER_LEVEL, PER_LEVEL)
+    out = out.withColumns({f"{n}_{i}": F.struct(F.size(F.filter(part(n, i), lambda v: v > 0)).alias("some"), F.size(F.filter(part(n, i), lambda v: v == 3)).alias("same")) for n in sides for i in levels})
+    for n, (a, b) in sides.items():
+        ratio, least = None, None
+        for i in levels:
+            some, same = F.col(f"{n}_{i}.some"), F.col(f"{n}_{i}.same")
+            share = F.when(some > 0, same / some)
+            ratio = share if ratio is None else F.when(some >= ENOUGH, share).otherwise(ratio)
+            least = share if least is None else F.coalesce(least, share)
+        whole = F.when(F.size(a) == F.size(b), F.coalesce(ratio, least, F.lit(0.0))).otherwise(F.lit(0.0))
+        out = out.withColumn(n, F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(whole).cast("double"))
+    return out
 
 
 def listed(kept: str, whole: Column) -> Column:
@@ -128,7 +137,7 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     found = found.select("b", "pos", "f.doc_id", "f.n_chars", "f.edited_sha256", listed("own", F.col("f.text_sha256")).alias("fp"), listed("cut", F.col("f.edited_sha256")).alias("efp"))
     # all of this is still dealt by block: the next fingerprint is the following row's, or the next block's first
     found = found.withColumn("nfp", F.lead("fp").over(Window.partitionBy("b").orderBy("pos"))).join(bridge.select("b", "head_fp"), "b")
-    return found.select(
-        "doc_id", "n_chars", "edited_sha256", F.concat_ws(",", "fp").alias("fingerprint"), F.concat_ws(",", "efp").alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.coalesce("nfp", "head_fp")).alias("near_next"),
-    )
+    found = found.withColumn("nfp", F.coalesce("nfp", "head_fp"))
+    found = with_likeness(found, {"near_edited": ("fp", "efp"), "near_next": ("fp", "nfp")})
+    lists = F.concat_ws(",", "fp").alias("fingerprint"), F.concat_ws(",", "efp").alias("edited_fingerprint")
+    return found.select("doc_id", "n_chars", "edited_sha256", *lists, "near_edited", "near_next")
