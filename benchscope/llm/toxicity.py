@@ -53,8 +53,21 @@ LEXICONS = (
     "idiote idiots imbécile crétin débile abruti connard connasse salaud salope merde putain ordure minable pathétique dégoûtant stupide bouffon racaille vermine",
     "idiota idiotas imbécil estúpido estúpida tonto tonta pendejo cabrón puta puto mierda gilipollas basura escoria patético asqueroso inútil payaso maldito cerdo bastardo",
 )
-_ADDRESS = re.compile(r"\b(?:you|you're|you are|ur|du|ihr|tu|vous|eres|sois)\b[^.\n]{0,24}\b(?:idiot|moron|stupid|dumb|pathetic|worthless|disgusting|trash|scum|loser|clown|fool|hate|shut up|go die|kill yourself|dumm|débile|idiota)", re.I)
+_INSULTS = ("idiot", "moron", "stupid", "dumb", "pathetic", "worthless", "disgusting", "trash", "scum", "loser", "clown", "fool", "hate", "shut up", "go die", "kill yourself", "dumm", "débile", "idiota")
+_ADDRESS = re.compile(rf"\b(?:you|you're|you are|ur|du|ihr|tu|vous|eres|sois)\b[^.\n]{{0,24}}\b(?:{'|'.join(_INSULTS)})", re.I)
 _MASKED = re.compile(r"\b[a-z][*#@$]{2,}[a-z]*\b|\b(?:kill|die|hang)\s+(?:yourself|yourselves)\b|\bshut\s+up\b|\bgo\s+to\s+hell\b|\bi\s+hate\s+you\b", re.I)
+# What a match of either must hold; the four letters are those that re.I equates with ASCII ones.
+_MARKS, _PAIR, _MASKED_WORDS, _LETTERS = "*#@$", re.compile(r"[*#@$]{2}"), ("yoursel", "shut", "hell", "hate"), "\u0130\u0131\u017f\u212a"
+
+
+def pattern_votes(text: str) -> int:
+    """The votes of the two patterns; each is searched only where all its matches could be."""
+    low, odd = text.lower(), any(c in text for c in _LETTERS)
+    address = odd or any(w in low for w in _INSULTS)
+    masked = odd or any(w in low for w in _MASKED_WORDS) or (any(c in text for c in _MARKS) and _PAIR.search(text))
+    return (1 << 12 if address and _ADDRESS.search(text) else 0) | (1 << 13 if masked and _MASKED.search(text) else 0)
+
+
 VOTERS = 16
 
 
@@ -147,7 +160,7 @@ class Model:
         by_stem = np.bincount(words.owner[stemmed], minlength=n)
         by_word = np.bincount(words.owner[hit], minlength=n)
         out |= np.where(by_stem >= 1, 1 << 10, 0) | np.where(by_stem >= 2, 1 << 11, 0) | np.where(by_word >= 2, 1 << 14, 0)
-        out |= np.array([(1 << 12 if _ADDRESS.search(t) else 0) | (1 << 13 if _MASKED.search(t) else 0) for t in texts], np.int64)
+        out |= np.array([pattern_votes(t) for t in texts], np.int64)
         return out | np.where(out == 0, 1 << 15, 0)
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -272,7 +285,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = FITTED) -> Model:
     """Learn from documents and labels that are not held out; the classifier from ``sample`` labelled rows at most."""
     learning = docs.where(crc_fold() != 2).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
     known = labels.where(crc_fold() != 2).where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    rows = stored(learning.join(known, "doc_id"), "labelled")
+    # the hints keep one strategy at every size: both tables grow
+    known = stored(known, "known")
+    rows = stored(learning.join(known.hint("merge"), "doc_id"), "labelled")
 
     def mine():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -292,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = FITTED) -> Model:
         return f
 
     # words and stems that stand almost only in toxic texts, by a cautious share
-    texts = rows.join(stored(unlike(rows), "unlike"), "doc_id")
+    texts = rows.join(stored(unlike(rows), "unlike").hint("merge"), "doc_id")
     sums = stored(arrow_map(texts.select("_t", "toxic"), mine, "hash long, n long, toxic long").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")), "mined")
     base, tests = texts.agg(F.avg("toxic")).first()[0] or 0.0, sums.count()
     # the chance to meet so many toxic texts by the base rate, against the number of words tried
@@ -317,10 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = FITTED) -> Model:
             votes = np.concatenate(out)
             if with_features:
                 return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(votes), pa.array([x.tobytes() for x in feats], pa.binary())], ["doc_id", "votes", "at"])
-            if b.num_columns > 1:  # labelled rows
-                return pa.RecordBatch.from_arrays([pa.array(votes), b.column("toxic")], ["votes", "toxic"])
-            v, n = np.unique(votes, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(v), pa.array(n)], ["votes", "n"])
+            return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(votes)], ["doc_id", "votes"])
 
         return f
 
@@ -328,8 +340,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = FITTED) -> Model:
     some = rows.select("doc_id").orderBy(key, "doc_id").limit(sample).distinct()  # a stated bound, so it may be broadcast
     fitted = arrow_map(rows.join(F.broadcast(some), "doc_id", "left_semi").select("doc_id", "_t"), lambda: vote(True), "doc_id long, votes long, at binary")
     local = fitted.orderBy(key, "doc_id").limit(sample).select("votes", "at").collect()
-    known_votes = arrow_map(rows.select("_t", "toxic"), vote, "votes long, toxic int").groupBy("votes", "toxic").count().collect()  # at most 2 ** 17 rows
-    every = arrow_map(learning.select("_t"), vote, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()  # at most 2 ** 16 rows
+    # every row votes once; the votes, not the texts, meet the labels
+    cast = stored(arrow_map(learning.select("doc_id", "_t"), vote, "doc_id long, votes long"), "votes")
+    known_votes = cast.join(known, "doc_id").groupBy("votes", "toxic").count().collect()  # at most 2 ** 17 rows
+    every = cast.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 ** 16 rows
     labelled = {(r["votes"], r["toxic"]): r["count"] for r in known_votes}
     cells = [(v, n, y) for (v, y), n in sorted(labelled.items())]
     cells += [(r["votes"], r["n"] - sum(labelled.get((r["votes"], y), 0) for y in (0, 1)), -1) for r in sorted(every)]

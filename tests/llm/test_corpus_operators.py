@@ -345,3 +345,13 @@ def test_a_text_of_many_lines_takes_linear_time(frame):
     out = line_dedup.dedup_lines(frame([(j, "\n".join(lines)) for j in range(3)])).orderBy("doc_id").collect()
     assert [r.n_lines for r in out] == [50_000] * 3
     assert out[1].n_dropped >= 25_000 and "every document" not in out[1].text
+
+
+def test_pattern_votes_skip_no_match():
+    """The search for what a match must hold leaves none out, whatever the case of its letters."""
+    rng = random.Random(6)
+    bits = ["you", "YOU are", "du", " ", " ", ".", "IDIOT", "ıdiot", "ſtupid", "dumm", "DÉBILE", "die", "yourselves", "Kill", "yourself", "shut", "up", "go to hell", "i hate you", "a**", "b#", "x@$y", "x"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(8)))
+        plain = (1 << 12 if toxicity._ADDRESS.search(text) else 0) | (1 << 13 if toxicity._MASKED.search(text) else 0)
+        assert toxicity.pattern_votes(text) == plain
