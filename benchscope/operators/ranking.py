@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchscope.functions.columns import ratio
-from benchscope.operators.ordered import _join_on, average_rank
+from benchscope.operators.ordered import _join_on, average_rank, stable
 
 
 def top_k_with_ties(df: DataFrame, part_cols: Sequence[str], order_col: str, k: int,
@@ -16,10 +16,22 @@ def top_k_with_ties(df: DataFrame, part_cols: Sequence[str], order_col: str, k:
     """G3 ``slice_max``/``slice_min`` with ties: ``rank() <= k`` per partition.
 
     Spark plans a partial group limit before the shuffle for a rank filter, so
-    only k rows (plus ties) per partition and task travel.
+    only k rows (plus ties) per partition and task travel.  Without ``part_cols`` no
+    window is planned, which would read all rows in one task: the k-th value comes from
+    an ordered limit and is a scalar filter (on a frozen frame, as both read it).
     """
+    if not part_cols:
+        df = stable(df)
+        order = F.desc_nulls_last if descending else F.asc_nulls_last
+        top = df.select(F.col(order_col).alias("_v")).orderBy(order("_v")).limit(k)
+        last = (F.min if descending else F.max)("_v")
+        # with fewer than k values, all of them and the ties of NULL are within k
+        bound = top.agg(F.when(F.count("_v") >= k, last).alias("_b")).scalar()
+        within = F.col(order_col) >= F.col("_b") if descending else F.col(order_col) <= F.col("_b")
+        kept = df.withColumn("_b", bound).where(F.col("_b").isNull() | within)
+        return kept.select(*df.columns)
     o = F.col(order_col).desc_nulls_last() if descending else F.col(order_col).asc_nulls_last()
-    w = (Window.partitionBy(*part_cols) if part_cols else Window).orderBy(o)
+    w = Window.partitionBy(*part_cols).orderBy(o)
     return df.withColumn("_rank", F.rank().over(w)).where(F.col("_rank") <= k).drop("_rank")
 
 

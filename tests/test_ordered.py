@@ -58,3 +58,22 @@ def test_exact_quantiles_type7(spark):
         vals = pdf.loc[pdf.g == g, "x"].dropna().to_numpy()
         assert q == pytest.approx(np.quantile(vals, p, method="linear"), rel=1e-12, abs=1e-12)
     assert len(got) == len(probs) * pdf.g.nunique()
+
+
+def test_global_top_k_keeps_ties_and_needs_no_single_partition(spark):
+    """G3 without partitions: as rank() <= k, with NULL last, and no exchange of all rows."""
+    from benchscope.operators.ranking import top_k_with_ties
+    values = [5.0, 3.0, 5.0, 1.0, None, 3.0, 2.0, None, 9.0]
+    df = spark.createDataFrame(list(enumerate(values)), "i long, x double")
+
+    def brute(k, descending):
+        key = lambda v: (v is None, 0 if v is None else (-v if descending else v))
+        return sorted(i for i, v in enumerate(values) if sum(key(w) < key(v) for w in values) < k)
+
+    for k in (1, 2, 3, 5, 8, 20):
+        for descending in (True, False):
+            out = top_k_with_ties(df, [], "x", k, descending)
+            assert out.columns == df.columns
+            assert sorted(r["i"] for r in out.collect()) == brute(k, descending), (k, descending)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
