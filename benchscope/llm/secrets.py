@@ -45,6 +45,14 @@ class Rule:
     least: int = 0
 
 
+# A private key: its header with all up to its END line (no other marker between them) or,
+# where END is missing, with the base64 lines that follow, the last of which may be short.
+PEM_HEAD = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----"
+PEM_TO_END = r"[^-]*(?:-(?!----)[^-]*)*-----END (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----"
+_BREAK = r"(?:\s|\\[rn])+"  # line ends may be written as escapes
+PEM_LINES = (rf"(?:{_BREAK}(?:Proc-Type|DEK-Info):[^\r\n\\]*)*(?:{_BREAK}[A-Za-z0-9+/]{{32,}}={{0,2}}(?![^\s\\]))+"
+             rf"(?:{_BREAK}[A-Za-z0-9+/]{{1,31}}={{1,2}}(?![^\s\\])|(?:\r?\n|\\n)[A-Za-z0-9+/]{{1,31}}(?=[^\S\n]*(?:\n|\\|\Z)))?")
+
 #: The first three are the base kinds of the contract; the others add spans.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 8),
@@ -55,7 +63,7 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", PEM_HEAD + "(?:" + PEM_TO_END + "|" + PEM_LINES + ")?"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/:@]{3,100}@"),
 )
 
