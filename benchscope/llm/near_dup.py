@@ -19,6 +19,8 @@ components.  One of at most ``CAP`` members is compared exhaustively as one grou
 two steps: sketches first, then the sets of the members that are still in question, by
 counting common shingles.  A larger node branches; what is still larger at depth
 ``DEPTH`` is cut into blocks and compared block against block, so nothing is dropped.
+So is a group whose sets hold more than ``ITEMS`` shingles in all: a task holds about
+``ITEMS`` of them, or two sets if those are longer.
 Components come from minimum labels with pointer jumping, all on the cluster; every
 round is written to the shared folder.
 
@@ -40,6 +42,7 @@ from benchscope.llm.common import arrow_map, chunks, stored
 from benchscope.llm.wordcache import gather, span_hashes
 
 WIDTH, TREES, BRANCH, DEPTH, SMALL, CAP = 64, 6, 2, 6, 24, 4096
+ITEMS = 4_000_000  # 32 MB of hashes
 _U = np.uint64
 _C1, _C2, _C3 = _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53), _U(0x9E3779B97F4A7C15)
 
@@ -249,6 +252,21 @@ def in_question(members: DataFrame, percent: int) -> DataFrame:
     return members.select(*columns).groupBy("group").applyInPandas(run, "group long, cid long, n long, k1 long, k2 long, comp long")
 
 
+def in_blocks(members: DataFrame, blocks) -> DataFrame:
+    """Rows whose ``blocks`` is above 1, once for each pair of blocks (of half a group) that theirs is in."""
+    mine = F.pmod(F.xxhash64("cid"), blocks)
+    cut = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    pair = F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other"))
+    return cut.withColumn("group", F.when(blocks > 1, pair).otherwise(F.col("group")))
+
+
+def by_items(members: DataFrame, items: int) -> DataFrame:
+    """The rows (of ``group``), groups of more than ``items`` shingles cut into pairs of blocks."""
+    total = members.groupBy("group").agg(F.sum("n").alias("total"))
+    blocks = F.when(F.col("total") > items, F.ceil(2 * F.col("total") / items)).otherwise(F.lit(1).cast("long"))
+    return in_blocks(members.join(total, "group"), blocks).select(*members.columns)
+
+
 def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between components in each group, one that spans them where several do."""
 
@@ -284,7 +302,7 @@ def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.groupBy("group").applyInPandas(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, small: int = SMALL, cap: int = CAP, depths: int = DEPTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, small: int = SMALL, cap: int = CAP, depths: int = DEPTH, items: int = ITEMS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
     key = ["n", "s1", "s2"]
     own = signatures(docs, words).groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "k1", "k2", "sig")).alias("s")).select("doc_id", "s.*")
@@ -315,10 +333,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, small: i
         if large.isEmpty():
             break
         if depth == depths:  # block against block, a block of half a group
-            blocks = F.ceil(2 * F.col("size") / cap)
-            mine = F.pmod(F.xxhash64("cid"), blocks)
-            cut = large.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-            cut = cut.withColumn("group", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")))
+            cut = in_blocks(large.withColumn("group", F.col("node")), F.ceil(2 * F.col("size") / cap))
             groups.append(stored(in_question(cut, percent), "groups"))
             break
         pick = [F.pmod(F.xxhash64("node", F.lit(depth), F.lit(k)), F.lit(WIDTH)).cast("int") for k in range(BRANCH)]
@@ -331,6 +346,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, small: i
         rest = rest.union(more)
     for more in groups[1:]:
         asked = asked.union(more)
+    asked = stored(by_items(asked, items), "groups")
     rest = stored(rest.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     missing = classes.select("cid", "s1").join(ends(rest).union(asked.select("cid")).distinct(), "cid", "left_semi").join(sets.select("cid"), "cid", "left_anti")
     missing = stored(missing, "missing")

@@ -84,6 +84,22 @@ def test_a_large_group_of_near_copies(frame):
     for depths in (0, 2):  # nodes that are cut into blocks, at once or after branching
         got = near_dup.near_duplicates(frame(rows), 2, small=4, cap=40, depths=depths)
         assert sorted(map(tuple, got.collect())) == want
+    # groups over a number of shingles are cut too: a task holds about that many
+    got = near_dup.near_duplicates(frame(rows), 2, small=4, items=400)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_groups_are_cut_by_shingles(spark):
+    members = spark.createDataFrame([(g, c, n) for g, size, n in ((1, 5, 10), (2, 40, 100), (3, 1, 9000)) for c in range(size)], "group long, cid long, n long")
+    cut = near_dup.by_items(members, 1000).collect()
+    assert sum(r.group == 1 for r in cut) == 5
+    sizes, held = {}, {}
+    for r in cut:
+        sizes[r.group] = sizes.get(r.group, 0) + r.n
+        held.setdefault(r.group, set()).add((r.cid, r.n))
+    assert max(v for k, v in sizes.items() if not any(n == 9000 for _, n in held[k])) <= 2000
+    heavy = [{c for c, n in v if n == 100} for v in held.values()]
+    assert all(any({x, y} <= h for h in heavy) for x in range(40) for y in range(40))
 
 
 def test_long_chain_of_links(spark):
