@@ -170,6 +170,48 @@ def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], probs: Sequence[
     return picked.select(*keys, "p", q.alias("q"))
 
 
+def distribution(df: DataFrame, group_cols: Sequence[str], value: str | Column,
+                 probs: Sequence[float] = (0.5,)) -> DataFrame:
+    """Moments and exact quantiles of one value per group, from its value counts alone.
+
+    The result has ``group_cols``, ``rows`` (NULL values count), ``n`` (they do not),
+    ``mean``, ``sd`` (sample, NULL below two values), ``min``, ``max`` and ``q``, the
+    type-7 quantiles in the order of ``probs``.  ``df`` is read once: the frozen value
+    counts feed everything, and the deviations are taken from the exact mean in a
+    second step over them.  A group of NULL values keeps its row; without group
+    columns there is one row, also of an empty table.
+    """
+    keys = list(group_cols)
+    v = F.col(value) if isinstance(value, str) else value
+    counts = (df.select(*keys, v.cast("double").alias("_v")).groupBy(*keys, "_v")
+              .agg(F.count(F.lit(1)).alias("_rows"))
+              .withColumn("_c", F.when(F.col("_v").isNotNull(), F.col("_rows")).otherwise(F.lit(0).cast("bigint"))))
+    pre = exclusive_prefix(counts, keys, ["_v"], "_c", how="sum", out="_lo")
+    totals = pre.groupBy(*keys).agg(
+        F.sum("_rows").alias("_r"), F.sum("_c").alias("_n"),
+        F.try_divide(F.sum(F.col("_v") * F.col("_c")), F.sum("_c")).alias("_mean"))
+    located = _join_on(pre, totals, keys, "inner")
+    n = F.col("_n")
+    covers = lambda pos: (F.col("_lo") <= pos) & (pos < F.col("_lo") + F.col("_c"))
+    spots = [F.lit(float(p)) * (n - 1) for p in probs]
+    ends = [F.max(F.when(covers(at(h)), F.col("_v"))).alias(f"{name}{i}")
+            for i, h in enumerate(spots) for name, at in (("_j", F.floor), ("_k", F.ceil))]
+    off = F.col("_v") - F.col("_mean")
+    out = located.groupBy(*keys).agg(
+        F.max("_r").alias("_r"), F.max("_n").alias("_n"), F.max("_mean").alias("mean"),
+        F.min("_v").alias("min"), F.max("_v").alias("max"), F.sum(off * off * F.col("_c")).alias("_ss"), *ends)
+
+    def between(i: int, h: Column) -> Column:
+        low, high, gamma = F.col(f"_j{i}"), F.col(f"_k{i}"), h - F.floor(h)
+        return F.when(gamma == 0, low).otherwise(low + gamma * (high - low))
+
+    zero = F.lit(0).cast("bigint")
+    return out.select(
+        *keys, F.coalesce(F.col("_r"), zero).alias("rows"), F.coalesce(n, zero).alias("n"), "mean",
+        F.when(n > 1, F.sqrt(F.col("_ss") / (n - 1))).alias("sd"), "min", "max",
+        F.array(*[between(i, h) for i, h in enumerate(spots)]).alias("q"))
+
+
 def with_quantiles(summary: DataFrame, source: DataFrame, group_cols: Sequence[str],
                    outputs: Mapping[str, tuple[str | Column, float]]) -> DataFrame:
     """Join exact quantiles of ``source`` onto the per-group ``summary``.

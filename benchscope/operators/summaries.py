@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benchscope.functions.columns import count_true, dataset_key, n_distinct
-from benchscope.operators.ordered import _join_on, medians
+from benchscope.operators.ordered import _join_on, distribution, medians
 from benchscope.schema import DM, QUALITY_FLAGS
 
 
@@ -28,25 +28,19 @@ def method_summary(method: DataFrame, backend: str = "backend") -> DataFrame:
 def metric_summary(metric: DataFrame) -> DataFrame:
     """per backend x metric, evaluations and mean/median/min/max score."""
     keys = ["backend", "metric"]
-    agg = metric.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("bigint").alias("total_evaluations"),
-        F.avg("score").alias("avg_score"),
-        F.min("score").alias("min_score"),
-        F.max("score").alias("max_score"))
-    return medians(agg, metric, keys, {"med_score": "score"}).orderBy(*keys)
+    return distribution(metric, keys, "score").select(
+        *keys, F.col("rows").alias("total_evaluations"), F.col("mean").alias("avg_score"),
+        F.col("min").alias("min_score"), F.col("max").alias("max_score"),
+        F.col("q")[0].alias("med_score")).orderBy(*keys)
 
 
 def runtime_summary(df: DataFrame, backend: str = "backend", value: str = "runtime") -> DataFrame:
     """runtime statistics per backend over rows with a runtime."""
     present = df.where(F.col(value).isNotNull())
-    v = F.col(value)
-    agg = present.groupBy(backend).agg(
-        F.count(F.lit(1)).cast("bigint").alias("count"),
-        F.avg(v).alias("mean_runtime"),
-        F.stddev_samp(v).alias("sd_runtime"),
-        F.min(v).alias("min_runtime"),
-        F.max(v).alias("max_runtime"))
-    return medians(agg, present, [backend], {"median_runtime": value}).orderBy(backend)
+    return distribution(present, [backend], value).select(
+        backend, F.col("rows").alias("count"), F.col("mean").alias("mean_runtime"), F.col("sd").alias("sd_runtime"),
+        F.col("min").alias("min_runtime"), F.col("max").alias("max_runtime"),
+        F.col("q")[0].alias("median_runtime")).orderBy(backend)
 
 
 def peak_rss_range(method: DataFrame) -> DataFrame:
@@ -79,11 +73,9 @@ def peak_rss_summary(method: DataFrame, n: int | None = 10) -> DataFrame:
     """per dataset x method of the top datasets/methods, count and
     mean/median/max peak RSS in MB; highest mean first."""
     data = peak_rss_data(method)
-    agg = data.groupBy("dataset", "method").agg(
-        F.count(F.lit(1)).cast("bigint").alias("count"),
-        F.avg("peak_rss_mb").alias("mean_rss_mb"),
-        F.max("peak_rss_mb").alias("max_rss_mb"))
-    out = medians(agg, data, ["dataset", "method"], {"median_rss_mb": "peak_rss_mb"})
+    out = distribution(data, ["dataset", "method"], "peak_rss_mb").select(
+        "dataset", "method", F.col("rows").alias("count"), F.col("mean").alias("mean_rss_mb"),
+        F.col("max").alias("max_rss_mb"), F.col("q")[0].alias("median_rss_mb"))
     out = out.orderBy(F.col("mean_rss_mb").desc_nulls_last(), "dataset", "method")
     return out.limit(n) if n else out
 
@@ -165,14 +157,15 @@ def data_overview(method: DataFrame, metric: DataFrame) -> DataFrame:
 def time_overall(method: DataFrame) -> DataFrame:
     """median, mean, min and max execution time over all runs."""
     t = "execution_time_seconds"
-    agg = method.agg(F.avg(t).alias("mean_time"), F.min(t).alias("min_time"), F.max(t).alias("max_time"))
-    return medians(agg, method, [], {"median_time": t})
+    return distribution(method, [], t).select(
+        F.col("mean").alias("mean_time"), F.col("min").alias("min_time"), F.col("max").alias("max_time"),
+        F.col("q")[0].alias("median_time"))
 
 
 def score_by_metric(metric: DataFrame) -> DataFrame:
     """median and mean score per metric."""
-    agg = metric.groupBy("metric").agg(F.avg("score").alias("mean_score"))
-    return medians(agg, metric, ["metric"], {"median_score": "score"}).orderBy("metric")
+    return distribution(metric, ["metric"], "score").select(
+        "metric", F.col("mean").alias("mean_score"), F.col("q")[0].alias("median_score")).orderBy("metric")
 
 
 def completeness(metric: DataFrame) -> DataFrame:

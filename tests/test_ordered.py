@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from benchscope.operators.ordered import average_rank, exact_quantiles, exclusive_prefix
+from benchscope.operators.ordered import average_rank, distribution, exact_quantiles, exclusive_prefix
 from benchscope.schema import clean_nan
 
 
@@ -60,6 +60,38 @@ def test_exact_quantiles_type7(spark):
     assert len(got) == len(probs) * pdf.g.nunique()
 
 
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_moments_and_quantiles_from_one_frame_of_counts(spark, tmp_path, keys):
+    """Against pandas, with a hot group, NULLs, a group of NULLs and one of a single value; the source is not read again."""
+    rng = np.random.default_rng(8)
+    pdf = pd.concat([_frame(rng, 700), pd.DataFrame({"g": ["void", "void", "one", None], "x": [np.nan, np.nan, 1e9 + 0.5, -3.0]})])
+    clean_nan(spark.createDataFrame(pdf)).write.parquet(str(tmp_path / "t"))
+    out = distribution(spark.read.parquet(str(tmp_path / "t")), keys, "x", (0.5, 0.1, 1.0))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan  # the frozen counts feed all results
+    got = {r["g"] if keys else "all": r for r in out.collect()}
+    pdf["g"] = pdf["g"].map(lambda g: g if isinstance(g, str) else None) if keys else "all"
+    assert len(got) == pdf["g"].nunique(dropna=False)
+    for g, r in got.items():
+        x = pdf["x"][pdf["g"].isna() if g is None else pdf["g"] == g]
+        v = x.dropna()
+        assert (r["rows"], r["n"]) == (len(x), len(v))
+        if v.empty:
+            assert r["mean"] is r["sd"] is r["min"] is r["max"] is None and r["q"] == [None] * 3
+            continue
+        assert (r["min"], r["max"]) == (v.min(), v.max())
+        assert r["mean"] == pytest.approx(v.mean(), rel=1e-12)
+        assert r["sd"] is None if len(v) == 1 else r["sd"] == pytest.approx(v.std(), rel=1e-10)
+        assert r["q"] == pytest.approx([np.quantile(v, p) for p in (0.5, 0.1, 1.0)], rel=1e-12)
+
+
+def test_distribution_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "g string, x double")
+    assert distribution(empty, ["g"], "x").count() == 0
+    row = distribution(empty, [], "x").first()
+    assert (row["rows"], row["n"], row["mean"], row["sd"], row["q"]) == (0, 0, None, None, [None])
+
+
 def test_global_top_k_keeps_ties_and_needs_no_single_partition(spark):
     """G3 without partitions: as rank() <= k, with NULL last, and no exchange of all rows."""
     from benchscope.operators.ranking import top_k_with_ties
