@@ -46,6 +46,8 @@ PERF_FIELDS = {"total_time_secs": ("runtime", "double"), "max_threads": ("thread
                "avg_cpu_usage": ("avg_load", "double"), "peak_mem_rss_kb": ("peak_rss", "bigint")}
 # ---------------------------------------------------------------------------
 
+MAX_LABELS = 5_000  # columns of the wide table, at most
+
 _NL = r"\r?\n"
 
 
@@ -131,14 +133,26 @@ def k_column_order(metric: DataFrame) -> DataFrame:
     return keys.select("key", P.k_number(F.col("key")).alias("k")).orderBy("k", "key")
 
 
-def metric_wide(metric: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def label_catalogue(metric: DataFrame, limit: int = MAX_LABELS) -> list[str]:
+    """The k labels in column order for the wide table; more than ``limit`` is an error.
+
+    At most ``limit + 1`` labels reach the driver, however many there are.
+    """
+    keys = [r["key"] for r in k_column_order(metric).limit(limit + 1).collect()]
+    if len(keys) > limit:
+        raise ValueError(f"more than {limit} k labels: use the long form (metric_long) instead of one column per label")
+    return keys
+
+
+def metric_wide(metric: DataFrame, keys: Sequence[str] | None = None, limit: int = MAX_LABELS) -> DataFrame:
     """One column per k label (numeric order) after the meta columns.
 
-    The label set is taken from the data with one small distinct job unless
-    given; the pivot itself is a projection of the map (no shuffle).
+    The label set is taken from ``metric`` with one distinct job unless given (see
+    ``IngestResult.scores`` for a frame that holds the labels without any join); the
+    pivot itself is a projection of the map (no shuffle).
     """
     if keys is None:
-        keys = [r["key"] for r in k_column_order(metric).collect()]
+        keys = label_catalogue(metric, limit)
     meta = [c for c in metric.columns if c != "k_scores"]
     return metric.select(*meta, *[F.try_element_at(F.col("k_scores"), F.lit(k)).alias(k) for k in keys])
 
@@ -370,12 +384,17 @@ def _metric_info() -> Column:
 
 @dataclass(frozen=True)
 class IngestResult:
-    """The two tables, the per-file frame they come from and the error list."""
+    """The two tables, the per-file frame they come from and the error list.
+
+    ``scores`` (path, k_scores) has the k-scores of the metric table's rows from the
+    score files alone: what asks for them only need not wait for sidecars and labels.
+    """
 
     method: DataFrame
     metric: DataFrame
     files: DataFrame
     errors: DataFrame
+    scores: DataFrame
 
 
 def resolve(files: DataFrame, sidecars: DataFrame, label_lines: DataFrame, want: Sequence[str] = ALL) -> DataFrame:
@@ -465,8 +484,10 @@ def ingest(scores: DataFrame, sidecars: DataFrame, label_lines: DataFrame,
     """
     files = resolve_files(scores, sidecars, label_lines)
     in_run = files.where(F.col("run_dir").isNotNull())
+    own = scores.where(P.run_dir_of(F.col("path"), F.col("root")).isNotNull()).select("path", "content")
     return IngestResult(method=build_method_rows(in_run), metric=build_metric_rows(in_run), files=files,
-                        errors=ingest_errors(files, sidecars, label_lines, unreadable))
+                        errors=ingest_errors(files, sidecars, label_lines, unreadable),
+                        scores=parse_scores(own).select("path", "k_scores"))
 
 
 def ingest_report(metric: DataFrame) -> DataFrame:

@@ -523,7 +523,7 @@ def q_source_dir(v: BenchViews):
 
 @register("k_column_order")
 def q_k_column_order(v: BenchViews):
-    return ing.k_column_order(_tables(v).metric)
+    return ing.k_column_order(_tables(v).scores)
 
 
 @register("coerce_seed")
@@ -569,12 +569,13 @@ def q_build_method_rows(v: BenchViews):
 
 @register("metric_wide")
 def q_metric_wide(v: BenchViews):
-    return ing.metric_wide(_tables(v).metric.drop("path"))
+    t = _tables(v)
+    return ing.metric_wide(t.metric.drop("path"), ing.label_catalogue(t.scores))
 
 
 @register("metric_long")
 def q_metric_long(v: BenchViews):
-    return ing.metric_long(_tables(v).metric)
+    return ing.metric_long(_tables(v).scores)
 
 
 # ---------------------------------------------------------------- linear models
@@ -806,7 +807,7 @@ def q_load_metric(v: BenchViews):
 @register("k_sort")
 def q_k_sort(v: BenchViews):
     """H4: the k labels in numeric column order (the B8 ordering)."""
-    return ing.k_column_order(_tables(v).metric)
+    return ing.k_column_order(_tables(v).scores)
 
 
 # ---------------------------------------------------------------- reported places

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benchscope.operators.ingest import k_column_order, metric_wide
+from benchscope.operators.ingest import metric_wide
 
 METHOD_PREFIX = "method-performance"
 METRIC_PREFIX = "metric-performance"
@@ -66,8 +66,7 @@ def write_tables(method: DataFrame, metric: DataFrame, out_dir: str, base_name:
             df = df.sparkSession.read.schema(df.schema).parquet(done) if done else df
             out = df
             if kind == "csv" and "k_scores" in df.columns:
-                keys = [r["key"] for r in k_column_order(df).collect()]
-                out = metric_wide(df, keys)
+                out = metric_wide(df)
             w = out.write.mode("overwrite")
             if partition_by:
                 w = w.partitionBy(*partition_by)
