@@ -49,6 +49,15 @@ QR_TOL = 1e-7          # lm's pivoting tolerance (on column norms)
 SIGNIFICANCE = 0.05
 FACTOR_TYPES = [("^dataset", "Dataset"), ("^method", "Method"), ("^metric", "Metric"),
                 ("^backend", "Backend"), ("^seed_factor", "Seed"), (":", "Interaction")]
+# Published coefficients (numerator, denominator) of the normal quantile: both tails, the middle
+QNORM_TAIL = ([-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00, -2.549732539343734e+00,
+               4.374664141464968e+00, 2.938163982698783e+00],
+              [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00])
+QNORM_MIDDLE = ([-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02, 1.383577518672690e+02,
+                 -3.066479806614716e+01, 2.506628277459239e+00],
+                [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02, 6.680131188771972e+01,
+                 -1.328068155288572e+01])
+QNORM_SPLIT = 0.02425
 # ---------------------------------------------------------------------------
 MAX_COLUMNS = 4000     # p x p values are held and solved on the driver
 ALIAS_TOL = max(QR_TOL ** 2, 64 * float(np.finfo(float).eps))   # squared norms
@@ -418,31 +427,28 @@ def seed_contribution(spark: SparkSession, ms: ModelSet) -> DataFrame:
                                  "r_squared_no_seed double, r_squared_with_seed double, seed_contribution double")
 
 
-def _qnorm(p: Column) -> Column:
+def _poly(coefs: list[float], x: str) -> str:
+    out = repr(coefs[0])
+    for k in coefs[1:]:
+        out = f"({out} * {x} + {k!r})"
+    return out
+
+
+def normal_quantile_sql(p: str, t: str, q: str) -> str:
     """Standard normal quantile (Acklam's rational approximation, |rel err|
-    < 1.2e-9) as a Column expression, so it runs inside the JVM."""
-    a = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02, 1.383577518672690e+02,
-         -3.066479806614716e+01, 2.506628277459239e+00]
-    b = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02, 6.680131188771972e+01,
-         -1.328068155288572e+01]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00, -2.549732539343734e+00,
-         4.374664141464968e+00, 2.938163982698783e+00]
-    dd = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00]
-    plow = 0.02425
-
-    def poly(coefs, x):
-        out = F.lit(coefs[0])
-        for k in coefs[1:]:
-            out = out * x + F.lit(k)
-        return out
-    q_low = F.sqrt(-2 * F.log(p))
-    low = poly(c, q_low) / (poly(dd, q_low) * q_low + 1)
-    q_hi = F.sqrt(-2 * F.log(1 - p))
-    high = -poly(c, q_hi) / (poly(dd, q_hi) * q_hi + 1)
-    q = p - 0.5
-    r = q * q
-    mid = poly(a, r) * q / (poly(b, r) * r + 1)
-    return F.when(p < plow, low).when(p > 1 - plow, high).otherwise(mid)
+    < 1.2e-9) of the column ``p`` as SQL text; ``t`` names sqrt(-2 ln min(p, 1 - p))
+    and ``q`` names p - 0.5."""
+    num, den = _poly(QNORM_TAIL[0], t), _poly([*QNORM_TAIL[1], 1.0], t)
+    r = f"({q} * {q})"
+    mid = f"{_poly(QNORM_MIDDLE[0], r)} * {q} / {_poly([*QNORM_MIDDLE[1], 1.0], r)}"
+    return (f"CASE WHEN {p} < {QNORM_SPLIT} THEN {num} / {den} "
+            f"WHEN {p} > 1 - {QNORM_SPLIT} THEN -{num} / {den} ELSE {mid} END")
+
+
+def _with_normal_quantile(df: DataFrame, p: Column, out: str) -> DataFrame:
+    low = F.when(F.col("_p") < 0.5, F.col("_p")).otherwise(1 - F.col("_p"))
+    return (df.withColumn("_p", p).withColumns({"_t": F.sqrt(-2 * F.log(low)), "_q": F.col("_p") - 0.5})
+            .withColumn(out, F.expr(normal_quantile_sql("_p", "_t", "_q"))).drop("_p", "_t", "_q"))
 
 
 def _ordered_sum(items: Column) -> Column:
@@ -491,4 +497,4 @@ def residual_diagnostics(glm: DataFrame, ms: ModelSet, model: int | None = None)
     n = float(before.agg(F.sum("_c")).first()[0] or 0)   # rows without a standardised residual have no quantile
     a = 3.0 / 8.0 if n <= 10 else 0.5
     pp = (F.col("_r") - a) / (n + 1 - 2 * a)
-    return ranked.withColumn("theoretical_quantile", _qnorm(pp)).drop("_r")
+    return _with_normal_quantile(ranked, pp, "theoretical_quantile").drop("_r")

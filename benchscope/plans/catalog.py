@@ -833,3 +833,12 @@ _places("bin_lo bin_hi", "hist_log_runtime", "hist_runtime", "hist_rss", "hist_s
 _places("whisker_low q1 median q3 whisker_high", "box_time_top_methods", "box_score_backend", "box_time_backend", "box_seed")
 _places("avg_time", "top_k_with_ties")
 _places("avg_score_scaled", "minmax_rescale")
+_places("aic rss r_squared adj_r_squared", "lm_models")
+_places("aic", "model_aic")
+_places("r_squared adj_r_squared", "model_fit")
+_places("r_squared_no_seed r_squared_with_seed seed_contribution", "seed_contribution")
+_places("sum_sq mean_sq f_value p_value", "anova")
+_places("coefficient se t_value p_value abs_coefficient", "coefficients", "coef_effects")
+_places("prop_significant mean_abs_coef max_abs_coef", "factor_importance")
+_places("p_value", "significance_flag")
+_places("fitted residual leverage std_residual theoretical_quantile", "residual_diagnostics")

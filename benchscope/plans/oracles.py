@@ -7,6 +7,8 @@ driver runs these next to the Spark plans and compares the results.
 
 from __future__ import annotations
 
+from benchscope.plans.model_oracles import model_oracles
+
 VIEW_CTES = r"""
 metric_runs AS (
   SELECT 'out_' || lower(l_returnflag) || '-' || CAST(year(l_shipdate) AS VARCHAR) AS source_dir,
@@ -88,6 +90,8 @@ def oracle(key: str, sql: str) -> None:
 def full_sql(body: str) -> str:
     """Prefix the view CTEs; a body starting with WITH adds its own CTEs."""
     body = body.strip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return "WITH RECURSIVE " + VIEW_CTES.strip() + ",\n" + body[14:].lstrip()
     if body[:4].upper() == "WITH":
         return "WITH " + VIEW_CTES.strip() + ",\n" + body[4:].lstrip()
     return "WITH " + VIEW_CTES.strip() + "\n" + body
@@ -630,6 +634,8 @@ SELECT CAST(count(*) AS BIGINT) AS observations, CAST(count(DISTINCT dataset) AS
   CAST(count(DISTINCT method) AS BIGINT) AS n_method, CAST(count(DISTINCT metric) AS BIGINT) AS n_metric,
   CAST(count(DISTINCT backend) AS BIGINT) AS n_backend, CAST(count(DISTINCT seed_factor) AS BIGINT) AS n_seed_factor
 FROM glm""")
+for _key, _sql in model_oracles(_GLM).items():
+    oracle(_key, _sql)
 
 # ---------------------------------------------------------------- chart data
 
