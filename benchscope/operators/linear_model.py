@@ -23,8 +23,10 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,7 +103,13 @@ def _r_level_name(v) -> str:
 
 
 def design(cells: DataFrame) -> Design:
-    """Factor levels, read from the (small, materialised) cell table."""
+    """Factor levels, read from the (small, materialised) cell table.  They are
+    counted first: more columns than one driver solves are an error, not a collect."""
+    counts = cells.agg(*[F.count_distinct(c).alias(c) for c in FACTORS]).first()
+    a, b = INTERACTION
+    p = 1 + sum(max(counts[c] - 1, 0) for c in FACTORS) + max(counts[a] - 1, 0) * max(counts[b] - 1, 0)
+    if p > MAX_COLUMNS:
+        raise ValueError(f"{p} design columns exceed the {MAX_COLUMNS} that one driver solves")
     row = cells.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in FACTORS]).first()
     levels = {c: list(row[c] or []) for c in FACTORS}
     d = Design(levels=levels)
@@ -110,7 +118,6 @@ def design(cells: DataFrame) -> Design:
         d.offsets[f] = len(d.columns)
         for lv in levels[f][1:]:
             d.columns.append((f, f"{f}{_r_level_name(lv)}"))
-    a, b = INTERACTION
     d.offsets["method:metric"] = len(d.columns)
     for lb in levels[b][1:]:
         for la in levels[a][1:]:
@@ -159,16 +166,14 @@ def cross_products(cells: DataFrame, d: Design, center: float = 0.0) -> CrossPro
     """X'X, X'y, y'y from the cells; only p x p values reach the driver."""
     act = cells.select(_active(d).alias("a"), "n", "sy", "syy")
     pairs = act.select(F.explode("a").alias("i"), "a", "n").select("i", F.explode("a").alias("j"), "n")
-    xtx_rows = pairs.groupBy("i", "j").agg(F.sum("n").alias("v")).collect()
-    xty_rows = act.select(F.explode("a").alias("i"), "sy").groupBy("i").agg(F.sum("sy").alias("v")).collect()
+    xtx_rows = pairs.groupBy("i", "j").agg(F.sum("n").alias("v")).toArrow()
+    xty_rows = act.select(F.explode("a").alias("i"), "sy").groupBy("i").agg(F.sum("sy").alias("v")).toArrow()
     tot = cells.agg(F.sum("syy").alias("yy"), F.sum("n").alias("n"), F.sum("sy").alias("sy")).first()
     p = d.p
     xtx = np.zeros((p, p))
-    for r in xtx_rows:
-        xtx[r["i"], r["j"]] = r["v"]
+    xtx[xtx_rows["i"].to_numpy(), xtx_rows["j"].to_numpy()] = xtx_rows["v"].to_numpy()
     xty = np.zeros(p)
-    for r in xty_rows:
-        xty[r["i"]] = r["v"]
+    xty[xty_rows["i"].to_numpy()] = xty_rows["v"].to_numpy()
     return CrossProducts(xtx, xty, float(tot["yy"] or 0.0), float(tot["n"] or 0.0), float(tot["sy"] or 0.0), center)
 
 
@@ -182,11 +187,20 @@ class Fit:
     kept: list[int]               # non-aliased columns (subset of ``columns``)
     effects: dict[int, float]     # QR effect per kept column
     beta: dict[int, float]
-    cov_unscaled: np.ndarray      # (X_A'X_A)^-1 over ``kept``
+    low: np.ndarray               # Cholesky factor of X_A'X_A over ``kept``
     rss: float
     n: float
     tss: float
 
+    @cached_property
+    def low_inverse(self) -> np.ndarray:
+        return _invert(self.low)
+
+    @property
+    def cov_diagonal(self) -> np.ndarray:
+        """Diagonal of (X_A'X_A)^-1."""
+        return (self.low_inverse ** 2).sum(axis=0)
+
     @property
     def rank(self) -> int:
         return len(self.kept)
@@ -232,6 +246,24 @@ def _forward(low: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+def _backward(low: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solve low.T @ x = b for a lower triangle, O(k^2)."""
+    x = np.array(b, dtype=float)
+    for i in range(len(b) - 1, -1, -1):
+        x[i] /= low[i, i]
+        x[:i] -= low[i, :i] * x[i]
+    return x
+
+
+def _invert(low: np.ndarray) -> np.ndarray:
+    """Inverse of a lower triangle, row by row from the rows above."""
+    out = np.zeros_like(low)
+    for k in range(len(low)):
+        out[k, :k] = np.einsum("i,ij->j", low[k, :k], out[:k, :k]) / -low[k, k]
+        out[k, k] = 1 / low[k, k]
+    return out
+
+
 def fit(cp: CrossProducts, d: Design, model: int) -> Fit:
     """Ordered Cholesky sweep = R's QR with its pivoting: a column that is a
     combination of earlier columns (relative residual norm below QR_TOL, or
@@ -242,8 +274,6 @@ def fit(cp: CrossProducts, d: Design, model: int) -> Fit:
     L = np.zeros((0, 0))
     c: list[float] = []
     effects: dict[int, float] = {}
-    if len(cols) > MAX_COLUMNS:
-        raise ValueError(f"{len(cols)} design columns exceed the {MAX_COLUMNS} that one driver solves")
     full = np.zeros((len(cols), len(cols)))
     for j in cols:
         g_jj = cp.xtx[j, j]
@@ -253,7 +283,7 @@ def fit(cp: CrossProducts, d: Design, model: int) -> Fit:
         g_aj = cp.xtx[np.ix_(kept, [j])].ravel() if kept else np.zeros(0)
         z = _forward(full[:k, :k], g_aj)
         r = g_jj - float(z @ z)
-        if r <= ALIAS_TOL * g_jj:
+        if r <= ALIAS_TOL * (k + 1) * g_jj:      # what rounding leaves of a zero grows with the terms summed
             continue
         rt = math.sqrt(r)
         full[k, :k], full[k, k] = z, rt
@@ -263,15 +293,13 @@ def fit(cp: CrossProducts, d: Design, model: int) -> Fit:
         effects[j] = cj
         kept.append(j)
     cvec = np.array(c)
-    beta_vec = np.linalg.solve(L.T, cvec) if kept else np.zeros(0)
+    beta_vec = _backward(L, cvec)
     if kept and kept[0] == 0:
         beta_vec[0] += cp.center
-    linv = np.linalg.inv(L) if kept else np.zeros((0, 0))
-    cov = linv.T @ linv
     rss = max(cp.yty - float(cvec @ cvec), 0.0)
     tss = cp.yty - (cp.sum_y ** 2) / cp.n if cp.n else 0.0
     return Fit(model=model, terms=terms, columns=cols, kept=kept, effects=effects,
-               beta=dict(zip(kept, beta_vec.tolist())), cov_unscaled=cov, rss=rss, n=cp.n, tss=tss)
+               beta=dict(zip(kept, beta_vec.tolist())), low=L, rss=rss, n=cp.n, tss=tss)
 
 
 @dataclass
@@ -376,12 +404,13 @@ def coefficients(spark: SparkSession, ms: ModelSet, model: int | None = None, n:
     f = ms.fits[model] if model else ms.best
     d = ms.design
     s2 = f.sigma2
+    cov = f.cov_diagonal
     rows = []
     for k, j in enumerate(f.kept):
         if j == 0:
             continue
         est = f.beta[j]
-        se = math.sqrt(f.cov_unscaled[k, k] * s2) if s2 == s2 else float("nan")
+        se = math.sqrt(cov[k] * s2) if s2 == s2 else float("nan")
         t = est / se if se > 0 else float("nan")
         rows.append((d.columns[j][1], d.columns[j][0], est, se, t, t_two_sided(spark, t, f.df_resid), abs(est)))
     rows.sort(key=lambda r: (-r[6], r[0]))
@@ -456,34 +485,47 @@ def _ordered_sum(items: Column) -> Column:
     return F.aggregate(F.array_sort(items), F.lit(0.0), lambda acc, e: acc + e["x"])
 
 
+def _solved_columns(spark: SparkSession, f: Fit) -> DataFrame:
+    """Per kept design column ``i`` its coefficient ``b`` and ``row``, entry (i, j) of
+    (X'X)^-1 for the design columns j = 0..i (0 where j is not kept).  Arrow buffers
+    carry the triangle: p * p * 4 bytes, 64 MB for ``MAX_COLUMNS``."""
+    linv, kept = f.low_inverse, np.array(f.kept, dtype=np.int64)
+    rows = []
+    for k, j in enumerate(f.kept):
+        row = np.zeros(j + 1)
+        row[kept[:k + 1]] = np.einsum("i,ij->j", linv[k:, k], linv[k:, :k + 1])
+        rows.append(row)
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    values = np.concatenate(rows) if rows else np.zeros(0)
+    return spark.createDataFrame(pa.table({
+        "i": pa.array(f.kept, pa.int32()), "b": pa.array([f.beta[j] for j in f.kept], pa.float64()),
+        "row": pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.float64()))}))
+
+
 def residual_diagnostics(glm: DataFrame, ms: ModelSet, model: int | None = None) -> DataFrame:
     """M8: per row fitted value, residual, leverage, standardized residual and
     normal QQ quantile (the data behind ``plot(lm)``), computed on the cluster.
 
-    Fitted values and leverages are cell properties: the cells list their
-    active columns, join the coefficient table and the (X'X)^-1 entries (both
-    p-sized, p being the number of factor levels) and are joined onto rows.
+    Fitted values and leverages are cell properties: the cells list their at most
+    seven active columns, meet each column's coefficient and its row of (X'X)^-1
+    in one join, and are joined onto rows.
     """
     spark = glm.sparkSession
     f = ms.fits[model] if model else ms.best
     d = ms.design
     in_model = set(f.columns)
-    kept_idx = {j: k for k, j in enumerate(f.kept)}
-    beta = spark.createDataFrame([(int(j), float(b)) for j, b in f.beta.items()], "i int, b double")
-    inv = spark.createDataFrame([(int(i), int(j), float(f.cov_unscaled[kept_idx[i], kept_idx[j]]))
-                                 for i in f.kept for j in f.kept], "i int, j int, v double")
     glm = complete_rows(glm)
     cells = ms.cells.select(*FACTORS) if ms.cells is not None else glm.select(*FACTORS).distinct()
     act = cells.select(*FACTORS, F.filter(_active(d), lambda x: x.isin(*sorted(in_model))).alias("a"))
-    one = act.select(*FACTORS, F.explode("a").alias("i"))
-    # sums over at most 7 (49) terms, added in a fixed order so that recomputation is bit-identical
-    fitted = one.join(beta, "i", "left").groupBy(*FACTORS).agg(
-        _ordered_sum(F.collect_list(F.struct("i", F.coalesce("b", F.lit(0.0)).alias("x")))).alias("fitted"))
-    pairs = act.select(*FACTORS, F.explode("a").alias("i"), "a").select(*FACTORS, "i", F.explode("a").alias("j"))
-    lev = pairs.join(inv, ["i", "j"], "left").groupBy(*FACTORS).agg(
-        _ordered_sum(F.collect_list(F.struct((F.col("i") * d.p + F.col("j")).alias("i"),
-                                             F.coalesce("v", F.lit(0.0)).alias("x")))).alias("leverage"))
-    cellv = fitted.join(lev, FACTORS, "inner")
+    one = act.select(*FACTORS, "a", F.explode("a").alias("i")).join(_solved_columns(spark, f), "i")
+    # x'(X'X)^-1 x by the lower triangle: entries off the diagonal count twice
+    lever = F.aggregate(F.filter("a", lambda j: j <= F.col("i")), F.lit(0.0),
+                        lambda acc, j: acc + F.get("row", j) * F.when(j < F.col("i"), 2.0).otherwise(1.0))
+    parts = one.select(*FACTORS, "i", "b", lever.alias("h"))
+    # sums over at most 7 terms, added in a fixed order so that recomputation is bit-identical
+    cellv = parts.groupBy(*FACTORS).agg(
+        _ordered_sum(F.collect_list(F.struct("i", F.col("b").alias("x")))).alias("fitted"),
+        _ordered_sum(F.collect_list(F.struct("i", F.col("h").alias("x")))).alias("leverage"))
     rows = glm.select(*FACTORS, "score").join(cellv, FACTORS, "inner")
     sigma = math.sqrt(f.sigma2) if f.sigma2 == f.sigma2 else float("nan")
     rows = rows.withColumn("residual", F.col("score") - F.col("fitted"))

@@ -169,7 +169,7 @@ SELECT {_FACTOR_TYPE} AS factor_type, CAST(count(*) FILTER (p_value < {lm.SIGNIF
   CAST(count(*) AS BIGINT) AS n_total, round(count(*) FILTER (p_value < {lm.SIGNIFICANCE}) / count(*), 6) AS prop_significant,
   round(avg(abs(coefficient)), 6) AS mean_abs_coef, round(max(abs(coefficient)), 6) AS max_abs_coef
 FROM coef_p GROUP BY 1""",
-        "factor_type_case": f"{head}{_FIT}\nSELECT factor, {_FACTOR_TYPE} AS factor_type FROM coef WHERE j > 0",
+        "factor_type_case": f"{head}{_FIT},{_T_TAILS}\nSELECT factor, {_FACTOR_TYPE} AS factor_type FROM coef_p",
         "significance_flag": f"""{head}{_FIT},{_T_TAILS}
 SELECT factor, round(p_value, 6) AS p_value, p_value < {lm.SIGNIFICANCE} AS significant FROM coef_p""",
         "residual_diagnostics": f"""{head}{_FIT},
