@@ -15,7 +15,7 @@ ORACLES = entry.oracle_sql()
 FAST = ["backend_consistency", "score_variability", "compare_backends", "combined_runs", "method_summary",
         "peak_rss_summary", "pareto_by_metric", "method_rankings", "top_methods_by_metric", "radar",
         "hist_rss", "box_seed", "glm_input", "build_metric_rows", "build_method_rows", "labels_true_k",
-        "parse_scores", "metric_wide"]
+        "parse_scores", "metric_wide", "lm_models", "anova", "coef_effects", "residual_diagnostics"]
 KEYS = sorted(ORACLES) if os.environ.get("BENCHSCOPE_ALL_ORACLES") else FAST
 
 
