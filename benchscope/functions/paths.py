@@ -189,6 +189,15 @@ def method_from_dir(base: Column, parent_base: Column) -> Column:
                                 null_seed.alias("seed"))))
 
 
+def method_anchor(path: Column, levels: int) -> Column:
+    """The nearest of the ``levels`` directories above a file in whose name ``method_from_dir``
+    finds a method; NULL if there is none."""
+    libs = "|".join(LINKAGE_LIBRARIES)
+    name = rf"(?:method-[^/]*|[^/]*method-(?:(?!/).)+?_seed-\d[^/]*|(?<=/(?:{libs})/)linkage-[^/]*)"
+    pattern = _u(rf"^(.*/{name})(?:/[^/]+){{1,{levels}}}$")
+    return F.when(path.contains(METHOD_TOKEN) | path.contains("linkage-"), F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")))
+
+
 def k_number(label: Column) -> Column:
     """Numeric order of a ``k=<int>`` label; anything else sorts last."""
     after = F.try_element_at(F.split(label, "="), F.lit(2))
@@ -198,7 +207,7 @@ def k_number(label: Column) -> Column:
 
 def strip_quotes(c: Column) -> Column:
     """``str.strip('"')``."""
-    return F.regexp_replace(c, r'^"+|"+$', "")
+    return F.btrim(c, F.lit('"'))
 
 
 def coerce_seed(num: Column, text: Column) -> Column:

@@ -427,7 +427,7 @@ def _files(v: BenchViews):
 def _placed(v: BenchViews, *want: str):
     """The files with what their directories hold of some kinds."""
     i = ingest_inputs(v)
-    return ing.resolve(ing.file_paths(i.scores), i.sidecars, i.label_lines, want)
+    return ing.resolve(i.scores, i.sidecars, i.label_lines, want)
 
 
 def _tables(v: BenchViews):
@@ -454,12 +454,12 @@ def q_labels_true_k(v: BenchViews):
 
 @register("method_perf_json")
 def q_method_perf_json(v: BenchViews):
-    return _placed(v, ing.PERF).select("path", "runtime", "threads", "disk_read", "disk_write", "avg_load", "peak_rss")
+    return _placed(v, ing.METHOD_PERF).select("path", "runtime", "threads", "disk_read", "disk_write", "avg_load", "peak_rss")
 
 
 @register("metric_perf_json")
 def q_metric_perf_json(v: BenchViews):
-    return _placed(v, ing.PERF).select("path", F.col("metric_runtime").alias("runtime"))
+    return _placed(v, ing.METRIC_PERF).select("path", F.col("metric_runtime").alias("runtime"))
 
 
 @register("method_exec_time")
@@ -481,7 +481,7 @@ def q_ingest_errors(v: BenchViews):
 
 @register("ingest_report")
 def q_ingest_report(v: BenchViews):
-    return ing.ingest_report(_tables(v).metric)
+    return ing.ingest_report(_tables(v).flags)
 
 
 @register("extract_backend_timestamp")
@@ -491,12 +491,12 @@ def q_extract_backend_timestamp(v: BenchViews):
 
 @register("extract_dataset_info")
 def q_extract_dataset_info(v: BenchViews):
-    return _placed(v, ing.PARAMS).select("path", "dataset_generator", "dataset_name")
+    return _placed(v, ing.DATASET).select("path", "dataset_generator", "dataset_name")
 
 
 @register("extract_method_info")
 def q_extract_method_info(v: BenchViews):
-    return _placed(v, ing.PARAMS).select("path", "method", "seed")
+    return _placed(v, ing.METHOD).select("path", "method", "seed")
 
 
 @register("normalize_method_name")
@@ -508,7 +508,7 @@ def q_normalize_method_name(v: BenchViews):
 
 @register("extract_metric_info")
 def q_extract_metric_info(v: BenchViews):
-    return _placed(v, ing.PARAMS).select("path", "metric")
+    return _placed(v, ing.METRIC).select("path", "metric")
 
 
 @register("nearest_ancestor")
@@ -528,7 +528,7 @@ def q_k_column_order(v: BenchViews):
 
 @register("coerce_seed")
 def q_coerce_seed(v: BenchViews):
-    return _placed(v, ing.PARAMS).select("path", "seed")
+    return _placed(v, ing.METHOD).select("path", "seed")
 
 
 @register("duplicate_k_anomaly")
@@ -539,7 +539,7 @@ def q_duplicate_k_anomaly(v: BenchViews):
 @register("k_scores")
 def q_k_scores(v: BenchViews):
     parsed = ing.parse_scores(ingest_inputs(v).scores)
-    return parsed.select("path", F.explode("k_scores").alias("key", "value"))
+    return ing.k_entries(parsed)
 
 
 @register("score_at_true_k")
