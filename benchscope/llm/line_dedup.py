@@ -1,8 +1,8 @@
 """Operator 4 (native): line de-duplication with a log-template tree.
 
 Every line is parsed down a tree of fixed depth: first by its number of tokens, then by
-its leading tokens, numbers counting as one token.  The positions looked at are ``PROBES``
-(all of them for lines of that length or less).  A leaf holds any number of templates: its
+its leading tokens, numbers counting as one token.  All positions of a line are looked at,
+however long it is.  A leaf holds any number of templates: its
 different lines are grouped by bands of positions, one band more than a template may have
 fields, so that all lines of a template agree in a band.  In each group the tokens are
 counted; where one holds at least half of the group's lines the group's template has that
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from benchscope.llm.common import stored
 
-PROBES, DEPTH = 16, 3
+DEPTH = 3
 LONG, LOOSE = 16, 4
 DOCS, SHORT_DOCS, SHORT, AGREE = 3, 10, 8, 0.9
 
@@ -52,8 +52,8 @@ def lines_of(text: Column) -> Column:
 def parsed(docs: DataFrame, agree: float = AGREE) -> DataFrame:
     """(d, th, pos, n, leaf, exact, probes) of every line with a token.
 
-    ``d`` is the id, ``th`` the text's hash; ``probes`` holds token hashes at positions that
-    depend on the number of tokens alone, odd ones of tokens with a letter.  ``leaf`` is null
+    ``d`` is the id, ``th`` the text's hash; ``probes`` holds the hashes of all tokens, odd ones
+    of tokens with a letter.  ``leaf`` is null
     for lines that take no template but their own.
     """
     one = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
@@ -62,9 +62,8 @@ def parsed(docs: DataFrame, agree: float = AGREE) -> DataFrame:
     lines = lines.select("d", "th", "pos", F.trim("line").alias("line"), F.split(masked, r"\s+").alias("t")).withColumn("n", F.size("t"))
     # the tree's path, and the whole line
     lead = F.xxhash64("n", F.slice("t", 1, DEPTH))
-    at = F.when(F.col("n") <= PROBES, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda i: F.floor(i * F.col("n") / PROBES).cast("int")))
-    token = lambda i: F.hash(F.get("t", i)).bitwiseAND(F.lit(-2)) + F.get("t", i).rlike(r"\p{L}").cast("int")
-    lines = lines.select("d", "th", "pos", "n", lead.alias("leaf"), "line", F.xxhash64("t").alias("exact"), F.transform(at, token).alias("probes"))
+    token = lambda x: F.hash(x).bitwiseAND(F.lit(-2)) + x.rlike(r"\p{L}").cast("int")
+    lines = lines.select("d", "th", "pos", "n", lead.alias("leaf"), "line", F.xxhash64("t").alias("exact"), F.transform("t", token).alias("probes"))
     wordy = F.size(F.filter("probes", lambda x: x.bitwiseAND(F.lit(1)) == 1)) * 2 >= F.size("probes")
     lines = lines.withColumn("wordy", wordy)
     leaf = F.when(F.col("wordy") & (fields(agree) > 0), F.col("leaf"))
@@ -73,7 +72,7 @@ def parsed(docs: DataFrame, agree: float = AGREE) -> DataFrame:
 
 def fields(agree: float) -> Column:
     """How many positions of a line of ``n`` tokens may be fields."""
-    most = F.floor(F.least(F.col("n"), F.lit(PROBES)) * (1 - agree) + 1e-9)
+    most = F.floor(F.col("n") * (1 - agree) + 1e-9)
     return F.when(F.col("n") >= LONG, F.greatest(F.lit(LOOSE), most)).otherwise(most)
 
 
@@ -83,12 +82,16 @@ def templates(lines: DataFrame, agree: float = AGREE) -> DataFrame:
     # leaves and bands that hold different lines and could recur; the others need no template
     per = lines.where("leaf is not null").groupBy("leaf", "exact").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.first("n").alias("n"), F.first("probes").alias("probes"))
     kinds = stored(per.join(mixed(per, "leaf"), "leaf").drop("total"), "kinds")
-    bands = F.transform(F.sequence(F.lit(0), fields(agree).cast("int")), lambda b: F.xxhash64("leaf", b, F.filter("probes", lambda x, i: i % (fields(agree) + 1) == b)))
-    banded = kinds.withColumn("band", F.explode(bands))
-    banded = stored(banded.join(mixed(banded, "band"), "band").select("band", "leaf", "exact", "n", "c", "total", "probes"), "bands")
+    step = (fields(agree) + 1).cast("int")
+    members = lambda b: F.transform(F.sequence(b, F.col("n") - 1, step), lambda i: F.get("probes", i))
+    bands = F.transform(F.sequence(F.lit(0), step - 1), lambda b: F.xxhash64("leaf", b, members(b)))
+    banded = kinds.select("leaf", "exact", "n", "c", "lo", "hi", F.explode(bands).alias("band"))
+    # a line's tokens join the bands that are left
+    banded = banded.join(mixed(banded, "band"), "band").select("band", "leaf", "exact", "c", "total")
+    banded = stored(banded.join(kinds.select("leaf", "exact", "n", "probes"), ["leaf", "exact"]), "bands")
     tokens = banded.select("band", "c", "total", F.posexplode("probes").alias("i", "token")).groupBy("band", "i", "token").agg(F.sum("c").alias("c"), F.first("total").alias("total"))
     fixed = tokens.where(F.col("c") * 2 >= F.col("total")).groupBy("band", "i").agg(F.max_by("token", F.struct("c", "token")).alias("token"))
-    rule = fixed.groupBy("band").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("rule"))  # at most PROBES entries
+    rule = fixed.groupBy("band").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("rule"))  # as many entries as the line has tokens
     same = F.size(F.filter("rule", lambda e: F.get("probes", e["i"]) == e["token"]))
     takes = banded.join(rule, "band").where(F.size("probes") - same <= fields(agree))
     near = same >= F.ceil(F.size("probes") * agree)

@@ -371,3 +371,20 @@ def test_pattern_votes_skip_no_match():
         text = "".join(rng.choice(bits) for _ in range(rng.randrange(8)))
         plain = (1 << 12 if toxicity._ADDRESS.search(text) else 0) | (1 << 13 if toxicity._MASKED.search(text) else 0)
         assert toxicity.pattern_votes(text) == plain
+
+
+def test_every_position_of_a_long_line_counts(frame):
+    """Lines that agree at every 16th part of their length but nowhere else are no template;
+    lines that differ in a tenth of their tokens, wherever these are, are one."""
+    n = 40
+    looked = {i * n // 16 for i in range(16)}
+    apart = [" ".join(f"same{chr(97 + i % 26)}{i}x" if i in looked else f"{w}{chr(97 + i % 26)}w" for i in range(n))
+             for w in ("alpha", "beta", "gamma", "delta")]
+    field = [" ".join("abcd"[j] * 9 if i in (11, 13, 14, 16) else f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+             for j in range(4)]
+    own = ["Quiet rivers run", "Tall ships sail", "Old men whistle", "Young birds sing"]
+    more = [" ".join(f"{o.split()[0]}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50)) for o in own]
+    out = line_dedup.dedup_lines(frame([(j, apart[j] + "\n" + more[j]) for j in range(4)]))
+    assert [r.n_dropped for r in out.collect()] == [0, 0, 0, 0]
+    out = line_dedup.dedup_lines(frame([(j, field[j] + "\n" + more[j]) for j in range(4)]))
+    assert [r.n_dropped for r in out.collect()] == [1, 1, 1, 1]
