@@ -81,13 +81,15 @@ def templates(lines: DataFrame, agree: float = AGREE) -> DataFrame:
     template has more fields than ``agree`` allows, else the template."""
     # leaves and bands that hold different lines and could recur; the others need no template
     per = lines.where("leaf is not null").groupBy("leaf", "exact").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.first("n").alias("n"), F.first("probes").alias("probes"))
-    kinds = stored(per.join(mixed(per, "leaf"), "leaf").drop("total"), "kinds")
+    kinds = stored(per.join(mixed(per, "leaf"), "leaf").drop("total", "same"), "kinds")
     step = (fields(agree) + 1).cast("int")
     members = lambda b: F.transform(F.sequence(b, F.col("n") - 1, step), lambda i: F.get("probes", i))
     bands = F.transform(F.sequence(F.lit(0), step - 1), lambda b: F.xxhash64("leaf", b, members(b)))
     banded = kinds.select("leaf", "exact", "n", "c", "lo", "hi", F.explode(bands).alias("band"))
-    # a line's tokens join the bands that are left
-    banded = banded.join(mixed(banded, "band"), "band").select("band", "leaf", "exact", "c", "total")
+    # bands of the same lines give the same template: one of them is enough, and a line's
+    # tokens join those that are left
+    banded = banded.join(mixed(banded, "band"), "band")
+    banded = banded.select(F.col("same").alias("band"), "leaf", "exact", "c", "total").distinct()
     banded = stored(banded.join(kinds.select("leaf", "exact", "n", "probes"), ["leaf", "exact"]), "bands")
     tokens = banded.select("band", "c", "total", F.posexplode("probes").alias("i", "token")).groupBy("band", "i", "token").agg(F.sum("c").alias("c"), F.first("total").alias("total"))
     fixed = tokens.where(F.col("c") * 2 >= F.col("total")).groupBy("band", "i").agg(F.max_by("token", F.struct("c", "token")).alias("token"))
@@ -103,9 +105,12 @@ def templates(lines: DataFrame, agree: float = AGREE) -> DataFrame:
 
 
 def mixed(rows: DataFrame, key: str) -> DataFrame:
-    """(key, total) of the groups of different lines that could recur."""
-    groups = rows.groupBy(key).agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("total"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return groups.where((F.col("kinds") > 1) & (F.col("lo") < F.col("hi"))).select(key, "total")
+    """(key, total, same) of the groups of different lines that could recur; groups of the same
+    lines of a leaf share ``same``."""
+    marks = [F.bit_xor("exact").alias("x"), F.bit_xor(F.xxhash64("exact")).alias("y")]
+    groups = rows.groupBy(key).agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("total"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("leaf").alias("at"), *marks)
+    groups = groups.where((F.col("kinds") > 1) & (F.col("lo") < F.col("hi")))
+    return groups.select(key, "total", F.xxhash64("at", "kinds", "total", "x", "y").alias("same"))
 
 
 def drops(docs: DataFrame, least: int = DOCS, short_docs: int = SHORT_DOCS, short: int = SHORT, agree: float = AGREE) -> DataFrame:
