@@ -45,15 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def stored(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared folder, compressed by ``codec``, and read it back.
 
     This cuts the lineage durably: a lost executor costs no recomputation of what
     lies before, and a later reader sees the very rows that were written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

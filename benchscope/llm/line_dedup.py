@@ -80,8 +80,11 @@ def templates(lines: DataFrame, agree: float = AGREE) -> DataFrame:
     """(d, th, pos, n, template, close) of all lines; ``close`` is the line's own hash where the
     template has more fields than ``agree`` allows, else the template."""
     # leaves and bands that hold different lines and could recur; the others need no template
-    per = lines.where("leaf is not null").groupBy("leaf", "exact").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.first("n").alias("n"), F.first("probes").alias("probes"))
-    kinds = stored(per.join(mixed(per, "leaf"), "leaf").drop("total", "same"), "kinds")
+    per = lines.where("leaf is not null").groupBy("leaf", "exact")
+    some = per.agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+    some = some.join(mixed(some, "leaf").select("leaf"), "leaf")
+    # the tokens travel once: they stay where the first shuffle put them
+    kinds = stored(some.join(per.agg(F.first("n").alias("n"), F.first("probes").alias("probes")), ["leaf", "exact"]), "kinds", "zstd")
     step = (fields(agree) + 1).cast("int")
     members = lambda b: F.transform(F.sequence(b, F.col("n") - 1, step), lambda i: F.get("probes", i))
     bands = F.transform(F.sequence(F.lit(0), step - 1), lambda b: F.xxhash64("leaf", b, members(b)))
@@ -90,7 +93,7 @@ def templates(lines: DataFrame, agree: float = AGREE) -> DataFrame:
     # tokens join those that are left
     banded = banded.join(mixed(banded, "band"), "band")
     banded = banded.select(F.col("same").alias("band"), "leaf", "exact", "c", "total").distinct()
-    banded = stored(banded.join(kinds.select("leaf", "exact", "n", "probes"), ["leaf", "exact"]), "bands")
+    banded = stored(banded.join(kinds.select("leaf", "exact", "n", "probes"), ["leaf", "exact"]), "bands", "zstd")
     tokens = banded.select("band", "c", "total", F.posexplode("probes").alias("i", "token")).groupBy("band", "i", "token").agg(F.sum("c").alias("c"), F.first("total").alias("total"))
     fixed = tokens.where(F.col("c") * 2 >= F.col("total")).groupBy("band", "i").agg(F.max_by("token", F.struct("c", "token")).alias("token"))
     rule = fixed.groupBy("band").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("rule"))  # as many entries as the line has tokens
@@ -115,7 +118,7 @@ def mixed(rows: DataFrame, key: str) -> DataFrame:
 
 def drops(docs: DataFrame, least: int = DOCS, short_docs: int = SHORT_DOCS, short: int = SHORT, agree: float = AGREE) -> DataFrame:
     """(d, th, pos, n, gone) of all lines with a token: which ones go."""
-    lines = stored(templates(stored(parsed(docs, agree), "lines"), agree), "lines")
+    lines = stored(templates(stored(parsed(docs, agree), "lines", "zstd"), agree), "lines", "zstd")
     held = lines.select("template", "n", "d", "th").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("held"), F.min("n").alias("n"))
     recurring = stored(held.where(F.col("held") >= F.when(F.col("n") < short, F.lit(short_docs)).otherwise(F.lit(least))).select("template"), "recurring")
     marked = lines.join(recurring.withColumn("rec", F.lit(True)), "template", "left").withColumn("rec", F.coalesce("rec", F.lit(False)))

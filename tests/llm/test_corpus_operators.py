@@ -388,3 +388,18 @@ def test_every_position_of_a_long_line_counts(frame):
     assert [r.n_dropped for r in out.collect()] == [0, 0, 0, 0]
     out = line_dedup.dedup_lines(frame([(j, field[j] + "\n" + more[j]) for j in range(4)]))
     assert [r.n_dropped for r in out.collect()] == [1, 1, 1, 1]
+
+
+def test_line_tokens_are_written_small(spark, frame, monkeypatch):
+    written, stored = {}, line_dedup.stored
+
+    def seen(df, what, *codec):
+        out = stored(df, what, *codec)
+        written.setdefault(what, []).extend(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", seen)
+    lines = [f"a shared line of words with the number {i} in it and some more words here" for i in range(3)]
+    assert line_dedup.dedup_lines(frame([(j, "\n".join(lines)) for j in range(3)])).count() == 3
+    for what in ("lines", "kinds", "bands"):
+        assert written[what] and all(".zstd." in f for f in written[what])
