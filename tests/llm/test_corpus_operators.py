@@ -403,3 +403,43 @@ def test_line_tokens_are_written_small(spark, frame, monkeypatch):
     assert line_dedup.dedup_lines(frame([(j, "\n".join(lines)) for j in range(3)])).count() == 3
     for what in ("lines", "kinds", "bands"):
         assert written[what] and all(".zstd." in f for f in written[what])
+
+
+def test_tokens_and_texts_move_only_where_lines_recur(spark, frame, monkeypatch):
+    written, stored = {}, line_dedup.stored
+
+    def seen(df, what, *codec):
+        written.setdefault(what, []).append(stored(df, what, *codec))
+        return written[what][-1]
+
+    monkeypatch.setattr(line_dedup, "stored", seen)
+    # a leaf each for 40 lines of one document, one leaf of different lines of three documents
+    own = [f"{chr(97 + j % 26)}{chr(97 + j // 26)} own words of this text alone" for j in range(40)]
+    notice = "dear reader of this page we thank {} for all the letters that came in"
+    docs = [(j, own[j]) for j in range(40)] + [(50 + j, notice.format(w) + "\n" + own[j].upper() + " and more" * 6) for j, w in enumerate(["anna", "bert", "carl"])]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(frame(docs)).collect()}
+    assert "probes" not in written["lines"][0].columns and written["lines"][0].count() == 46
+    assert written["kinds"][0].count() == 3 and "probes" in written["kinds"][0].columns
+    assert written["gone"][0].count() == 3 and [out[50 + j].n_dropped for j in range(3)] == [1, 1, 1]
+    assert all(out[j].text == own[j] and out[j].n_dropped == 0 for j in range(40))
+
+
+def test_a_bitmap_leaves_out_no_key(spark, monkeypatch):
+    rows, keys = spark.range(5000).selectExpr("id as k", "id as v"), spark.range(0, 5000, 50).selectExpr("id as k")
+    for words in (line_dedup.WORDS, 1):  # one row of bits: full, but right
+        monkeypatch.setattr(line_dedup, "WORDS", words)
+        out = line_dedup.may_be(rows, keys, "k")
+        assert out.columns == ["k", "v", "may"] and out.count() == 5000
+        assert out.where("may").join(keys, "k").count() == 100
+        assert words == 1 or out.where("may").count() < 200
+    assert line_dedup.may_be(rows, keys.limit(0), "k").where("may").count() == 0
+
+
+def test_bands_of_few_and_of_many_lines_give_the_same(frame, monkeypatch):
+    notice = "dear reader of this page we thank {} for all the letters that came in"
+    docs = [(j, notice.format("xyzw"[j % 4] * (j + 1)) + f"\n{'pqrs'[j % 4] * (j + 2)} is a line that only text {j} has") for j in range(8)]
+    found = []
+    for few in (line_dedup.FEW, 0):
+        monkeypatch.setattr(line_dedup, "FEW", few)
+        found.append({r.doc_id: (r.text, r.n_dropped) for r in line_dedup.dedup_lines(frame(docs)).collect()})
+    assert found[0] == found[1] and sum(n for _, n in found[0].values()) == 7  # the first copy keeps it
