@@ -7,6 +7,9 @@ ancestor directory of a file (``D(1)`` is its own directory), following
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ PY_SPECIAL_RE = r"(?i)^\s*[+-]?(?:inf|infinity|nan)\s*$"
 PY_INT_RE = rf"^\s*[+-]?{_DIGITS}\s*$"
 #: What nearly every number looks like; the general rules above are tried only beyond it.
 PLAIN_NUMBER_RE = r"^-?[0-9]+(?:\.[0-9]+)?$"
+#: What ends a line in Java's regexes.
+LINE_ENDS = ("\n", "\r", "\u0085", "\u2028", "\u2029")
 
 
 def _u(pattern: str) -> str:
@@ -50,8 +55,7 @@ def ancestor(path: Column, k: int | Column, split: Column | None = None) -> Colu
     """
     if isinstance(k, int):
         tail = F.substring_index(path, "/", -k)
-        keep = F.length(path) - F.length(tail) - F.lit(1)
-        cut = F.when(keep > 0, F.substring(path, F.lit(1), keep)).otherwise(F.lit(""))
+        cut = F.left(path, F.length(path) - F.length(tail) - F.lit(1))
         return F.when(cut == "", F.lit("/")).otherwise(cut)
     p = split if split is not None else parts(path)
     n = F.size(p) - k
@@ -70,15 +74,40 @@ def nearest_dir(path: Column, name_re: str, token: str, first: int, last: int) -
     return F.when(path.contains(token), F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")))
 
 
-def method_dir(path: Column, first: int, last: int) -> Column:
-    """The nearest directory named after a method."""
-    return nearest_dir(path, rf"[^/]*{METHOD_TOKEN}[^/]*", METHOD_TOKEN, first, last)
+def is_plain(path: Column) -> Column:
+    """Whether a path is absolute, without empty names and without line ends, as nearly all are:
+    the string arithmetic below agrees with the regexes on these."""
+    odd = reduce(or_, [path.contains(x) for x in ("//", *LINE_ENDS)])
+    return path.startswith("/") & ~path.endswith("/") & ~odd
+
+
+def _last_named(path: Column, token: str) -> tuple[Column, Column, Column]:
+    """(dir, levels, head) by the last place of ``token`` in a plain path that has it: the directory
+    whose name it is in, how many levels up that is (0: it is in the file's own name), and the
+    path up to the token's end."""
+    tail = F.substring_index(path, token, -1)
+    slash = F.instr(tail, "/")
+    head = F.left(path, F.length(path) - F.length(tail))
+    levels = F.length(tail) - F.length(F.replace(tail, F.lit("/"), F.lit("")))
+    return F.left(path, F.length(path) - F.length(tail) + slash - 1), levels, head
+
+
+def method_dir(path: Column, last: int) -> Column:
+    """The nearest directory, at most ``last`` levels up, named after a method."""
+    found, levels, _head = _last_named(path, METHOD_TOKEN)
+    return (F.when(~path.contains(METHOD_TOKEN), F.lit(None).cast("string"))
+            .when(is_plain(path) & (levels > 0), F.when(levels <= last, found))
+            .otherwise(nearest_dir(path, rf"[^/]*{METHOD_TOKEN}[^/]*", METHOD_TOKEN, 1, last)))
 
 
-def dataset_dir(path: Column, first: int, last: int) -> Column:
-    """The nearest directory whose name has both of the dataset's tokens."""
+def dataset_dir(path: Column, last: int) -> Column:
+    """The nearest directory, at most ``last`` levels up, whose name has both of the dataset's tokens."""
     a, b = DATASET_TOKENS
-    return nearest_dir(path, rf"[^/]*(?:{a}[^/]*{b}|{b}[^/]*{a})[^/]*", a, first, last)
+    found, levels, _head = _last_named(path, a)
+    both = is_plain(path) & (levels > 0) & F.substring_index(found, "/", -1).contains(b)
+    return (F.when(~path.contains(a), F.lit(None).cast("string"))
+            .when(both, F.when(levels <= last, found))
+            .otherwise(nearest_dir(path, rf"[^/]*(?:{a}[^/]*{b}|{b}[^/]*{a})[^/]*", a, 1, last)))
 
 
 def basename(path: Column) -> Column:
@@ -88,8 +117,7 @@ def basename(path: Column) -> Column:
 
 def ancestor_name(split: Column, k: int) -> Column:
     """Name of ``D(k)`` from a precomputed ``parts(path)`` ('' at or above ``/``)."""
-    idx = F.size(split) - F.lit(k)
-    return F.when(idx >= 1, F.coalesce(F.try_element_at(split, idx), F.lit(""))).otherwise(F.lit(""))
+    return F.coalesce(F.get(split, F.size(split) - F.lit(k + 1)), F.lit(""))
 
 
 def py_strip(c: Column) -> Column:
@@ -127,14 +155,14 @@ def timestamp_of(run_dir_name: Column) -> Column:
 
 
 def is_run_dir_name(name: Column) -> Column:
-    return name.startswith(RUN_DIR_PREFIXES[0]) | name.startswith(RUN_DIR_PREFIXES[1])
+    return F.left(name, F.lit(len(RUN_DIR_PREFIXES[0]))).isin(*RUN_DIR_PREFIXES)  # both are as long
 
 
 def run_dir_of(path: Column, root: Column) -> Column:
     """A1: the run directory of a file below ``root``: ``root`` itself when its
     name starts with out_/out-, else the child of ``root`` on the way to the
     file when that child's name does; NULL otherwise (file not in a run)."""
-    r = F.regexp_replace(root, "/+$", "")
+    r = F.rtrim(root, F.lit("/"))
     rest = F.substring(path, F.length(r) + 2, 1 << 30)
     child = F.substring_index(rest, "/", 1)
     child_is_dir = F.instr(rest, "/") > 0
@@ -148,6 +176,16 @@ def dataset_from_path(path: Column) -> tuple[Column, Column]:
             F.nullif(F.regexp_extract(path, _u(DATASET_RE), 2), F.lit("")))
 
 
+def names_dataset(path: Column) -> Column:
+    """Whether ``dataset_from_path`` finds one."""
+    return path.rlike(_u(DATASET_RE))
+
+
+def names_metric(path: Column) -> Column:
+    """Whether ``metric_from_path`` finds one."""
+    return path.rlike(_u(METRIC_RE))
+
+
 def metric_from_path(path: Column) -> Column:
     """B5 (first step): metric from the leftmost ``metric-<word>`` in the path."""
     return F.nullif(F.regexp_extract(path, _u(METRIC_RE), 1), F.lit(""))
@@ -166,7 +204,7 @@ def method_from_dir(base: Column, parent_base: Column) -> Column:
     """
     seed_name = F.regexp_extract(base, _u(METHOD_SEED_RE), 1)
     seed_num = F.regexp_extract(base, _u(METHOD_SEED_RE), 2)
-    has_seed = base.rlike(_u(METHOD_SEED_RE))
+    has_seed = seed_num != ""
     is_method = base.startswith("method-")
     after_dash = F.substring(base, len("method-") + 1, 1 << 30)
     is_linkage = base.startswith("linkage-") & parent_base.isin(*LINKAGE_LIBRARIES)
@@ -192,10 +230,15 @@ def method_from_dir(base: Column, parent_base: Column) -> Column:
 def method_anchor(path: Column, levels: int) -> Column:
     """The nearest of the ``levels`` directories above a file in whose name ``method_from_dir``
     finds a method; NULL if there is none."""
+    token, linkage = path.contains(METHOD_TOKEN), path.contains("linkage-")
+    found, up, head = _last_named(path, METHOD_TOKEN)
     libs = "|".join(LINKAGE_LIBRARIES)
     name = rf"(?:method-[^/]*|[^/]*method-(?:(?!/).)+?_seed-\d[^/]*|(?<=/(?:{libs})/)linkage-[^/]*)"
     pattern = _u(rf"^(.*/{name})(?:/[^/]+){{1,{levels}}}$")
-    return F.when(path.contains(METHOD_TOKEN) | path.contains("linkage-"), F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")))
+    # the deepest name with the token begins with it, and no other rule may apply
+    simple = token & ~linkage & is_plain(path) & (up > 0) & head.endswith("/" + METHOD_TOKEN)
+    return (F.when(simple, F.when(up <= levels, found))
+            .when(token | linkage, F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))))
 
 
 def k_number(label: Column) -> Column:
